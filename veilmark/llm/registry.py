@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from veilmark.llm import chat, decontaminate, packing, sharding, token_files, url_filter
+from veilmark.llm import chat, decontaminate, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_chat_format": chat.op8_chat_format,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.oracle_sql(),
     "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op7_url_filter": url_filter.oracle_sql(),
     "op8_chat_format": chat.ORACLE_SQL,
