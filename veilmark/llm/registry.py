@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilmark.llm import chat, decontaminate, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from veilmark.llm import chat, decontaminate, html_extract, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_html_extract": html_extract.op5_html_extract,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_chat_format": chat.op8_chat_format,
