@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilmark.llm import chat, decontaminate, html_extract, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from veilmark.llm import chat, decontaminate, html_extract, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_html_extract": html_extract.op5_html_extract,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_quality_rules": quality_rules.oracle_sql(),
+    "op3_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op7_url_filter": url_filter.oracle_sql(),
     "op8_chat_format": chat.ORACLE_SQL,
