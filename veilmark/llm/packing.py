@@ -43,14 +43,14 @@ def cut(docs: DataFrame, vocabulary: str, tokens: int = TOKENS, end_id: int = EN
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long" + ", ids binary" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(vocabulary).ids, TaskContext.get().partitionId()
+        ids_of, task = encoder(vocabulary).ids_of, TaskContext.get().partitionId()
         seen = np.zeros(tokens + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
                 out: list[list] = [[] for _ in names]
-                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
-                    ids = encode(text) + tail
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), ids_of(rows.column("text").to_pylist())):
+                    ids += tail
                     for k, first in enumerate(range(0, len(ids), 4 * tokens)):
                         own = ids[first : first + 4 * tokens]
                         n = len(own) // 4

@@ -36,11 +36,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     tail = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, start = encoder(vocabulary).ids, TaskContext.get().partitionId(), 0
+        ids_of, part, start = encoder(vocabulary).ids_of, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                rows = [ids(t) + tail for t in piece.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, 64):
+                piece = batch.slice(at, 64)
+                rows = [x + tail for x in ids_of(piece.column("text").to_pylist())]
                 n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
                 ends = np.cumsum(n)
                 tokens = pa.ListArray.from_arrays(

@@ -1,8 +1,9 @@
 """Encoding whole texts with the tokenizers library, a chunk between spaces at a time.
 
 The vocabulary used here drops white space between words and never merges across it, so a text's
-ids are its space-separated chunks' ids in order. Chunks repeat heavily; each distinct one goes to the
-library once per worker and its ids are kept as little-endian 32-bit bytes, so a text is a join of bytes.
+ids are its space-separated chunks' ids in order. Chunks repeat heavily; each distinct one (a final
+mark apart) goes to the library once per worker and its ids are kept as little-endian 32-bit bytes, so a text is a
+join of bytes.
 Only U+0020 and U+000A split here; any other white space stays inside a chunk and is the library's
 matter. ``tests/llm`` holds this against encoding the whole text at once.
 """
@@ -21,7 +22,8 @@ from tokenizers import Tokenizer
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 #: Chunks in each of the two generations that a worker remembers, which bounds its memory.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
+_MARKS = frozenset(",.!?;:")
 #: Longer chunks are encoded but not remembered.
 MEMO_CHUNK = 64
 
@@ -31,27 +33,64 @@ class Encoder:
 
     def __init__(self, path: str):
         self._tok = Tokenizer.from_file(path)
+        self._model = self._tok.model
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        ids = lambda t: self._tok.encode(t, add_special_tokens=False).ids
+        #: Whether chunks can be encoded apart; else whole texts are.
+        self._apart = ids("Ab, c\nab") == [*ids("ab"), *ids(","), *ids("c"), *ids("ab")] and ids(" ") == [] and [t.id for t in self._model.tokenize("ab")] == ids("ab")
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        plain = [c for c in chunks if c.isascii() and c.isalpha() and c.islower()]  # normal form and one word already
+        out = {c: array("I", [t.id for t in self._model.tokenize(c)]).tobytes() for c in plain}
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, (array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(rest, add_special_tokens=False))))
+        return out
 
     def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self._young[c] for c in chunks])
-        except KeyError:
-            pass
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        if not self._apart:
+            return [array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        rows = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self._young) > MEMO_ENTRIES:
             self._young, self._old = {}, self._young
         young, old = self._young, self._old
-        missing = [c for c in set(chunks) if c not in young]
-        new = [c for c in missing if c not in old]
-        young.update((c, old[c]) for c in missing if c in old)
-        got = dict(zip(new, self._encode(new)))
-        young.update((c, x) for c, x in got.items() if len(c) <= MEMO_CHUNK)
-        return b"".join([young[c] if c in young else got[c] for c in chunks])
+        missing = set().union(*rows).difference(young)
+        new: dict[str, tuple[str, str]] = {}
+        for c in missing:
+            known = old.get(c)
+            if known is None:
+                new[c] = _stem(c)
+            else:
+                young[c] = known
+        stems = {x for pair in new.values() for x in pair}.difference(young)
+        young.update((x, old[x]) for x in stems if x in old)
+        stems = list(stems.difference(old))
+        young.update(self._encode(stems))
+        for c, (stem, mark) in new.items():
+            if mark:
+                young[c] = young[stem] + young[mark]
+            elif c is not stem:
+                young[c] = young[stem]
+        out = [b"".join(map(young.__getitem__, row)) for row in rows]
+        for x in {*stems, *new}:
+            if len(x) > MEMO_CHUNK:
+                del young[x]
+        return out
+
+
+def _stem(chunk: str) -> tuple[str, str]:
+    """A chunk as two parts that are encoded apart: a word of letters and the mark after it, or the chunk and nothing.
+
+    The tokenizer lower-cases and then splits letters from marks. Both parts are taken only if the word is still letters when
+    lower-cased (no combining marks, which would join the mark).
+    """
+    word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
+    if mark and not (word.isalpha() and word.lower().isalpha()):
+        word, mark = chunk, ""
+    return (word.lower() if word.isascii() else word), mark
 
 
 _ENCODERS: dict[str, Encoder] = {}
