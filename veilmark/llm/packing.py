@@ -146,7 +146,9 @@ def pack(docs: DataFrame, vocabulary: str, tokens: int = TOKENS, max_pieces: int
 
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
     order = [f.split()[0] for f in schema.split(", ")][:-2]
-    return rows.join(by_task.select("length", "task", "before"), ["length", "task"]).select(*order, "nth", "before").mapInArrow(place, schema)
+    # the counts grow with the number of tasks, so they are not broadcast
+    before = by_task.select("length", "task", "before").hint("merge")
+    return rows.join(before, ["length", "task"]).select(*order, "nth", "before").mapInArrow(place, schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
