@@ -48,9 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python workers by bytes as well as rows, unless the session says otherwise: texts may be very long."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "1024"), ("maxBytesPerBatch", None, str(8 << 20))):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, default) == default or default is None:
+            spark.conf.set(name, value)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -58,3 +67,12 @@ def text_or_empty(name: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; none for null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), "")
+
+
+#: Functions that free what a worker remembers for one operator; others call them before they need memory of their own.
+RELEASES: list = []
+
+
+def release_caches() -> None:
+    for release in RELEASES:
+        release()

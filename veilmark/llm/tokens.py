@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
@@ -19,81 +20,95 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from veilmark.llm.common import RELEASES
+
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 #: Chunks in each of the two generations that a worker remembers, which bounds its memory.
-MEMO_ENTRIES = 600_000
-_MARKS = frozenset(",.!?;:")
+MEMO_ENTRIES = 350_000
 #: Longer chunks are encoded but not remembered.
 MEMO_CHUNK = 64
+_MARKS = frozenset(",.!?;:")
 
 
-class Encoder:
-    """``ids(text)``: the ids of a text as little-endian unsigned 32-bit bytes."""
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level BPE writes for each byte: itself if it prints, else the next from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: b if b in prints else next(rest) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Memo(dict):
+    """Ids of chunks as little-endian unsigned 32-bit bytes; a missing one is encoded."""
 
     def __init__(self, path: str):
         self._tok = Tokenizer.from_file(path)
         self._model = self._tok.model
-        self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        ids = lambda t: self._tok.encode(t, add_special_tokens=False).ids
-        #: Whether chunks can be encoded apart; else whole texts are.
-        self._apart = ids("Ab, c\nab") == [*ids("ab"), *ids(","), *ids("c"), *ids("ab")] and ids(" ") == [] and [t.id for t in self._model.tokenize("ab")] == ids("ab")
+        self._long: list[str] = []
+
+    def ids(self, text: str) -> list[int]:
+        return self._tok.encode(text, add_special_tokens=False).ids
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a word of lower-case letters in normal form: the model's alone."""
+        return [t.id for t in self._model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))]
+
+    def renew(self) -> None:
+        """Forgets long chunks and, when full, all that was not used since the last time."""
+        for c in self._long:
+            self.pop(c, None)
+        self._long.clear()
+        if len(self) > MEMO_ENTRIES:
+            self._old = dict(self)
+            self.clear()
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self._old.get(chunk)
+        if got is None:
+            word = chunk[:-1] if chunk[-1:] in _MARKS else chunk
+            low = word.lower()
+            # Letters below U+0250 stay one word in the tokenizer's steps (normal form, lower case, split): checked, not assumed.
+            if word.isalpha() and low.isalpha() and max(low) < "\u0250" and unicodedata.is_normalized("NFC", word):
+                if word is not chunk:
+                    got = self[low] + self[chunk[-1]]
+                elif low != word:
+                    got = self[low]
+                else:
+                    got = array("I", self.word(word)).tobytes()
+            else:
+                got = array("I", self.ids(chunk)).tobytes()
+        if len(chunk) > MEMO_CHUNK:
+            self._long.append(chunk)
+        self[chunk] = got
+        return got
 
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        plain = [c for c in chunks if c.isascii() and c.isalpha() and c.islower()]  # normal form and one word already
-        out = {c: array("I", [t.id for t in self._model.tokenize(c)]).tobytes() for c in plain}
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, (array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(rest, add_special_tokens=False))))
-        return out
 
-    def ids(self, text: str) -> bytes:
-        return self.ids_of([text])[0]
+class Encoder:
+    """``ids_of(texts)``: the ids of each text as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str):
+        self._memo = _Memo(path)
+        ids = self._memo.ids
+        #: Whether chunks can be encoded apart; else whole texts are.
+        self._apart = ids("Ab, c\nab") == [*ids("ab"), *ids(","), *ids("c"), *ids("ab")] and ids(" ") == [] and self._memo.word("abé") == ids("abé")
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
+        memo = self._memo
         if not self._apart:
-            return [array("I", e.ids).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self._young) > MEMO_ENTRIES:
-            self._young, self._old = {}, self._young
-        young, old = self._young, self._old
-        missing = set().union(*rows).difference(young)
-        new: dict[str, tuple[str, str]] = {}
-        for c in missing:
-            known = old.get(c)
-            if known is None:
-                new[c] = _stem(c)
-            else:
-                young[c] = known
-        stems = {x for pair in new.values() for x in pair}.difference(young)
-        young.update((x, old[x]) for x in stems if x in old)
-        stems = list(stems.difference(old))
-        young.update(self._encode(stems))
-        for c, (stem, mark) in new.items():
-            if mark:
-                young[c] = young[stem] + young[mark]
-            elif c is not stem:
-                young[c] = young[stem]
-        out = [b"".join(map(young.__getitem__, row)) for row in rows]
-        for x in {*stems, *new}:
-            if len(x) > MEMO_CHUNK:
-                del young[x]
+            return [array("I", memo.ids(t)).tobytes() for t in texts]
+        out = []
+        for t in texts:
+            out.append(b"".join(map(memo.__getitem__, t.replace("\n", " ").split(" "))))
+            memo.renew()
         return out
 
 
-def _stem(chunk: str) -> tuple[str, str]:
-    """A chunk as two parts that are encoded apart: a word of letters and the mark after it, or the chunk and nothing.
-
-    The tokenizer lower-cases and then splits letters from marks. Both parts are taken only if the word is still letters when
-    lower-cased (no combining marks, which would join the mark).
-    """
-    word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
-    if mark and not (word.isalpha() and word.lower().isalpha()):
-        word, mark = chunk, ""
-    return (word.lower() if word.isascii() else word), mark
-
-
 _ENCODERS: dict[str, Encoder] = {}
+RELEASES.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
