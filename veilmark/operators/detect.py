@@ -62,7 +62,7 @@ def find_pattern(text: Column, pattern: Pattern, detector: str) -> Column:
 def is_ip(token: Column) -> Column:
     """Whether a token is an IPv4 or IPv6 address or network, with two separators at least."""
     address, prefix = F.regexp_extract(token, "^[^/]*", 0), F.regexp_extract(token, "/([0-9]{1,3})$", 1)
-    bits = lambda most: (prefix == "") | (prefix.cast("int") <= most)
+    bits = lambda most: (prefix == "") | (F.coalesce(prefix.try_cast("int") <= most, F.lit(False)))
     four = address.rlike(rf"^{_octet}(\.{_octet}){{3}}$")
     tail = F.regexp_replace(address, rf"(?<=:){_octet}(\.{_octet}){{3}}$", "0:0")
     groups = F.filter(F.split(tail, ":"), lambda g: g != "")
