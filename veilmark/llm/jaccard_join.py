@@ -5,15 +5,19 @@ is lost and no group meets as a whole:
 
 1. Equal sets are one class (a seeded 64-bit digest, checked against a second one), so copies cost a row each.
 2. Shingles are ordered by rough frequency, rarest first (counts of 2**20 hash buckets, summed over all documents), and then by hash.
-   A set's prefix is its first ``n - ceil(percent * n / 100) + 1`` shingles; sets that link share one of these. Prefix shingles
-   that only one class has are dropped by a combined aggregate and a join that Spark may split.
+   A set's prefix is its first ``n - ceil(percent * n / 100) + a`` shingles; sets that link share ``a`` of these (``allowance``:
+   n / 50, at least 1). One exchange by shingle drops those that only one class has (shingles of crowded buckets are salted by
+   class and all stay); then classes with fewer shared shingles than any partner's allowance go.
 3. Blocks of classes that share a shingle are joined by signature trees: leaves are a class's token bitmap and size, inner nodes
    hold the OR of the bitmaps, the range of sizes and the most tokens folded into one bit. A dual traversal drops node
-   pairs whose size ranges or greatest possible overlap rule a link out, and pairs already connected.
-   First every class joins two blocks only (least hashes of its shared shingles), with whole sets, and what
-   links there is connected. Then the remaining shingles, those shared by different components, give blocks of bitmaps,
-   whose surviving pairs are checked with the whole sets. Large blocks are cut into chunks of ``CHUNK`` classes; in the
-   second step every pair of chunks meets in a task of its own.
+   pairs whose size ranges or greatest possible overlap rule a link out, and pairs already connected. Bitmaps have eight
+   bits a token or more; a block has a tree for each power of two of the sizes, which those near the limit join too, folded.
+   Blocks hold bitmaps alone; pairs that survive are checked with the whole sets, and what links is connected before the next
+   round. First every class joins two blocks only (least hashes of its shared shingles). Then, for up to ``ROUNDS`` rounds while
+   links are found, the shingles that different components share give all their blocks, each set of members once. In these
+   rounds a surviving pair counts as connected within its block, so a block tells no more pairs than it has
+   components. The last round tells all surviving pairs between components. Large blocks are cut into chunks of ``CHUNK``
+   classes; every pair of chunks meets in a task of its own.
 4. Connected components by alternating large-star and small-star steps, each written to the shared folder.
 
 A group of copies or near copies is thus one component after the first step and takes no part in the second.
@@ -25,6 +29,7 @@ none); repeated rows each give a row; an empty table gives no rows; other column
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,26 +37,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table, written
+from veilmark.llm.common import read_table, release_caches, written
 from veilmark.llm.shingles import shingle_sets
 
 BUCKETS = 1 << 20  # of the frequency sketch
 PARTS = 64  # in which tasks' sketches are summed
-WORDS = 32  # of 64 bits in a token bitmap
 CHUNK = 512
 FANOUT = 8
 PICKS = 2
+ROUNDS = 1
+SALTS = 64
+BROADCAST_ROWS = 500_000  # of two numbers
 
 
 # --- signature trees -------------------------------------------------------------------------------------------------
 
 
+def size_class(n: int) -> int:
+    return max(n.bit_length() - 1, 6)
+
+
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * WORDS, dtype=bool)
-    bits[(hashes % np.uint64(64 * WORDS)).astype(np.int64)] = True
+    bits = np.zeros(8 << size_class(len(hashes)), dtype=bool)
+    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def by_class(rows: list[dict], percent: int) -> Iterator[tuple[list[dict], np.ndarray]]:
+    """The rows of each size class with their bitmaps at one length; rows whose partners may be a class below join that too."""
+    own: dict[int, list[tuple[dict, np.ndarray]]] = {}
+    for r in rows:
+        m, c = np.frombuffer(r["map"], dtype=np.uint64), size_class(r["n"])
+        own.setdefault(c, []).append((r, m))
+        if c > 6 and percent * r["n"] < 100 << c:
+            own.setdefault(c - 1, []).append((r, m[: len(m) // 2] | m[len(m) // 2 :]))
+    for members in own.values():
+        if len(members) > 1:
+            yield [r for r, _ in members], np.stack([m for _, m in members])
+
+
 def _links(overlap: int, a: int, b: int, percent: int) -> bool:
     return (100 + percent) * overlap >= percent * (a + b)
 
@@ -59,8 +83,8 @@ def _links(overlap: int, a: int, b: int, percent: int) -> bool:
 class Tree:
     """Levels from the leaves up; a node of level ``l + 1`` covers ``FANOUT`` nodes of level ``l``."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((maps[:, 0], sizes))
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, seed: int = 0):
+        self.order = np.lexsort((maps[:, seed % maps.shape[1]], sizes))
         maps, sizes = maps[self.order], sizes[self.order]
         folded = sizes - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
         self.levels = [(maps, sizes, sizes, folded)]
@@ -73,8 +97,8 @@ class Tree:
         return range(i * FANOUT, min((i + 1) * FANOUT, len(self.levels[level - 1][1])))
 
 
-def traverse(x: Tree, y: Tree | None, percent: int, connected) -> Iterator[tuple[int, int]]:
-    """Pairs of leaves (original numbers) that may link; within ``x`` if ``y`` is None. ``connected(i, j)`` prunes leaves."""
+def traverse(x: Tree, y: Tree | None, percent: int, connected, draw: random.Random | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of leaves (original numbers) that may link; within ``x`` if ``y`` is None. ``connected(i, j)`` prunes leaves; ``draw`` mixes the order."""
     own, y = y is None, y or x
     stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while stack:
@@ -106,6 +130,9 @@ def traverse(x: Tree, y: Tree | None, percent: int, connected) -> Iterator[tuple
         fits = ((100 + percent) * most >= percent * (lowx + lowy)) & (100 * highx >= percent * lowy) & (100 * highy >= percent * lowx)
         same = own & (nx == ny) & (ps == qs)
         keep = np.flatnonzero(np.where(same, nx > 0, fits))
+        keep = keep.tolist()
+        if draw is not None:
+            draw.shuffle(keep)
         stack += [(nx, int(ps[k]), ny, int(qs[k])) for k in keep]
 
 
@@ -125,34 +152,40 @@ class Union:
         return i != j
 
 
-def link_block(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the block's components, as a star for each."""
-    n = len(nodes)
-    union, sizes = Union(n), [len(s) for s in sets]
+def block_pairs(rows: list[dict], percent: int, forest: bool, seed: int = 0) -> set[tuple[int, int]]:
+    """Pairs of a block with different roots that may link; of a block of two sides (1 and 2) those across.
+
+    As a forest, a pair counts as connected once it is told, so there are at most as many as components; ``seed`` changes which.
+    """
+    names = {r: i for i, r in enumerate({r["root"] for r in rows})}
+    union, out, draw = Union(len(names)), set(), random.Random(seed)
+    for own, maps in by_class(rows, percent):
+        sizes, root = np.array([r["n"] for r in own], dtype=np.int64), [names[r["root"]] for r in own]
+        sides = [np.flatnonzero([r["side"] == k for r in own]) for k in (0, 1, 2)]
+        if len(sides[0]):
+            a = b = sides[0]
+        elif len(sides[1]) and len(sides[2]):
+            a, b = sides[1], sides[2]
+        else:
+            continue
+        left, right = Tree(maps[a], sizes[a], seed), None if b is a else Tree(maps[b], sizes[b], seed)
+        for i, j in traverse(left, right, percent, lambda i, j: union.find(root[a[i]]) == union.find(root[b[j]]), draw if forest else None):
+            if forest:
+                union.join(root[a[i]], root[b[j]])
+            out.add(tuple(sorted((own[a[i]]["node"], own[b[j]]["node"]))))
+    return out
 
-    def check(i: int, j: int) -> None:
-        small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
-        at = np.searchsorted(large, small)
-        at[at == len(large)] = 0
-        if _links(int((large[at] == small).sum()), sizes[i], sizes[j], percent):
-            union.join(i, j)
 
-    if n <= 4:
-        for i in range(n):
-            for j in range(i + 1, n):
-                if union.find(i) != union.find(j) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
-                    check(i, j)
-    else:
-        tree = Tree(np.stack([bitmap(s) for s in sets]), np.array(sizes, dtype=np.int64))
-        for i, j in traverse(tree, None, percent, lambda i, j: union.find(i) == union.find(j)):
-            check(i, j)
-    return [(nodes[union.find(i)], nodes[i]) for i in range(n) if union.find(i) != i]
+def allowance(n: int) -> int:
+    """Shared shingles that prefixes of this many more guarantee to sets that link."""
+    return max(1, n // 50)
 
 
 # --- shingles, classes, prefixes -------------------------------------------------------------------------------------
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    release_caches()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -163,7 +196,7 @@ def _digest(s: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SET_SCHEMA = "doc_id long, n int, node long, other long, part int, counts binary"
+_SET_SCHEMA = "doc_id long, n int, node long, other long, map binary, part int, counts binary"
 
 
 def _sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
@@ -172,22 +205,23 @@ def _sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int64)
         for b in _slices(batches):
-            n, nodes, others = [], [], []
+            n, nodes, others, maps = [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), k):
                 n.append(len(s))
                 node, other = _digest(s, seed) if len(s) else (None, None)
                 nodes.append(node)
                 others.append(other)
+                maps.append(bitmap(s).tobytes() if len(s) else None)
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
-                names=["doc_id", "n", "node", "other", "part", "counts"],
+                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(maps, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                names=["doc_id", "n", "node", "other", "map", "part", "counts"],
             )
         none = [None] * PARTS
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, PARTS)], pa.binary())],
-            names=["doc_id", "n", "node", "other", "part", "counts"],
+            [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, PARTS)], pa.binary())],
+            names=["doc_id", "n", "node", "other", "map", "part", "counts"],
         )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SET_SCHEMA)
@@ -208,7 +242,9 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarray) -> DataFrame:
+    """``(token, node, salt)``; ``salt`` is 0 but for tokens of crowded buckets, which it spreads over ``SALTS``."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    crowded = int(np.median(sketch)) + 8  # four times the median count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -218,31 +254,57 @@ def _prefixes(docs: DataFrame, k: int, percent: int, seed: int, sketch: np.ndarr
                 n = len(s)
                 if n:
                     rank = (order[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                    m = n - -(-percent * n // 100) + 1
+                    m = min(n, n - -(-percent * n // 100) + allowance(n))
                     tokens.append(s[np.argpartition(rank, m - 1)[:m]] if m < n else s)
                     nodes.append(_digest(s, seed)[0])
                     many.append(m)
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), many))], names=["token", "node"]
-                )
+                token, node = np.concatenate(tokens), np.repeat(np.array(nodes, dtype=np.int64), many)
+                hot = order[(token >> np.uint64(44)).astype(np.int64)] > crowded
+                salt = np.where(hot, 1 + (node & (SALTS - 1)), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(salt)], names=["token", "node", "salt"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, node long, salt int")
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, node long")
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """``(token, node)``, each once, of tokens that more than one class has or that are salted."""
 
-def _class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(node, n, set, map)`` of ``wanted(doc_id, node)``, one row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, node, salt = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # the last row, not told yet
+        last = None  # the token that was told last
+        for b in batches:
+            token, node, salt = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in ((token, "token"), (node, "node"), (salt, "salt")))
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+            token, node, salt = token[new], node[new], salt[new]
+            like = token[1:] == token[:-1]
+            keep = (salt > 0) | np.concatenate([like, [False]]) | np.concatenate([[False], like]) | (token == last if last is not None else False)
+            if keep[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], names=["token", "node"])
+                last = int(token[:-1][keep[:-1]][-1])
+            token, node, salt = token[-1:], node[-1:], salt[-1:]
+        if len(token) and (salt[0] > 0 or last == int(token[0])):
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], names=["token", "node"])
+
+    return prefixes.repartition("token", "salt").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long")
+
+
+def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``(node, n, set)`` of the classes in ``pairs``, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = list(shingle_sets(b.column("text").to_pylist(), k))
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
-                names=["node", "n", "set", "map"],
+                [b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "set"]
             )
 
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "doc_id"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, n int, set binary, map binary")
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    return written(rows.select("node", "text").mapInArrow(run, "node long, n int, set binary"), "whole-sets")
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------------
@@ -267,51 +329,62 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
 
-def _chunked(members: DataFrame, key: str) -> DataFrame:
-    """``members`` with ``chunks`` (how many its block has) for blocks of two or more."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    return members.join(sizes.select(key, F.ceil(F.col("_c") / CHUNK).cast("int").alias("chunks")), key)
+def _mixed(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(token, node, root, c)`` of the shingles that different components share; ``c`` counts a shingle's classes."""
+    if roots is None:
+        of = shared.withColumn("root", F.col("node"))
+    else:
+        of = shared.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    counts = of.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("c")).where("_a <> _b")
+    return of.join(counts.select("token", "c"), "token")
 
 
-def _first_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    picks = shared.groupBy("node").agg(*(F.min(F.xxhash64("token", F.lit(k))).alias(f"b{k}") for k in range(PICKS)))
-    members = picks.select("node", F.explode(F.array(*(F.col(f"b{k}") for k in range(PICKS)))).alias("block")).distinct()
-    members = _chunked(members, "block").withColumn("chunk", F.pmod(F.xxhash64("node", "block"), F.col("chunks")))
-    rows = members.select("node", "block", "chunk").join(sets.select("node", "set"), "node")
+def _some_pairs(mixed: DataFrame, maps: DataFrame, percent: int, round_: int) -> DataFrame:
+    """Pairs that may link, from two blocks for each class."""
+    seeds = range(round_ * PICKS, (round_ + 1) * PICKS)
+    picks = mixed.groupBy("node", "root").agg(*(F.min(F.xxhash64("token", F.lit(k))).alias(f"b{k}") for k in seeds))
+    members = picks.select("node", "root", F.explode(F.array(*(F.col(f"b{k}") for k in seeds))).alias("block")).distinct()
+    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("_c"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
+    members = members.join(sizes.select("block", "_c"), "block").withColumn("chunk", F.pmod(F.xxhash64("node", "block"), F.ceil(F.col("_c") / CHUNK)))
+    rows = members.select("node", "root", "block", "chunk", F.lit(0).alias("side")).join(maps, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(_slices(batches, 256), ["block", "chunk"]):
-            if len(group) > 1 and (pairs := link_block([r["node"] for r in group], [np.frombuffer(r["set"], dtype=np.uint64) for r in group], percent)):
-                yield _pairs_batch(pairs)
-
-    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(run, "u long, v long")
-
-
-def _rest(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that may link, by the shingles that they share."""
-    of = shared.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    mixed = of.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("token")
-    members = of.join(mixed, "token")
-    members = _chunked(members, "token").withColumn("chunk", F.pmod(F.xxhash64("node", "token"), F.col("chunks")).cast("int"))
-    # chunk i of c meets every other: its rows go to the c tasks (i, j) or (j, i)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    members = members.withColumn("_j", other).select(
-        "token", "node", "root", F.least("chunk", "_j").alias("c1"), F.greatest("chunk", "_j").alias("c2"), (F.col("chunk") > F.col("_j")).alias("second")
-    )
-    rows = members.join(sets.select("node", "n", "map"), "node")
+        for group in _groups(_slices(batches, 2048), ["block", "chunk"]):
+            if len(group) > 1 and (pairs := block_pairs(group, percent, True, round_)):
+                yield _pairs_batch(list(pairs))
+
+    return rows.repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(run, "u long, v long").distinct()
+
+
+def _all_pairs(mixed: DataFrame, maps: DataFrame, percent: int, forest: bool, seed: int = 0) -> DataFrame:
+    """Pairs of classes in different components that share a shingle and may link: a forest in each block, or all."""
+    small = mixed.where(F.col("c") <= CHUNK).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("of"))
+    small = small.select("of").distinct().select(F.xxhash64("of").alias("block"), F.explode("of").alias("m"))
+    small = small.select("block", F.col("block").alias("part"), F.col("m.node").alias("node"), F.col("m.root").alias("root"), F.lit(0).alias("side"))
+    # of c chunks each meets every other: a row goes to the blocks (i, j) and (j, i) of its chunk
+    # chunks go by class alone and tasks by chunks, so that a pair that shares many large shingles is told by few tasks
+    chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("c") / CHUNK))).cast("int")
+    large = mixed.where(F.col("c") > CHUNK).withColumn("_i", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    pair = (F.least("_i", "_j"), F.greatest("_i", "_j"))
+    large = large.select(
+        F.xxhash64("token", *pair).alias("block"), F.xxhash64(*pair, F.pmod("token", F.lit(4))).alias("part"), "node", "root",
+        F.when(F.col("_i") == F.col("_j"), 0).when(F.col("_i") < F.col("_j"), 1).otherwise(2).alias("side"),
+    )
+    rows = small.unionByName(large).join(maps, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(_slices(batches, 2048), ["token", "c1", "c2"]):
-            sides = [[r for r in group if not r["second"]], [r for r in group if r["second"]]] if group[0]["c1"] != group[0]["c2"] else [group]
-            if not all(sides) or len({r["root"] for r in group}) < 2:
+        told: set[tuple[int, int]] = set()
+        for group in _groups(_slices(batches, 2048), ["block"]):
+            if len({r["root"] for r in group}) < 2:
                 continue
-            roots = [[r["root"] for r in s] for s in sides]
-            trees = [Tree(np.stack([np.frombuffer(r["map"], dtype=np.uint64) for r in s]), np.array([r["n"] for r in s], dtype=np.int64)) for s in sides]
-            found = traverse(trees[0], trees[-1] if len(trees) > 1 else None, percent, lambda i, j: roots[0][i] == roots[-1][j])
-            if pairs := [tuple(sorted((sides[0][i]["node"], sides[-1][j]["node"]))) for i, j in found]:
-                yield _pairs_batch(pairs)
+            pairs = block_pairs(group, percent, forest, seed) - told
+            if len(told) > 1_000_000:  # forgetting only means telling again
+                told.clear()
+            told |= pairs
+            if pairs:
+                yield _pairs_batch(list(pairs))
 
-    return rows.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("part").sortWithinPartitions("block").mapInArrow(run, "u long, v long").distinct()
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,23 +432,38 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     for seed in range(8):
         rows = written(_sets(docs, words, seed), "shingle-sets")
         ids = rows.where("part is null").select("doc_id", "n", "node", "other")
-        classes = written(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("_a"), F.max("other").alias("_b")), "classes")
+        classes = written(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("other").alias("_a"), F.max("other").alias("_b")), "classes")
         if classes.where("_a <> _b").isEmpty():
             break
     else:
         raise RuntimeError("digests of different sets were equal for every seed")
-    classes = classes.select("node", "doc_id")
-    prefixes = written(_prefixes(docs, words, percent, seed, _sketch(rows)), "prefixes")
-    common = prefixes.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("token")
-    shared = written(prefixes.join(common, "token", "left_semi").distinct(), "shared-prefixes")
-    wanted = classes.where("doc_id is not null").join(shared.select("node").distinct(), "node", "left_semi")
-    sets = written(_class_sets(docs, wanted, words).dropDuplicates(["node"]), "class-sets")
-
-    links = written(_first_links(shared, sets, percent), "links")
-    roots = written(connected(links), "roots")
-    more = written(_checked(_rest(shared, roots, sets, percent), sets, percent), "more-links")
-    if not more.isEmpty():
-        roots = written(connected(links.union(more)), "roots")
+    classes = classes.select("node", "doc_id", "n")
+    shared = written(_shared(_prefixes(docs, words, percent, seed, _sketch(rows))), "shared-prefixes")
+    least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 50))
+    rich = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(classes.select("node", "n"), "node").where(F.col("c") >= least).select("node")
+    shared = written(shared.join(rich, "node", "left_semi"), "shared-prefixes")
+    maps = rows.where("node is not null").select("node", "n", "map").join(shared.select("node").distinct(), "node", "left_semi")
+    maps = written(maps.dropDuplicates(["node"]), "bitmaps")
+    known = classes.where("doc_id is not null")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return written(_checked(pairs, _whole_sets(docs, known, pairs, words), percent).distinct(), "links")
+
+    links, roots = None, None
+    for round_ in range(ROUNDS + 2):
+        mixed, last = _mixed(shared, roots), round_ == ROUNDS + 1
+        pairs = _some_pairs(mixed, maps, percent, 0) if round_ == 0 else _all_pairs(mixed, maps, percent, not last, round_)
+        new = confirmed(written(pairs, "pairs"))
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            roots = written(connected(links), "roots")
+        elif 0 < round_ <= ROUNDS:  # nothing new to connect: go on to the last round
+            new = confirmed(written(_all_pairs(mixed, maps, percent, False), "pairs"))
+            if not new.isEmpty():
+                roots = written(connected(new if links is None else links.union(new)), "roots")
+            break
+    if roots is None:
+        roots = classes.select("node", F.col("node").alias("root")).limit(0)
 
     named = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
