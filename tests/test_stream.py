@@ -32,8 +32,8 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
     sessions = spark.createDataFrame([("s", known, 60)], SESSIONS)
     chunks = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = restore.restore_stream(chunks, sessions).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = restore.restore_stream(chunks, sessions, expire=False).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     out = {}
     for x in spark.table("restored").orderBy("seq").collect():
         out[x["stream_id"]] = out.get(x["stream_id"], "") + x["output"]

@@ -745,3 +745,35 @@ def mask_sessions(spark: SparkSession, d: str) -> DataFrame:
     back = M.unmask_items(masked.select("session_id", "text", "original"), sessions)
     out = back.groupBy("session_id").agg(F.count(F.lit(1)).alias("items"), F.sum("replacements").alias("placeholders"), F.bool_and(F.col("text") == F.col("original")).alias("restored"))
     return out
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "stream_restore",
+    """SELECT conv_id::VARCHAR AS session_id, 'turn-' || turn AS stream_id, md5(coalesce(text, '') || ' v' || conv_id || ' end <w>') AS hash, 2::BIGINT AS replacements FROM conversations""",
+)
+def stream_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with two placeholders appended, cut into chunks of 25 characters, restored by the stream."""
+    from veilmark import ship
+    from veilmark.sources.shared import shared_dir
+    from veilmark.streaming.restore import restore_stream
+
+    ship(spark)
+    items = chats.turns_as_items(spark.read.parquet(f"{d}/conversations.parquet"))
+    text = F.concat("text", F.lit(" <GR:0001> end <GR:0002>"))
+    parts = items.select("session_id", F.col("item_id").alias("stream_id"), text.alias("text"), F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 25).cast("int"))).alias("i"))
+    chunks = parts.select("session_id", "stream_id", F.col("i").cast("long").alias("seq"), F.substring("text", F.col("i") * 25 + 1, F.lit(25)).alias("chunk"), ((F.col("i") + 1) * 25 >= F.length("text")).alias("final"))
+    path = shared_dir(spark, "stream-restore")
+    chunks.write.json(f"{path}/in")
+    known = F.array(
+        F.struct(F.lit("<GR:0001>").alias("placeholder"), F.concat(F.lit("v"), "session_id").alias("original")), F.struct(F.lit("<GR:0002>").alias("placeholder"), F.lit("<w>").alias("original"))
+    )
+    sessions = items.select("session_id").distinct().select("session_id", known.alias("placeholders"), F.lit(3600).alias("ttl_seconds"))
+    stream = spark.readStream.schema(chunks.schema).json(f"{path}/in")
+    sink = restore_stream(stream, sessions, expire=False).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "output"))), lambda x: x["output"]), "")
+    return out.groupBy("session_id", "stream_id").agg(F.md5(said.cast("binary")).alias("hash"), F.sum("replacements").alias("replacements"))

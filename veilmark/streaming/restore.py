@@ -7,6 +7,7 @@ micro-batch are not ordered, so chunks carry ``seq``; one that is early waits in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ def pending(text: str, placeholders: list[tuple[str, str]]) -> int:
     return next((n for n in range(min(longest - 1, len(text)), 0, -1) if any(p.startswith(text[-n:]) for p, _ in placeholders)), 0)
 
 
-def _process(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _process(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -63,16 +64,23 @@ def _process(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         state.remove()
     else:
         state.update((buffer, due, [(s, c, f) for s, (c, f) in sorted(queue.items())]))
-        state.setTimeoutDuration(ttl * 1000)
+        if expire:
+            state.setTimeoutDuration(ttl * 1000)
     if rows:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
-def restore_stream(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``chunks(session_id, stream_id, seq, chunk, final)``, a stream or a table, restored with the (static) sessions."""
+def restore_stream(chunks: DataFrame, sessions: DataFrame, expire: bool = True) -> DataFrame:
+    """The stream ``chunks(session_id, stream_id, seq, chunk, final)`` restored with the (static) sessions.
+
+    With ``expire``, a stream's state goes when no chunk came for its session's time to live. Spark then keeps running empty
+    batches to look for such states, so a run over what is available now, which is to end, asks for none.
+    """
     known = sessions.select("session_id", F.col("placeholders").cast(PLACEHOLDERS), "ttl_seconds")
     joined = chunks.join(known, "session_id", "left").withColumn("ttl_seconds", F.coalesce("ttl_seconds", F.lit(3600)))
-    return joined.groupBy("session_id", "stream_id").applyInPandasWithState(_process, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    process = partial(_process, expire=expire)
+    return joined.groupBy("session_id", "stream_id").applyInPandasWithState(lambda k, f, s: process(k, f, s), OUTPUT, STATE, "append", timeout)
 
 
 def flush_rows(chunks: DataFrame) -> DataFrame:
