@@ -72,10 +72,12 @@ _LISTS = ("messages", "conversations")
 def _paths(record: Column) -> Column:
     """Sorted nested field paths of a JSON object."""
     keys = F.coalesce(F.json_object_keys(record), F.array())
-    nested = [
-        F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{k}[0]")), F.array()), lambda x, k=k: F.concat(F.lit(f"{k}[]."), x))
-        for k in _LISTS
-    ]
+
+    def within(name: str) -> Column:
+        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array())
+        return F.transform(inner, lambda x: F.concat(F.lit(f"{name}[]."), x))
+
+    nested = [within(name) for name in _LISTS]
     return F.array_sort(F.concat(keys, *nested))
 
 

@@ -1,51 +1,19 @@
-"""What the operators share: the shared folder, written stages, column picking."""
+"""What the operators share: tables, batches, words, and columns whose names clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.shipping import ship
+from veilmark.sources.shared import shared_dir, written
+
+__all__ = ["bound_batches", "read_table", "release_caches", "shared_dir", "shielded", "text_or_empty", "words_of", "written"]
 
 #: White space between words: space and U+0009 to U+000D (the contracts' word class is the complement).
 WORD_GAP = "[ \\t-\\r]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir`` of the session.
-
-    Where that setting is unset (tests in local mode) a temporary folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _local_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def _local_checkpoint_dir(spark: SparkSession) -> str:
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="veilmark-checkpoints-")
-    return _LOCAL[key]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts the lineage.
-
-    A lost executor loses none of it, and a later stage that is retried sees the same rows.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     bound_batches(spark)
@@ -53,11 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches to Python workers by bytes as well as rows, unless the session says otherwise: texts may be very long."""
-    for key, default, value in (("maxRecordsPerBatch", "10000", "1024"), ("maxBytesPerBatch", None, str(8 << 20))):
-        name = f"spark.sql.execution.arrow.{key}"
-        if spark.conf.get(name, default) == default or default is None:
-            spark.conf.set(name, value)
+    """Fewer rows in a batch to Python workers than Spark's default, which is meant for short rows; a value set by the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1024")
+
+
+def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns of these names renamed, and the columns that give it back as it was."""
+    own = lambda c: f"_own_{c}" if c in names else c
+    return df.select(*(F.col(c).alias(own(c)) for c in df.columns)), [F.col(own(c)).alias(c) for c in df.columns]
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table
+from veilmark.llm.common import read_table, shielded
 
 #: Bytes that end words: U+0000-2F, U+003A-60 (after lower-casing) and U+007B-7F; A-Z are lower-cased.
 _CLASS = bytes(
@@ -158,7 +158,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no test string occurs, with the columns they had."""
-    return find_passages(docs, benchmark, window).where(F.size("hits") == 0).select(*docs.columns)
+    safe, back = shielded(docs, ("n_words", "hits", "items"))
+    return find_passages(safe, benchmark, window).where(F.size("hits") == 0).select(*back)
 
 
 #: DuckDB SQL for the query: hash join of document windows with benchmark windows.

@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table, written
+from veilmark.llm.common import read_table, shielded, written
 
 SAMPLE = 6_000
 THRESHOLD = 0.5
 BROADCAST_GROUPS = 200_000
+OWN = ("p", "host_rate", "path_rate", "posterior", "kept", "_host", "_path", "n", "s", "strength")
 FEATURES = 16
 _SYMBOLS, _UPPER, _LOWER, _DIGITS, _STOPS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:?"
 
@@ -142,9 +143,7 @@ def _log_odds(p):
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``p`` (own), ``host_rate``, ``path_rate`` (own ``p`` left out), ``posterior`` and ``kept``."""
-    own = ("p", "host_rate", "path_rate", "posterior", "kept", "_host", "_path", "n", "s", "strength")
-    if clash := [c for c in docs.columns if c in own]:
-        docs = docs.drop(*clash)
+    docs = docs.drop(*(c for c in docs.columns if c in OWN))
     model = fit(docs, labels, sample)
     sites = site_rates(score(docs.select("text", host, *([path] if path != host else [])), model), host, path)
     groups = sites.count()
@@ -159,7 +158,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with the columns they had."""
-    return classify(docs, labels, **options).where("kept").select(*docs.columns)
+    safe, back = shielded(docs, OWN)
+    return classify(safe, labels, **options).where("kept").select(*back)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table, text_or_empty, words_of
+from veilmark.llm.common import read_table, shielded, text_or_empty, words_of
 
 # Fixed values of the base figures.
 SYMBOLS = "[#*$%&|<>]"
@@ -31,6 +31,8 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_SHARE = 30
 
+OWN = ("words", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept", "_t", "_l", "_d", "_h", "_s", "_p")
+
 # Parameters of the line rules.
 KEEP_SHARE = 50
 MIN_LINE_WORDS = 4
@@ -107,12 +109,14 @@ def assess(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents, their text reduced to its passing lines; the columns stay as they are."""
     text = F.array_join(F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["text"]), "\n")
-    return assess(docs).where("kept").select(*(text.alias(c) if c == "text" else c for c in docs.columns))
+    safe, back = shielded(docs, OWN)
+    return assess(safe).where("kept").select(*(text.alias(c) if c == "text" else own for c, own in zip(docs.columns, back)))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The kept documents as they are."""
-    return assess(docs).where("kept").select(*docs.columns)
+    safe, back = shielded(docs, OWN)
+    return assess(safe).where("kept").select(*back)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
