@@ -33,6 +33,8 @@ def merged(spark, rows, rank=spans.NORMALIZER_RANK, default=70):
 def test_policy_file():
     assert POLICY.resolve().name == "external" and POLICY.resolve().min_score == 0.4
     assert sum(len(d.patterns()) for d in POLICY.detectors.values() if "regex" in d.kind) == 43
+    types, least = plugins.ClassifierParams.of(POLICY.detectors["pii_token_classifier"]).gate()
+    assert len(types) == 27 and types["tin"] == "DOCUMENT_NUMBER" and least["tin"] == 0.82 and least["address"] == 0.72
     with pytest.raises(KeyError):
         POLICY.resolve("none")
     with pytest.raises(ValueError):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.labels import collapse_name, detection_label_name
 from veilmark.functions.texts import cut
 from veilmark.operators.spans import SPANS, chunk_windows, span
+from veilmark.sources.policy import Detector
 
 RAW = "array<struct<start:int,end:int,label:string,score:double>>"
 #: Loads a model in the worker; the model maps texts to lists of (start, end, label, score).
@@ -37,6 +38,12 @@ class ClassifierParams:
     window: int = 510
     overlap: int | None = None
 
+    @classmethod
+    def of(cls, detector: Detector) -> ClassifierParams:
+        """The parameters that a policy file gives a token classifier."""
+        known = {k: tuple(v) if isinstance(v, list) else v for k, v in detector.params.items() if k in cls.__dataclass_fields__}
+        return cls(**known)
+
     def gate(self) -> tuple[dict[str, str], dict[str, float]]:
         """Entity type and least score by raw label: a type's own threshold, else the raw label's, else the common one."""
         types = {k.lower(): collapse_name(v) for k, v in self.label_mapping.items()}
