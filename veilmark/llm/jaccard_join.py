@@ -475,8 +475,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are linked to one of a lesser id, directly or by others; columns stay."""
     out = written(jaccard_components(docs, words, percent), "near-copies")
-    gone = out.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = written(out.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS  # then texts stay where they are
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     twice = out.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
 
