@@ -60,10 +60,9 @@ def test_chunks_encode_as_whole_texts(rows):
     assert tokens.encoder(VOCABULARY).ids_of(texts) == [ids(t) for t in texts]
 
 
-def test_memo_stays_right_when_it_is_renewed(monkeypatch, rows):
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 5)
+def test_memo_stays_right_when_it_is_renewed(rows):
     texts = [t or "" for _, t in rows][:20]
-    assert tokens.Encoder(VOCABULARY).ids_of(texts * 2) == [ids(t) for t in texts] * 2
+    assert tokens.Encoder(VOCABULARY, 5).ids_of(texts * 2) == [ids(t) for t in texts] * 2
 
 
 def test_token_files(spark, docs, rows, none, tmp_path):

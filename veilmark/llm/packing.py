@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilmark.llm.common import read_table, text_or_empty, written
-from veilmark.llm.tokens import default_vocabulary, encoder
+from veilmark.llm.tokens import MEMO_ENTRIES, default_vocabulary, encoder
 
 TOKENS = 2048
 END_ID = 0
@@ -36,14 +36,14 @@ END_ID = 0
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
 
-def cut(docs: DataFrame, vocabulary: str, tokens: int = TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, tokens: int = TOKENS, end_id: int = END_ID, with_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces ``(doc_id, piece, start, length, ids_crc32, task, nth)``, ``nth`` among the task's pieces of that length; ids too if asked."""
     tail = end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long" + ", ids binary" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task = encoder(vocabulary).ids_of, TaskContext.get().partitionId()
+        ids_of, task = encoder(vocabulary, memo).ids_of, TaskContext.get().partitionId()
         seen = np.zeros(tokens + 1, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -116,10 +116,10 @@ def plan(counts: dict[int, int], capacity: tuple[int, int, float], rule: str = "
     return runs
 
 
-def pack(docs: DataFrame, vocabulary: str, tokens: int = TOKENS, max_pieces: int | None = None, max_cost: float | None = None, rule: str = "norm", end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, tokens: int = TOKENS, max_pieces: int | None = None, max_cost: float | None = None, rule: str = "norm", end_id: int = END_ID, with_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``. Without limits of their own, pieces and cost are bounded by the tokens alone."""
     spark = docs.sparkSession
-    rows = written(cut(docs, vocabulary, tokens, end_id, with_ids), "pieces")
+    rows = written(cut(docs, vocabulary, tokens, end_id, with_ids, memo), "pieces")
     by_task = rows.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     by_task = written(by_task.select("length", "task", "n", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row per length
@@ -155,6 +155,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(read_table(spark, sf_dir, "documents"))
 
 
-def packed_rows(docs: DataFrame) -> DataFrame:
-    out = pack(docs, default_vocabulary())
+def packed_rows(docs: DataFrame, memo: int = MEMO_ENTRIES) -> DataFrame:
+    out = pack(docs, default_vocabulary(), memo=memo)
     return out.withColumn("length", F.col("length").cast("long"))

@@ -44,7 +44,8 @@ _LETTERS = _byte_letters()
 class _Memo(dict):
     """Ids of chunks as little-endian unsigned 32-bit bytes; a missing one is encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
+        self._entries = entries
         self._tok = Tokenizer.from_file(path)
         self._model = self._tok.model
         self._old: dict[str, bytes] = {}
@@ -62,7 +63,7 @@ class _Memo(dict):
         for c in self._long:
             self.pop(c, None)
         self._long.clear()
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > self._entries:
             self._old = dict(self)
             self.clear()
 
@@ -90,8 +91,8 @@ class _Memo(dict):
 class Encoder:
     """``ids_of(texts)``: the ids of each text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
-        self._memo = _Memo(path)
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+        self._memo = _Memo(path, entries)
         ids = self._memo.ids
         #: Whether chunks can be encoded apart; else whole texts are.
         self._apart = ids("Ab, c\nab") == [*ids("ab"), *ids(","), *ids("c"), *ids("ab")] and ids(" ") == [] and self._memo.word("abé") == ids("abé")
@@ -107,15 +108,16 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 RELEASES.append(_ENCODERS.clear)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file, made once per process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+    """The worker's encoder of a vocabulary file, made once per process; ``entries`` bounds each generation of its memory."""
+    if (path, entries) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, entries] = Encoder(path, entries)
+    return _ENCODERS[path, entries]
 
 
 def default_vocabulary() -> str:
