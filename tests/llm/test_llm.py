@@ -255,6 +255,20 @@ def test_tree_matching():
     assert html_extract.induce(["page(body(nav article(h1 p)))", "page(body(article(h1 ul p) footer))"]) == "page(body(nav article(h1 ul p) footer))"
 
 
+def test_a_host_with_hundreds_of_shapes(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(400):  # 400 orders of blocks; the template text moves with the article above it
+        parts = [f"<{t}>own {i} {k}</{t}>" for k, t in enumerate(r.choice(["p", "ul", "h2", "pre", "table"]) for _ in range(r.randint(4, 9)))]
+        rows.append((i, f"http://hot.example/{i}", "<body><div>" + "".join(parts) + "<blockquote>Read on in our paper</blockquote></div>" + "".join(parts[:2]).replace("own", "more") + "</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shapes = {html_extract.parse(h)[0].text() for _, _, h in rows}
+    wrapper = html_extract.induce_wrappers(pages.select(F.lit("h").alias("host"), "html")).first()["wrapper"]
+    assert len(shapes) > 300 and all(slot >= 0 for _, _, h in rows for _, slot in html_extract.aligned(h, wrapper))
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(pages).collect()}
+    assert all("paper" not in t and f"own {i} 0" in t for i, t in got.items())
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,9 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
 1. A page is read into block texts and the tree of its block elements, in which a run of alike siblings is one node. Pages of
-   one host are counted by this shape, and the host's wrapper is the merge of its ``SHAPES`` most frequent shapes (a bounded
-   sample for the fit; every page is aligned to it later) by simple tree matching: the largest matching that keeps
-   order and ancestors. Each node of the wrapper is a slot.
+   one host are counted by this shape, and the host's wrapper is the merge of all its shapes by simple tree matching: the largest
+   matching that keeps order and ancestors. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
+   nodes, so every page's shape is in the wrapper. Each node of the wrapper is a slot.
 2. Every page is aligned to its host's wrapper by the same matching. Over all pages, a block text counts once for each different
    page of the host that has it in that slot; texts in ``CONSTANT_SHARE`` of them (and ``CONSTANT_PAGES`` at least) are
    constant and so template. Copies of a page count once, so an article that was copied stays content.
@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 
 from veilmark.llm.common import read_table, written
 
-SHAPES = 64
+PARTS = 64  # of a host's shapes, each merged by a task of its own
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 5
 BROADCAST_BYTES = 32 << 20
@@ -254,10 +254,15 @@ def induce(shapes: list[str]) -> str:
     return wrapper.text()
 
 
+@lru_cache(64)
+def _wrapper(text: str) -> Node:
+    return read_shape(text)
+
+
 @lru_cache(4096)
 def slots(wrapper: str, shape: str) -> dict[int, int]:
     """Slot (number in the wrapper) by node (number in the shape)."""
-    return {b.at: a.at for a, b in match_trees(read_shape(wrapper), read_shape(shape))[1]}
+    return {b.at: a.at for a, b in match_trees(_wrapper(wrapper), read_shape(shape))[1]}
 
 
 def _hash(text: str) -> int:
@@ -316,16 +321,14 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     """``(host, wrapper)`` for ``pages(host, html)``."""
     shapes = _map(pages, lambda b: ((h, parse(x)[0].text()) for h, x in zip(b["host"], b["html"])), "host string, shape string")
     counts = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    order = [F.desc("n"), F.col("shape")]
-    part = F.pmod(F.xxhash64("shape"), F.lit(64))
-    for by in (["host", part], ["host"]):  # of each part first, so that a host with very many shapes is no single task
-        counts = counts.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= SHAPES).drop("_r")
 
-    def of_host(rows: pd.DataFrame) -> pd.DataFrame:
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "shape"], ascending=[False, True])
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [induce(rows["shape"].tolist())]})
+        return pd.DataFrame({"host": rows["host"].iloc[:1], "shape": [induce(rows["shape"].tolist())], "n": [int(rows["n"].sum())]})
 
-    return counts.groupBy("host").applyInPandas(of_host, "host string, wrapper string")
+    for by in (["host", F.pmod(F.xxhash64("shape"), F.lit(PARTS))], ["host"]):  # parts first, so that a host with very many shapes is no single task
+        counts = counts.groupBy(*by).applyInPandas(merged, "host string, shape string, n long")
+    return counts.select("host", F.col("shape").alias("wrapper"))
 
 
 def _with_model(pages: DataFrame, models: DataFrame, small: bool) -> DataFrame:
