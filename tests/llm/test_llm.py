@@ -264,11 +264,24 @@ def test_a_host_with_hundreds_of_shapes(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     shapes = {html_extract.parse(h)[0].text() for _, _, h in rows}
     wrapper = html_extract.induce_wrappers(pages.select(F.lit("h").alias("host"), "html")).first()["wrapper"]
-    assert len(shapes) > 300 and all(slot >= 0 for _, _, h in rows for _, slot in html_extract.aligned(h, wrapper))
+    assert len(shapes) > 300 and all(slot >= 0 for _, _, h in rows for _, slot in html_extract.aligned(h, wrapper)[0])
     got = {x["page_id"]: x["text"] for x in html_extract.extract(pages).collect()}
     assert all("paper" not in t and f"own {i} 0" in t for i, t in got.items())
 
 
+def extracted(spark, pages):
+    rows = [(k, url, html) for k, (url, html) in enumerate(pages)]
+    return [r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("own", ['<body class="single right-sidebar"><div>{}</div></body>', '<body><div class="content no-sidebar">{}</div></body>', '<body><article class="post comments-open">{}</article></body>', '<body class="has-header"><main class="no-ads">{}</main></body>'])
+def test_words_do_not_drop_an_article(spark, own):
+    side = '<div class="sidebar"><ul><li>see {n}</ul></div><div class="newsletter"><p>Join us</p></div><div class="comments"><p>said {n}</p></div>'
+    inner = "<h1>Title {n}</h1><p>A long text about number {n} of the series.</p><ul><li>point {n}</ul>"
+    pages = [("http://w.example/", own.format(inner + side).replace("{n}", str(k))) for k in range(8)]
+    assert extracted(spark, pages) == [f"Title {k}\n\nA long text about number {k} of the series.\n\npoint {k}" for k in range(8)]
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

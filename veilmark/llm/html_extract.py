@@ -5,10 +5,12 @@
    matching that keeps order and ancestors. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
    nodes, so every page's shape is in the wrapper. Each node of the wrapper is a slot.
 2. Every page is aligned to its host's wrapper by the same matching. Over all pages, a block text counts once for each different
-   page of the host that has it in that slot; texts in ``CONSTANT_SHARE`` of them (and ``CONSTANT_PAGES`` at least) are
-   constant and so template. Copies of a page count once, so an article that was copied stays content.
+   page of the host that has it in that slot; texts on ``CONSTANT_SHARE`` of the host's different pages (and ``CONSTANT_PAGES`` at least) are
+   constant and so template. Texts that move between slots count over the whole page in the same way
+   (slot ``PAGE``). Copies of a page count once, so an article that was copied stays content.
 3. Varying slots are content, except those below elements for menus, headers, footers, side bars, notices, adverts, forms and
-   comments, by tag, role or class. Of a page with ``article`` elements the longest one counts, else ``main``, else all that is left
+   comments, by tag, role or class. Role and class say nothing on ``html``, ``body``, ``main`` and ``article``, nor on an element of the
+   wrapper that is above half of the host's varying slots or more and above most of their text (``spared``). Of a page with ``article`` elements the longest one counts, else ``main``, else all that is left
    and is not mostly links.
 
 Wrappers and constants go back to the pages by host: broadcast if the table is within ``BROADCAST_BYTES``, else by a join that
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -38,6 +40,7 @@ from veilmark.llm.common import read_table, written
 PARTS = 64  # of a host's shapes, each merged by a task of its own
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 5
+PAGE = -2  # as a slot: the whole page
 BROADCAST_BYTES = 32 << 20
 MAX_DEPTH = 48  # of the shape tree; deeper elements count as their ancestor at that depth
 
@@ -51,6 +54,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template iframe svg math object textarea select title head button canvas audio video".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROP_TAGS = frozenset("nav footer aside form dialog menu".split())
+_NO_WORDS = frozenset("html body main article".split())  # their class, id and role drop nothing
 _DROP_WORDS = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent "
     "gdpr notice alert popup modal overlay newsletter subscribe subscription comment comments disqus share sharing social related breadcrumb breadcrumbs "
@@ -75,25 +79,28 @@ class Node:
 
 
 class _Open:
-    __slots__ = ("tag", "node", "depth", "drop", "header", "article", "main", "heading")
+    __slots__ = ("tag", "node", "depth", "drop", "named", "header", "article", "main", "heading")
 
-    def __init__(self, tag, node, depth, drop, header, article, main, heading):
-        self.tag, self.node, self.depth, self.drop, self.header = tag, node, depth, drop, header
+    def __init__(self, tag, node, depth, drop, named, header, article, main, heading):
+        self.tag, self.node, self.depth, self.drop, self.named, self.header = tag, node, depth, drop, named, header
         self.article, self.main, self.heading = article, main, heading
 
 
 class Block:
-    __slots__ = ("text", "links", "node", "drop", "article", "main")
+    """``drop`` is by tag; ``named`` are the nodes above whose words would drop the block."""
+
+    __slots__ = ("text", "links", "node", "drop", "named", "article", "main")
 
     def __init__(self, text, links, of: _Open):
         self.text, self.links, self.node, self.article, self.main = text, links, of.node, of.article, of.main
         self.drop = of.drop or of.header and not of.heading
+        self.named = tuple(node for node, headings_stay in of.named if not (headings_stay and of.heading))
 
 
 def parse(html: str | None) -> tuple[Node, list[Block]]:
     """The shape and the non-empty blocks of a page, in order."""
     html, root = html or "", Node("page")
-    top = _Open("", root, 0, False, False, 0, False, False)
+    top = _Open("", root, 0, False, (), False, 0, False, False)
     stack, blocks, buf, links, in_link, articles, at = [top], [], [], 0, 0, 0, 0
 
     def say(s: str) -> None:
@@ -152,8 +159,7 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
                 del stack[k:]
             elif stack[k].tag in _FENCE:
                 break
-        named = " ".join(x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(m[3])).lower()
-        names = re.split(r"[^a-z]+", named)
+        names = re.split(r"[^a-z]+", " ".join(x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(m[3])).lower())
         up = stack[-1]
         key = ".".join([tag, *sorted({x for x in names if x})])
         node = up.node
@@ -161,15 +167,20 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
             if not (node.kids and node.kids[-1].key == key):
                 node.kids.append(Node(key))
             node = node.kids[-1]
-        drop = up.drop or tag in _DROP_TAGS or not _DROP_WORDS.isdisjoint(names)
-        header = tag == "header" or "header" in names
-        if header and not (up.article or up.main):
+        drop = up.drop or tag in _DROP_TAGS
+        if tag == "header" and not (up.article or up.main):
             drop = True
+        named = up.named
+        if tag not in _NO_WORDS:
+            if not _DROP_WORDS.isdisjoint(names):
+                named = (*named, (node, False))
+            elif "header" in names and tag != "header":
+                named = (*named, (node, bool(up.article or up.main)))
         article = up.article
         if tag == "article" and not drop and not article:
             articles += 1
             article = articles
-        stack.append(_Open(tag, node, up.depth + 1, drop, up.header or header, article, up.main or tag == "main" or "main" in names, up.heading or tag in _HEADINGS))
+        stack.append(_Open(tag, node, up.depth + 1, drop, named, up.header or tag == "header", article, up.main or tag == "main" or "main" in names, up.heading or tag in _HEADINGS))
     if at < len(html):
         say(html[at:])
     flush()
@@ -269,16 +280,45 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def aligned(html: str | None, wrapper: str) -> list[tuple[Block, int]]:
-    """The blocks with the slot that each is in; -1 where the wrapper has none."""
+def aligned(html: str | None, wrapper: str) -> tuple[list[tuple[Block, int]], Callable[[Node], int]]:
+    """The blocks with the slot that each is in, and the slot of a node; -1 where the wrapper has none."""
     root, blocks = parse(html)
     number(root)
     at = slots(wrapper, root.text()) if blocks else {}
-    return [(b, at.get(b.node.at, -1)) for b in blocks]
+    return [(b, at.get(b.node.at, -1)) for b in blocks], lambda node: at.get(node.at, -1)
 
 
-def main_text(html: str | None, wrapper: str, constants: frozenset[tuple[int, int]]) -> str:
-    left = [b for b, slot in aligned(html, wrapper) if not b.drop and (slot, _hash(b.text)) not in constants]
+@lru_cache(1024)
+def spared(wrapper: str, varying: str | None) -> frozenset[int]:
+    """Slots whose words drop nothing: they are above half of the varying slots or more and above most of their text.
+
+    ``varying`` is JSON of ``[slot, characters]``.
+    """
+    text = dict(json.loads(varying)) if varying else {}
+    out: dict[int, tuple[int, int]] = {}
+
+    def below(node: Node) -> tuple[int, int]:
+        n, size = int(node.at in text), text.get(node.at, 0)
+        for k in node.kids:
+            more = below(k)
+            n, size = n + more[0], size + more[1]
+        out[node.at] = n, size
+        return n, size
+
+    all_n, all_size = below(_wrapper(wrapper))
+    return frozenset(slot for slot, (n, size) in out.items() if 2 * n >= all_n and 2 * size > all_size)
+
+
+def main_text(html: str | None, wrapper: str, constants: frozenset[tuple[int, int]], varying: str | None = None) -> str:
+    blocks, above = aligned(html, wrapper)
+    free = spared(wrapper, varying)
+    left = []
+    for b, slot in blocks:
+        if b.drop or any(above(node) not in free for node in b.named):
+            continue
+        h = _hash(b.text)
+        if (slot, h) not in constants and (PAGE, h) not in constants:
+            left.append(b)
     sizes: dict[int, int] = {}
     for b in left:
         if b.article:
@@ -342,25 +382,41 @@ def extract(pages: DataFrame) -> DataFrame:
     small = (models.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
 
     def block_rows(b: dict):
+        """Each text of each slot, and each slot (``block`` null), with the characters of its different texts."""
         for host, html, wrapper in zip(b["host"], b["html"], b["wrapper"]):
-            page = _hash(html or "")
-            for slot, block in {(s, _hash(x.text)) for x, s in aligned(html, wrapper) if not x.drop}:
-                yield host, slot, block, page
-
-    seen = _map(_with_model(pages.select("host", "html"), models, small), block_rows, "host string, slot long, block long, page long")
-    by_text = seen.distinct().groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONSTANT_PAGES)
-    sizes = pages.select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    constants = by_text.join(sizes, "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    # at most 1 / CONSTANT_SHARE texts for each block of a page, so a host's list is short
+            page, of, long = _hash(html or ""), {}, {}
+            for x, slot in aligned(html, wrapper)[0]:
+                if not x.drop:
+                    h = _hash(x.text)
+                    long[h] = len(x.text)
+                    of.setdefault(slot, set()).add(h)
+                    of.setdefault(PAGE, set()).add(h)
+            for slot, blocks in of.items():
+                yield host, slot, None, page, sum(long[h] for h in blocks)
+                for h in blocks:
+                    yield host, slot, h, page, long[h]
+
+    seen = _map(_with_model(pages.select("host", "html"), models, small), block_rows, "host string, slot long, block long, page long, chars long")
+    counts = seen.distinct().groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    counts = written(counts.where("block is null or n >= 2"), "block-counts")
+    sizes = counts.where("block is null").select("host", "slot", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
+    hosts = sizes.where(F.col("slot") == PAGE).select("host", F.col("pages").alias("host_pages"))
+    constants = counts.where("block is not null").join(sizes, ["host", "slot"]).join(hosts, "host").where((F.col("n") >= CONSTANT_SHARE * F.col("host_pages")) & (F.col("n") >= CONSTANT_PAGES))
+    constants = written(constants.select("host", "slot", "block", "chars"), "constants")
+    # at most 1 / CONSTANT_SHARE texts for each block of a slot's pages, so a host's list is short
     lists = constants.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "block")))).alias("constants"))
-    models = written(models.join(lists, "host", "left"), "models")
-    small = (models.agg(F.sum(F.length("wrapper") + F.length("host") + F.coalesce(F.length("constants"), F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES
+    fixed = constants.groupBy("host", "slot").agg(F.sum("chars").alias("fixed"))
+    left = sizes.where(F.col("slot") >= 0).join(fixed, ["host", "slot"], "left").select("host", "slot", (F.col("all_chars") - F.coalesce("fixed", F.lit(0))).alias("chars")).where("chars > 0")
+    left = left.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "chars")))).alias("varying"))
+    models = written(models.join(lists, "host", "left").join(left, "host", "left"), "models")
+    longs = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("wrapper", "constants", "varying")), F.length("host"))
+    small = (models.agg(F.sum(longs)).first()[0] or 0) <= BROADCAST_BYTES
 
     def texts(b: dict):
-        for page, url, html, wrapper, constants in zip(b["page_id"], b["url"], b["html"], b["wrapper"], b["constants"]):
-            yield page, url, main_text(html, wrapper, _constants(constants))
+        for page, url, html, wrapper, constants, varying in zip(*(b[c] for c in ("page_id", "url", "html", "wrapper", "constants", "varying"))):
+            yield page, url, main_text(html, wrapper, _constants(constants), varying)
 
-    joined = _with_model(pages, models, small).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "constants")
+    joined = _with_model(pages, models, small).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "constants", "varying")
     return _map(joined, texts, "page_id long, url string, text string")
 
 
