@@ -282,6 +282,16 @@ def test_words_do_not_drop_an_article(spark, own):
     assert extracted(spark, pages) == [f"Title {k}\n\nA long text about number {k} of the series.\n\npoint {k}" for k in range(8)]
 
 
+def test_constants_of_layouts_and_of_small_hosts(spark):
+    a = "<div><h1>Title {n}</h1><p>Text {n}</p><blockquote>Printed on paper</blockquote></div>"
+    b = "<table><tr><td>Entry {n}</td></tr></table><pre>All prices in euro</pre>"
+    two = [("http://two.example/", (a if k % 2 else b).replace("{n}", str(k))) for k in range(20)]
+    few = [("http://few.example/", a.replace("{n}", str(k))) for k in range(2)]
+    got = extracted(spark, two + few + [("http://one.example/", a.replace("{n}", "x"))])
+    assert got[:20] == [f"Title {k}\n\nText {k}" if k % 2 else f"Entry {k}" for k in range(20)]
+    assert got[20:] == ["Title 0\n\nText 0", "Title 1\n\nText 1", "Title x\n\nText x\n\nPrinted on paper"]
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@
    matching that keeps order and ancestors. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
    nodes, so every page's shape is in the wrapper. Each node of the wrapper is a slot.
 2. Every page is aligned to its host's wrapper by the same matching. Over all pages, a block text counts once for each different
-   page of the host that has it in that slot; texts on ``CONSTANT_SHARE`` of the host's different pages (and ``CONSTANT_PAGES`` at least) are
-   constant and so template. Texts that move between slots count over the whole page in the same way
+   page of the host that has it in that slot; texts on ``CONSTANT_SHARE`` of the different pages that have the slot are constant and
+   so template. They must be on a fifth of the host's pages, 2 at least and ``CONSTANT_PAGES`` at most, so that two edits of one
+   article in a rare slot stay content. Texts that move between slots count over the whole page in the same way
    (slot ``PAGE``). Copies of a page count once, so an article that was copied stays content.
 3. Varying slots are content, except those below elements for menus, headers, footers, side bars, notices, adverts, forms and
    comments, by tag, role or class. Role and class say nothing on ``html``, ``body``, ``main`` and ``article``, nor on an element of the
@@ -400,8 +401,8 @@ def extract(pages: DataFrame) -> DataFrame:
     counts = seen.distinct().groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     counts = written(counts.where("block is null or n >= 2"), "block-counts")
     sizes = counts.where("block is null").select("host", "slot", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
-    hosts = sizes.where(F.col("slot") == PAGE).select("host", F.col("pages").alias("host_pages"))
-    constants = counts.where("block is not null").join(sizes, ["host", "slot"]).join(hosts, "host").where((F.col("n") >= CONSTANT_SHARE * F.col("host_pages")) & (F.col("n") >= CONSTANT_PAGES))
+    hosts = sizes.where(F.col("slot") == PAGE).select("host", F.least(F.lit(CONSTANT_PAGES), F.greatest(F.lit(2), F.ceil(F.col("pages") / 5))).alias("least"))
+    constants = counts.where("block is not null").join(sizes, ["host", "slot"]).join(hosts, "host").where((F.col("n") >= CONSTANT_SHARE * F.col("pages")) & (F.col("n") >= F.col("least")))
     constants = written(constants.select("host", "slot", "block", "chars"), "constants")
     # at most 1 / CONSTANT_SHARE texts for each block of a slot's pages, so a host's list is short
     lists = constants.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "block")))).alias("constants"))
