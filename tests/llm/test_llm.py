@@ -168,6 +168,22 @@ def test_jaccard_edge_cases(spark, docs, rows, none):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, _, c in components(rows, 4, 85)}
 
 
+def test_one_of_each_keeps_rows_by_their_texts(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*w[:k], f"x{k}", *w[k + 1 :]])
+    rows = [
+        (None, near(1)), (None, near(30)), (None, "a text of its own with no id"), (None, "another text of its own without id"), (None, "another text of its own without id"),
+        (7, "one text that has the number seven"), (7, "quite another one that has this number too"), (8, "text with number eight is here twice"), (8, "text with number eight is here twice"),
+        (None, ""), (None, None), (9, " "), (9, " "),
+    ]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("own")), 4, 70)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "kept"] and sum(got[r] for r in rows[:2]) == 1
+    assert got - Counter(rows[:2]) == Counter(set(rows[2:9]) | set(rows[9:])) + Counter([(9, " ")])
+    linked = jaccard_join.jaccard_components(spark.createDataFrame([(None, near(30)), (1, near(10)), (2, near(50))], "doc_id long, text string"), 4, 70)
+    assert {r["component_id"] for r in linked.collect()} == {1}
+
+
 def test_large_blocks_are_chunked(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 4)
     rows = near_copies(9, groups=3, copies=20)

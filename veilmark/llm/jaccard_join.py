@@ -22,8 +22,8 @@ is lost and no group meets as a whole:
 
 A group of copies or near copies is thus one component after the first step and takes no part in the second.
 
-Defined cases: null or blank text has an empty set and links with nothing; a null ``doc_id`` is in its class's component (null if it has
-none); repeated rows each give a row; an empty table gives no rows; other columns are ignored.
+Defined cases: null or blank text has an empty set and links with nothing; a null ``doc_id`` is in its class's component, which links like any (null if no document of it has
+an id); repeated rows each give a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import read_table, release_caches, written
@@ -196,7 +196,12 @@ def _digest(s: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SET_SCHEMA = "doc_id long, n int, node long, other long, map binary, part int, counts binary"
+_SET_SCHEMA = "doc_id long, key long, n int, node long, other long, map binary, part int, counts binary"
+
+
+def _key(docs: DataFrame) -> Column:
+    """One number for the rows of equal id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
 
 
 def _sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
@@ -215,16 +220,16 @@ def _sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(maps, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
-                names=["doc_id", "n", "node", "other", "map", "part", "counts"],
+                [b.column("doc_id"), b.column("key"), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(maps, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                names=["doc_id", "key", "n", "node", "other", "map", "part", "counts"],
             )
         none = [None] * PARTS
         yield pa.RecordBatch.from_arrays(
-            [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, PARTS)], pa.binary())],
-            names=["doc_id", "n", "node", "other", "map", "part", "counts"],
+            [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, PARTS)], pa.binary())],
+            names=["doc_id", "key", "n", "node", "other", "map", "part", "counts"],
         )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SET_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key(docs).alias("key")).mapInArrow(run, _SET_SCHEMA)
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -289,22 +294,31 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token", "salt").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long")
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``(node, n, set)`` of the classes in ``pairs``, one row each."""
+def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, seed: int) -> DataFrame:
+    """``(node, n, set)`` of the classes in ``pairs``, one row each.
+
+    A class's text is found by the key of one of its rows; the digest tells whether it is the class's indeed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in _slices(batches):
-            sets = list(shingle_sets(b.column("text").to_pylist(), k))
+            nodes = b.column("node").to_pylist()
+            new = [i for i, node in enumerate(nodes) if node not in done]
+            texts = b.column("text").take(pa.array(new, pa.int64())).to_pylist()
+            out = {nodes[i]: s for i, s in zip(new, shingle_sets(texts, k)) if len(s) and _digest(s, seed)[0] == nodes[i]}
+            done |= out.keys()
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "set"]
+                [pa.array(list(out), pa.int64()), pa.array([len(s) for s in out.values()], pa.int32()), pa.array([s.tobytes() for s in out.values()], pa.binary())], names=["node", "n", "set"]
             )
 
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "doc_id"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    return written(rows.select("node", "text").mapInArrow(run, "node long, n int, set binary"), "whole-sets")
+    wanted = written(classes.join(nodes, "node", "left_semi").select("node", "key"), "wanted")
+    count = wanted.count()
+    texts = docs.select(_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "key")
+    sets = written(rows.select("node", "text").mapInArrow(run, "node long, n int, set binary"), "whole-sets")
+    return sets if sets.count() == count else sets.dropDuplicates(["node"])  # rows of equal id and text were in several tasks
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------------
@@ -429,25 +443,29 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per document."""
+    return _rooted(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _rooted(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same with ``key`` and ``root``, a class of the component (null without shingles)."""
     for seed in range(8):
         rows = written(_sets(docs, words, seed), "shingle-sets")
-        ids = rows.where("part is null").select("doc_id", "n", "node", "other")
-        classes = written(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("other").alias("_a"), F.max("other").alias("_b")), "classes")
+        ids = rows.where("part is null").select("doc_id", "key", "n", "node", "other")
+        classes = written(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("other").alias("_a"), F.max("other").alias("_b")), "classes")
         if classes.where("_a <> _b").isEmpty():
             break
     else:
         raise RuntimeError("digests of different sets were equal for every seed")
-    classes = classes.select("node", "doc_id", "n")
+    classes = classes.select("node", "doc_id", "key", "n")
     shared = written(_shared(_prefixes(docs, words, percent, seed, _sketch(rows))), "shared-prefixes")
     least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 50))
     rich = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(classes.select("node", "n"), "node").where(F.col("c") >= least).select("node")
     shared = written(shared.join(rich, "node", "left_semi"), "shared-prefixes")
     maps = rows.where("node is not null").select("node", "n", "map").join(shared.select("node").distinct(), "node", "left_semi")
     maps = written(maps.dropDuplicates(["node"]), "bitmaps")
-    known = classes.where("doc_id is not null")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_checked(pairs, _whole_sets(docs, known, pairs, words), percent).distinct(), "links")
+        return written(_checked(pairs, _whole_sets(docs, classes, pairs, words, seed), percent).distinct(), "links")
 
     links, roots = None, None
     for round_ in range(ROUNDS + 2):
@@ -467,19 +485,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     named = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(named.join(least, "root").select("node", "component_id"), "components")
+    named = written(named.join(least, "root").select("node", "root", "component_id"), "components")
     out = ids.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", "root", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are linked to one of a lesser id, directly or by others; columns stay."""
-    out = written(jaccard_components(docs, words, percent), "near-copies")
-    gone = written(out.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_ROWS  # then texts stay where they are
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    twice = out.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each component, and the documents without shingles; columns stay.
+
+    The row of the least id stays, nulls last; of several texts with that id the one of the least key, and of equal ones any.
+    """
+    rows = _rooted(docs, words, percent).where("n_shingles > 0").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
+    rows = written(rows.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("at"), "c"), "near-copies")
+    best = rows.groupBy("root").agg(F.min("at").alias("best"))
+    gone = written(rows.join(best, "root").where("at <> best").select(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")).distinct(), "gone")
+    twice = written(rows.join(best, "root").where("at = best and c > 1").select(F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")), "twice")
+
+    def among(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        few = some.count() <= BROADCAST_ROWS  # then texts stay where they are
+        return df.join(F.broadcast(some) if few else some, df["doc_id"].cast("long").eqNullSafe(some["_id"]) & (_key(df) == some["_key"]), how)
+
+    kept = among(docs, gone, "left_anti")
+    if twice.isEmpty():
+        return kept
+    return among(kept, twice, "left_anti").unionByName(among(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
