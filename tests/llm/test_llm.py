@@ -341,6 +341,15 @@ def test_decontaminate(spark, docs, rows, none, block):
     assert decontaminate.drop_contaminated(docs, bench.where("false")).count() == docs.count()
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_items_without_id_give_hits(spark, block):
+    bench = spark.createDataFrame([(None, "a passage that nobody should learn by heart at all, ever"), (4, "the river"), (None, "the river")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: A passage that nobody should learn by heart at all, ever."), (2, "by the river"), (3, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["hits"], r["items"]) for r in decontaminate.find_passages(docs, bench, 10, block).collect()}
+    assert got == {1: ([1, 12], []), 2: ([1, 3], [4]), 3: ([], [])}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 

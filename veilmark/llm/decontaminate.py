@@ -10,8 +10,9 @@ their own tables, so that short items do not shorten the skips of the others.
 The benchmark is cut into blocks of at most ``block_chars`` characters by a checked sum, so what is broadcast
 is bounded; each block is one more pass of the same tasks, without any shuffle of documents.
 
-Defined cases: null text has no words and no hits; an item without words is no test string; items with equal
-windows are each counted; repeated documents each give a row; an empty benchmark leaves every document
+Defined cases: null text has no words and no hits; an item without words is no test string; an item with null ``item_id``
+gives hits as any other, so its documents are contaminated, but no id, so it is neither in ``n_items`` nor in ``items_sha256`` (as with
+``count(DISTINCT)`` in SQL); items with equal windows are each counted; repeated documents each give a row; an empty benchmark leaves every document
 clean; other columns of either table are ignored.
 """
 
@@ -83,13 +84,15 @@ class WuManber:
             end += step
 
 
-def tables(items: list[tuple[int, str]], window: int) -> list[WuManber]:
+def tables(items: list[tuple[int | None, str]], window: int) -> list[WuManber]:
     by_length: dict[int, dict[tuple, set[int]]] = {}
     for item, text in items:
         ws = words(text)
         m = min(window, len(ws))
         for i in range(len(ws) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(ws[i : i + m]), set()).add(item)
+            own = by_length.setdefault(m, {}).setdefault(tuple(ws[i : i + m]), set())
+            if item is not None:
+                own.add(item)
     return [WuManber(s, m) for m, s in sorted(by_length.items())]
 
 
@@ -107,7 +110,7 @@ def covered(starts: list[tuple[int, int]]) -> list[int]:
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (hit word intervals) and ``items`` (ids with an occurring window); other columns stay."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = total // block_chars + 1
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
