@@ -409,6 +409,21 @@ def test_chat_format(spark):
     assert chat.chat_digests(chat.format_turns(chat.canonical_turns(df.where("false")))).count() == 0
 
 
+def test_texts_beyond_the_json_reader_limit(spark):
+    long = F.expr("repeat('abcdefghij', 2050000)")
+    one = spark.range(1, numPartitions=1)
+    turn = one.select(F.to_json(F.struct(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), long.alias("text"))).alias("record"))
+    listed = one.select(F.to_json(F.struct(F.lit(2).alias("conv_id"), F.array(F.struct(F.lit("user").alias("role"), long.alias("content"))).alias("messages"))).alias("record"))
+    got = chat.canonical_turns(turn.unionByName(listed)).select("conv_id", "layout", F.length(F.col("turns")[0]["text"]).alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(1, "turn", 20_500_000), (2, "messages", 20_500_000)]
+
+
+@pytest.mark.parametrize("record", ['{"conv_id": 1, "turn": 0, "role"', "no JSON", '{"conv_id": "one", "turn": 0, "role": "user", "text": "t"}'])
+def test_records_that_are_not_read_are_errors(spark, record):
+    with pytest.raises(Exception, match="no JSON|MALFORMED_RECORD"):
+        chat.canonical_turns(spark.createDataFrame([(record,)], "record string")).collect()
+
+
 def test_escape_is_reversible(spark):
     r = random.Random(6)
     parts = [*chat.CONTROLS, "\\", "<", "[", "s>", "/s>", "INST]", "<\\", "|im_end|>", "x", "\n"]

@@ -14,7 +14,7 @@ in one place because the digest and the format are sequential; conversations are
 
 Defined cases: null text is empty; null role is the empty role; a null ``conv_id`` is one conversation of its own; turns of
 equal number are ordered by role and text and all are kept; unknown layouts give no turns and are
-reported by ``layout`` null; an empty table gives no rows (but the added conversation); other columns are ignored.
+reported by ``layout`` null; a record that is no JSON, or whose values do not fit its layout, is an error; an empty table gives no rows (but the added conversation); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,14 +67,20 @@ LAYOUTS: dict[str, tuple[list[str], list[str], str, str]] = {
     ),
 }
 _LISTS = ("messages", "conversations")
+#: Spark's JSON functions without options read no string beyond ``LONG`` characters.
+LONG = 20_000_000
+_READ = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 
 
 def _paths(record: Column) -> Column:
     """Sorted nested field paths of a JSON object."""
-    keys = F.coalesce(F.json_object_keys(record), F.array())
+    unread = record.isNotNull() & F.get_json_object(record, "$").isNull()
+    keys = F.coalesce(F.json_object_keys(record), F.when(unread, F.raise_error(F.lit("a chat record is no JSON")).cast("array<string>")), F.array())
 
     def within(name: str) -> Column:
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array())
+        first = F.map_keys(F.get(F.from_json(record, f"{name} array<map<string,string>>", _READ)[name], F.lit(0)))
+        usual = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+        inner = F.coalesce(F.when((F.length(record) > LONG) & F.array_contains(keys, name), first).otherwise(usual), F.array())
         return F.transform(inner, lambda x: F.concat(F.lit(f"{name}[]."), x))
 
     nested = [within(name) for name in _LISTS]
@@ -102,7 +108,7 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     turns = conv = None
     for name, (_, _, schema, sql) in LAYOUTS.items():
         col = f"r_{name}"
-        df = df.withColumn(col, F.when(F.col("layout") == name, F.from_json("record", schema)))
+        df = df.withColumn(col, F.when(F.col("layout") == name, F.from_json("record", schema, _READ)))
         own, cid = F.expr(sql.replace("r.", f"{col}.")).cast(TURNS), F.col(f"{col}.conv_id")
         chosen = F.col("layout") == name
         turns, conv = (turns.when(chosen, own), conv.when(chosen, cid)) if turns is not None else (F.when(chosen, own), F.when(chosen, cid))
