@@ -155,6 +155,19 @@ def detect_urls_pages(spark: SparkSession, d: str) -> DataFrame:
     return _values(pages, D.find_pattern(F.col("text"), *_pattern("url_http")), "page_id")
 
 
+@query("detect_urls_whole_pages")
+def detect_urls_whole_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of each URL pattern in the url and the whole html of every page."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+
+    def named(name: str) -> Column:
+        return F.transform(D.find_pattern(F.col("text"), *_pattern(name)), lambda s: F.struct(F.lit(name).alias("pattern"), s["start"].alias("start"), s["end"].alias("end")))
+
+    spans = F.flatten(F.array(*map(named, ("url_http", "url_www", "url_domain_tld"))))
+    found = pages.select("page_id", "text", F.explode(spans).alias("s")).select("page_id", "s.pattern", T.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
+    return found.groupBy("page_id", "pattern", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "detect_entropy_secret",
     r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9_\-/+=]{20,}\b')) AS value FROM documents),
@@ -202,6 +215,14 @@ def payment_card_signal(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", T.card_signal(F.col("text"), F.col("s.start"), F.col("s.end")).alias("c")).select("id", "c.*")
 
 
+@query("payment_card_signal_documents")
+def payment_card_signal_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The card signal of every ``bank_card`` match in documents."""
+    found = _documents(spark, d).select("doc_id", "text", F.explode(D.find_pattern(F.col("text"), *_pattern("bank_card"))).alias("s"))
+    signal = T.card_signal(F.col("text"), F.col("s.start"), F.col("s.end"))
+    return found.select("doc_id", F.col("s.start").alias("start_"), F.col("s.end").alias("end_"), signal.alias("c")).select("doc_id", "start_", "end_", "c.*")
+
+
 # --- labels and scalars ----------------------------------------------------------------------------------------------
 
 _LABEL_CASES = "PERSON full_name first-name ADDRESS_CITY city TIN snils MILITARY_NUMBER vehicle_number CREDIT_CARD secret_key ZIP IPV6 BIRTHDATE WEBSITE HOMEPAGE_URL ORG_UNIT STREET_LOC VISA_CARD PRIVATE_KEY OTHER".split()
