@@ -9,7 +9,8 @@
    is permuted again; ``slot`` is the row's place in its shard.
 
 Everything that touches rows is DataFrame operations on the JVM; the driver draws the matrix from one count per
-source partition. The law is ``rows``: shard counts differ by one at most. Keys are ``rand`` of a seed, so a row's content
+source partition, whatever the number of rows (no draw is limited to populations below 10**9), and writes it as a table in
+slices of ``CELLS`` numbers. The law is ``rows``: shard counts differ by one at most. Keys are ``rand`` of a seed, so a row's content
 does not matter: copies (equal texts) are spread as any rows are.
 
 Defined cases: null text has size 16 and the CRC-32 of nothing, 0; repeated rows each get a slot; fewer rows than shards
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilmark.llm.common import read_table, text_or_empty, written
+from veilmark.llm.common import read_table, shared_dir, text_or_empty, written
 
 SHARDS = 40
+CELLS = 1 << 16  # of the matrix in one literal of a plan
+BROADCAST_CELLS = 4_000_000  # 32 MB
+_SIGMAS = 9  # beyond which a draw has less chance than a double can tell (below 1e-17)
 _OWN = ("_part", "_nth", "_key", "_mid", "_at", "shard", "slot")
 
 
@@ -48,11 +52,44 @@ def _draw(draw: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
     out, rest = np.zeros_like(colours), int(colours.sum())
     for k, c in enumerate(colours):
         rest -= int(c)
-        out[k] = draw.hypergeometric(int(c), rest, n) if n and c else 0
+        out[k] = hypergeometric(draw, int(c), rest, n) if n and c else 0
         n -= int(out[k])
     return out
 
 
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn from ``good + bad`` are good, for populations of any size.
+
+    By inversion: the weights of the values around the mode follow from the ratios of neighbours, which need no factorials.
+    """
+    total = good + bad
+    if n > total - n:  # what is left behind has the same law and is less
+        return good - hypergeometric(draw, good, bad, total - n)
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    share = good / total
+    sigma = np.sqrt(n * share * (1 - share) * (total - n) / max(1, total - 1))
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    reach = int(_SIGMAS * sigma) + 64
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratio = (good - k) * (n - k) / ((k + 1) * (bad - n + k + 1))  # of the weights of k + 1 and k
+    below, above = ratio[: mode - low], ratio[mode - low :]
+    upto = np.cumsum(np.concatenate([np.cumprod(1 / below[::-1])[::-1], [1.0], np.cumprod(above)]))
+    return low + int(np.searchsorted(upto, draw.random() * upto[-1], side="right"))
+
+
+def _matrix_table(spark: SparkSession, partitions: list[int], ends: np.ndarray) -> DataFrame:
+    """``(_part, ends)`` as a table in the shared folder, written in slices."""
+    path, rows = shared_dir(spark, "matrix"), max(1, CELLS // max(1, ends.shape[1]))
+    for at in range(0, max(1, len(partitions)), rows):
+        some = [{"_part": p, "ends": e} for p, e in zip(partitions[at : at + rows], ends[at : at + rows].tolist())]
+        table = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(some)), "array<struct<_part:int,ends:array<bigint>>>")))
+        table.write.mode("append").parquet(path)
+    return spark.read.schema("_part int, ends array<bigint>").parquet(path)
+
+
 def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame:
     """``df`` with ``shard`` and ``slot``."""
     spark = df.sparkSession
@@ -63,10 +100,8 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame
 
     counts = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
     matrix = communication_matrix([n for _, n in counts], shards, seed)
-    ends = np.cumsum(matrix, axis=1).tolist()
-    literal = F.lit(json.dumps([{"_part": p, "ends": e} for (p, _), e in zip(counts, ends)]))
-    table = spark.range(1, numPartitions=1).select(F.inline(F.from_json(literal, "array<struct<_part:int,ends:array<bigint>>>")))
-    small = len(counts) * shards <= 4_000_000  # 32 MB; beyond that Spark chooses the join
+    table = _matrix_table(spark, [p for p, _ in counts], np.cumsum(matrix, axis=1))
+    small = matrix.size <= BROADCAST_CELLS  # beyond that Spark chooses the join
     dealt = rows.join(F.broadcast(table) if small else table, "_part").select(
         *keep, F.size(F.filter("ends", lambda e: e <= F.col("_nth"))).alias("shard"), F.rand(seed + 1).alias("_key")
     )
