@@ -1,9 +1,9 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-A record is a JSON object. Its schema fingerprint is the hash of the sorted, nested paths of its fields (the
-fields of a list's first element count, as ``messages[].role``); nulls of optional fields do not change a layout's
-mapping because each layout lists the sets of paths it may have. The mapping that a fingerprint selects is SQL over the
-record: it gives an array of ``(turn, role, text)``. Records of one conversation are then joined in order.
+A record is a JSON object, or a row of a table. Its schema fingerprint is the hash of the nested paths of all its fields, at any
+depth and of all elements of its lists (as ``messages[].role``); a null field counts as a field, and each layout lists the sets of paths it
+may have. Records have a fingerprint each, tables one for all their rows, so columns need no JSON. The mapping that a
+fingerprint selects is SQL over the record: it gives an array of ``(turn, role, text)``. Records of one conversation are then joined in order.
 
 The template is ChatML: ``<|im_start|>role\\ntext<|im_end|>\\n``. A control string inside a text gets a backslash after its
 first character, one more if it already has some, so texts hold no control string and are restored
@@ -14,7 +14,8 @@ in one place because the digest and the format are sequential; conversations are
 
 Defined cases: null text is empty; null role is the empty role; a null ``conv_id`` is one conversation of its own; turns of
 equal number are ordered by role and text and all are kept; unknown layouts give no turns and are
-reported by ``layout`` null; a record that is no JSON, or whose values do not fit its layout, is an error; an empty table gives no rows (but the added conversation); other columns are ignored.
+reported by ``layout`` null; a record that is no JSON, or whose values do not fit its layout, or beyond the 128 MB of a variant, is an error (texts in columns
+have no such limit but that of a value); repeated rows are turns of their own; an empty table gives no rows (but the added conversation); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmark.llm.common import read_table
 
@@ -66,29 +68,50 @@ LAYOUTS: dict[str, tuple[list[str], list[str], str, str]] = {
         "struct(CAST(1 AS bigint) AS turn, 'assistant' AS role, r.output AS text)))",
     ),
 }
-_LISTS = ("messages", "conversations")
-#: Spark's JSON functions without options read no string beyond ``LONG`` characters.
-LONG = 20_000_000
+#: Spark's JSON functions without options read no string beyond 20,000,000 characters.
 _READ = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
+_SCALARS = r": (?:BIGINT|BOOLEAN|DATE|DECIMAL\(\d+, ?\d+\)|DOUBLE|STRING|VARIANT|VOID)(?=[,>])"
 
 
-def _paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object."""
-    unread = record.isNotNull() & F.get_json_object(record, "$").isNull()
-    keys = F.coalesce(F.json_object_keys(record), F.when(unread, F.raise_error(F.lit("a chat record is no JSON")).cast("array<string>")), F.array())
+def fingerprint(record: Column) -> Column:
+    """Hash of a JSON record's nested paths: its schema without the types of its values."""
+    shape = F.schema_of_variant(F.from_json(record, "variant", _READ))
+    return F.md5(F.regexp_replace(shape, _SCALARS, "").cast("binary"))
 
-    def within(name: str) -> Column:
-        first = F.map_keys(F.get(F.from_json(record, f"{name} array<map<string,string>>", _READ)[name], F.lit(0)))
-        usual = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        inner = F.coalesce(F.when((F.length(record) > LONG) & F.array_contains(keys, name), first).otherwise(usual), F.array())
-        return F.transform(inner, lambda x: F.concat(F.lit(f"{name}[]."), x))
 
-    nested = [within(name) for name in _LISTS]
-    return F.array_sort(F.concat(keys, *nested))
+def _nested(fields: dict) -> str:
+    """Nested paths as the schema of a record shows them; ``fields`` by name: None, an object, or a list of one object."""
+    inner = lambda v: f": ARRAY<{_nested(v[0])}>" if isinstance(v, list) else f": {_nested(v)}" if v is not None else ""
+    return "OBJECT<" + ", ".join(k + inner(v) for k, v in sorted(fields.items())) + ">"
 
 
-def fingerprint(record: Column) -> Column:
-    return F.md5(F.array_join(_paths(record), "\n").cast("binary"))
+def _fingerprint_of(fields: dict) -> str:
+    return hashlib.md5(_nested(fields).encode()).hexdigest()
+
+
+def _tree(paths: list[str]) -> dict:
+    """``["a", "b[].c"]`` as ``{"a": None, "b": [{"c": None}]}``."""
+    out: dict = {}
+    for path in sorted(paths):
+        at = out
+        *above, last = path.split(".")
+        for name in above:
+            inner = at.get(name.removesuffix("[]")) or ([{}] if name.endswith("[]") else {})
+            at[name.removesuffix("[]")] = inner
+            at = inner[0] if isinstance(inner, list) else inner
+        at.setdefault(last, None)
+    return out
+
+
+def _fields(kind: T.StructType) -> dict:
+    """The same of a table's or a column's type."""
+
+    def of(t: T.DataType):
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+            return [_fields(t.elementType)]
+        return _fields(t) if isinstance(t, T.StructType) else None
+
+    return {f.name: of(f.dataType) for f in kind.fields}
 
 
 def _known() -> dict[str, str]:
@@ -97,7 +120,7 @@ def _known() -> dict[str, str]:
     for name, (need, may, _, _) in LAYOUTS.items():
         for n in range(len(may) + 1):
             for more in combinations(may, n):
-                out[hashlib.md5("\n".join(sorted([*need, *more])).encode()).hexdigest()] = name
+                out[_fingerprint_of(_tree([*need, *more]))] = name
     return out
 
 
@@ -115,6 +138,19 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     return df.select(conv.alias("conv_id"), "layout", F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
+def turns_of_table(rows: DataFrame) -> DataFrame:
+    """The same for a table whose columns are the fields of a record."""
+    name = _known().get(_fingerprint_of(_fields(rows.schema)))
+    if name is None:
+        return rows.select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("string").alias("layout"), F.array().cast(TURNS).alias("turns"))
+    _, _, schema, sql = LAYOUTS[name]
+    r = rows.select(F.struct(*rows.columns).alias("r"))
+    for field in T.StructType.fromDDL(schema).fields:  # what the record leaves out is null
+        if field.name not in rows.columns:
+            r = r.withColumn("r", F.col("r").withField(f"`{field.name}`", F.lit(None).cast(field.dataType)))
+    return r.select(F.col("r.conv_id").cast("long").alias("conv_id"), F.lit(name).alias("layout"), F.coalesce(F.expr(sql).cast(TURNS), F.array().cast(TURNS)).alias("turns"))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, rf"{_FIRST}(\\*)(?={_REST})", r"$1$2\\")
 
@@ -179,13 +215,9 @@ def chat_digests(chats: DataFrame) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
     said = "</s>[INST] ok [/INST]"
-    as_record = F.to_json(
-        F.struct(*(F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string")))),
-        {"ignoreNullFields": "false"},
-    )
-    records = rows.select(as_record.alias("record"))
+    turns = turns_of_table(rows.select(*(F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string")))))
     added = spark.range(1, numPartitions=1).select(F.to_json(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
-    return chat_digests(format_turns(canonical_turns(records.unionByName(added))))
+    return chat_digests(format_turns(turns.unionByName(canonical_turns(added))))
 
 
 #: DuckDB SQL for the query.
