@@ -1,6 +1,7 @@
 """The operators against plain Python on small tables with nulls, blanks, ties, copies, long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -242,6 +243,58 @@ def test_quality_classifier(spark):
     assert {r["posterior"] for r in quality_classifier.classify(odd, labels.where("false")).collect()} and quality_classifier.classify(odd, labels.where("quality = 1")).count() == 2
 
 
+def test_classifier_against_plain_python(spark):
+    """The fit, the sites' rates and the verdicts, all worked out again from the labelled and the other documents."""
+    r = random.Random(12)
+    words = "the river ran over stones BUY!! NOW $$$ a | b and on to the sea today.".split()
+    rows = [(i, " ".join(r.choice(words[: r.choice([5, 17])]) for _ in range(r.choice([0, 3, 30, 80]))), r.choice(["a", "b", "b", "b", None]), r.choice(["x", "y", None])) for i in range(150)]
+    rows += [rows[3], rows[3], (None, "no id at all", "a", "x"), (151, None, None, None), (152, "word " * 200_000, "solo", "x")]
+    marks = [(i, int(i % 3 > 0)) for i in range(0, 60)] + [(5, 0), (7, None), (9999, 1), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"n": F.lit("own"), "other": F.lit(1)})
+    out = quality_classifier.classify(docs, spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+
+    quality = {}
+    for i, q in marks:
+        if i is not None and q is not None:
+            quality[i] = min(q, quality.get(i, q))
+    known = {i: t for i, t, _, _ in rows if i in quality}
+    x = np.array([quality_classifier.features(known[i]) for i in sorted(known)])
+    y = np.array([float(quality[i] > 0) for i in sorted(known)])
+    z = np.hstack([np.ones((len(x), 1)), np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)])
+    w = np.zeros(z.shape[1])
+    for _ in range(40_000):  # plain gradient steps to the same optimum
+        slope = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.r_[1e-6, np.ones(x.shape[1])] * w
+        w += 0.004 * slope
+    f = np.array([quality_classifier.features(t) for _, t, _, _ in rows])
+    p = 1 / (1 + np.exp(-np.hstack([np.ones((len(f), 1)), np.clip((f - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)]) @ w))
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    of_path, of_host = defaultdict(list), defaultdict(list)
+    for (_, _, host, path), own in zip(rows, p):
+        of_path[host, path].append(own)
+        of_host[host].append(own)
+    mean = p.mean()
+
+    def strength(groups):
+        total = sum(len(v) for v, _ in groups)
+        spread = sum(len(v) * (np.mean(v) - m) ** 2 for v, m in groups) / total
+        return min(1e6, max(1.0, mean * (1 - mean) / max(spread, 1e-9) - 1))
+
+    k1 = strength([(v, mean) for v in of_host.values()])
+    host_rate = {h: (sum(v) + k1 * mean) / (len(v) + k1) for h, v in of_host.items()}
+    k2 = strength([(v, host_rate[h]) for (h, _), v in of_path.items()])
+    odds = lambda q: np.log(q / (1 - q))
+    expected = []
+    for (i, _, host, path), own in zip(rows, p):
+        group = of_path[host, path]
+        rate = min(1 - 1e-6, max(1e-6, (sum(group) - own + k2 * host_rate[host]) / (len(group) - 1 + k2)))
+        expected.append((i, host_rate[host], rate, 1 / (1 + np.exp(-(odds(own) - odds(y.mean()) + odds(rate)))), own))
+    key = lambda r: (str(r[0]), r[3])
+    got = sorted(((r["doc_id"], r["host_rate"], r["path_rate"], r["posterior"], r["p"]) for r in out), key=key)
+    assert len(got) == len(rows) and 0 < sum(r["kept"] for r in out) < len(rows) and all(r["kept"] == (r["posterior"] >= 0.5) for r in out)
+    for a, b in zip(got, sorted(expected, key=key)):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:], atol=2e-4), (a, b)
+
+
 def test_sparse_sites_shrink_more(spark):
     rows = [(i, "x", "big", "a") for i in range(200)] + [(300, "x", "small", "a")]
     scored = spark.createDataFrame([(h, p, 0.9 if h == "big" else 0.1) for _, _, h, p in rows], "source string, lang string, p double")
@@ -418,6 +471,31 @@ def test_texts_beyond_the_json_reader_limit(spark):
     assert sorted(map(tuple, got)) == [(1, "turn", 20_500_000), (2, "messages", 20_500_000)]
 
 
+def test_fingerprints_hold_nested_paths(spark):
+    records = {
+        '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}]}': "messages", '{"messages": [{"content": null, "role": "user"}], "conv_id": 1}': "messages",
+        '{"conv_id": 1, "messages": [{"role": "user", "content": {"text": "q"}}]}': None, '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "user", "said": "q"}]}': None,
+        '{"conv_id": 1, "messages": {"role": "user", "content": "q"}}': None, '{"conv_id": 1, "messages": []}': None, '{"conv_id": 1, "prompt": ["a", "b"], "response": "r"}': None,
+        '{"conv_id": 1, "prompt": 7.5, "response": true}': "prompt", "[1]": None, '{"conv_id": 1, "instruction": "i", "output": "o", "input": null, "system": null}': "instruction",
+    }
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(records)] + [(None, 99)], "record string, i int")
+    got = chat.canonical_turns(df.coalesce(1)).collect()
+    assert [r["layout"] for r in got] == [*records.values(), None]
+
+
+def test_tables_have_a_fingerprint_too(spark):
+    said = [(1, 1, "assistant", "b"), (1, 0, "user", "a <s>"), (1, 0, "user", "a <s>"), (None, 0, None, None), (2, 0, "x", "")]
+    turns = chat.turns_of_table(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: [tuple(t) for t in r["back"]] for r in chat.format_turns(turns).select("conv_id", chat.read_turns(F.col("formatted")).alias("back")).collect()}
+    assert got == {1: [("user", "a <s>"), ("user", "a <s>"), ("assistant", "b")], None: [("", "")], 2: [("x", "")]}
+    listed = spark.createDataFrame([(5, [("user", "q"), ("assistant", "r")]), (6, None)], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert [(r["conv_id"], r["layout"], [t["text"] for t in r["turns"]]) for r in chat.turns_of_table(listed).orderBy("conv_id").collect()] == [(5, "messages", ["q", "r"]), (6, "messages", [])]
+    asked = chat.turns_of_table(spark.createDataFrame([(7, "p", "r")], "conv_id long, prompt string, response string")).first()
+    assert [(t["role"], t["text"]) for t in asked["turns"]] == [("user", "p"), ("assistant", "r")]
+    clash = chat.turns_of_table(spark.createDataFrame([(7, "p")], "conv_id long, layout string")).first()
+    assert (clash["layout"], clash["turns"]) == (None, [])
+
+
 @pytest.mark.parametrize("record", ['{"conv_id": 1, "turn": 0, "role"', "no JSON", '{"conv_id": "one", "turn": 0, "role": "user", "text": "t"}'])
 def test_records_that_are_not_read_are_errors(spark, record):
     with pytest.raises(Exception, match="no JSON|MALFORMED_RECORD"):
@@ -498,3 +576,30 @@ def test_communication_matrix_has_exact_margins_and_mean():
     draws = np.stack([sharding.communication_matrix(rows, 6, s) for s in range(400)])
     assert (draws.sum(axis=2) == rows).all() and (draws.sum(axis=1) == [11, 11, 10, 10, 10, 10]).all()
     assert np.abs(draws.mean(axis=0) - np.outer(rows, [11, 11, 10, 10, 10, 10]) / 62).max() < 0.35
+
+
+@pytest.mark.parametrize("rows, shards", [([10**10, 10**10], 40), ([3 * 10**9, 0, 7, 10**9 + 1], 6), ([10**12] * 3, 5)])
+def test_communication_matrix_of_many_rows(rows, shards):
+    m = sharding.communication_matrix(rows, shards, 1)
+    total = sum(rows)
+    sizes = np.array([total // shards + (k < total % shards) for k in range(shards)])
+    assert (m.sum(axis=1) == rows).all() and (m.sum(axis=0) == sizes).all() and (m >= 0).all()
+    mean = np.outer(np.array(rows, dtype=float), sizes) / total
+    assert (np.abs(m - mean) <= 8 * np.sqrt(mean + 1)).all()
+
+
+@pytest.mark.parametrize("good, bad, n", [(10, 20, 7), (3, 50, 40), (4, 4, 8), (400, 600, 500), (0, 5, 3)])
+def test_hypergeometric_law(good, bad, n):
+    draw, times = np.random.default_rng(good), 20_000
+    got = Counter(sharding.hypergeometric(draw, good, bad, n) for _ in range(times))
+    chance = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+    assert set(got) <= set(chance)
+    assert sum((got[k] - times * p) ** 2 / (times * p) for k, p in chance.items() if times * p > 5) < 2 * len(chance) + 30
+
+
+def test_matrix_is_written_in_slices(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(sharding, "CELLS", 8)
+    monkeypatch.setattr(sharding, "BROADCAST_CELLS", 0)
+    out = sharding.shard_rows(docs.repartition(5), 3).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
+    assert max(Counter(r["shard"] for r in out).values()) - min(Counter(r["shard"] for r in out).values()) <= 1

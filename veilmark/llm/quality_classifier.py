@@ -9,12 +9,15 @@
 3. A document's posterior log odds are its evidence plus the log odds of its path's posterior, from which its own ``p`` was
    left out. It is kept from ``threshold`` on.
 
-The sums are combined before the exchange, so a hot host is one row per task. Groups come back by a broadcast if
-there are at most ``BROADCAST_GROUPS``, else by a join that Spark may split.
+Only texts go to Python workers and only ``p`` comes back; it is computed once for the sums and once more for the documents, which costs
+less than to write whole documents with it. The sums are combined before the exchange, so a hot host is one row per
+task. Groups come back by a broadcast if they and their names take at most ``BROADCAST_BYTES``, else by a join that Spark may split.
 
 Defined cases: null text is empty; null host or path is a site of its own; labels without quality, or of unknown documents,
 are ignored, and of labels for one document the least counts; a sample of one class gives no evidence; repeated rows each
-give a row; an empty table gives no rows; other columns are ignored by the query and pass through ``keep_good``.
+give a row; very long texts are read whole; equal sites have equal rates, so ties need no order; an empty table gives no rows;
+other columns are ignored by the query and pass through ``keep_good``; in ``classify``, which adds columns, those of its own names (``OWN``)
+are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from veilmark.llm.common import read_table, shielded, written
 
 SAMPLE = 6_000
 THRESHOLD = 0.5
-BROADCAST_GROUPS = 200_000
+BROADCAST_BYTES = 32 << 20
+GROUP_BYTES = 64  # of a group beside its names
 OWN = ("p", "host_rate", "path_rate", "posterior", "kept", "_host", "_path", "n", "s", "strength")
 FEATURES = 16
 _SYMBOLS, _UPPER, _LOWER, _DIGITS, _STOPS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:?"
@@ -104,14 +108,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``p``."""
-    schema = docs.withColumn("p", F.lit(0.0)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = model.probability(_matrix(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "p"])
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.probability(_matrix(texts.slice(at, 256).to_pylist())) for at in range(0, len(texts), 256))]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("p", probability(F.col("text").cast("string")))
 
 
 def _strength(mean, var_of_rates):
@@ -146,8 +148,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     docs = docs.drop(*(c for c in docs.columns if c in OWN))
     model = fit(docs, labels, sample)
     sites = site_rates(score(docs.select("text", host, *([path] if path != host else [])), model), host, path)
-    groups = sites.count()
-    sites = F.broadcast(sites) if groups <= BROADCAST_GROUPS else sites
+    names = F.coalesce(F.length(F.col("_host").cast("string")), F.lit(0)) + F.coalesce(F.length(F.col("_path").cast("string")), F.lit(0))
+    size = sites.agg(F.sum(4 * names + GROUP_BYTES)).first()[0] or 0  # a character takes at most four bytes
+    sites = F.broadcast(sites) if size <= BROADCAST_BYTES else sites
     df = score(docs, model).join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
     rate = (F.col("s") - F.col("p") + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
     odds = _log_odds(F.col("p")) - _log_odds(F.lit(model.prior)) + _log_odds(F.col("path_rate"))
