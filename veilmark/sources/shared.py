@@ -13,10 +13,12 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` of the session.
 
-    Where that setting is unset (tests in local mode) a temporary folder of this machine is used.
+    Where that setting is unset a temporary folder of this machine is used in local mode; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         if key not in _LOCAL:
             _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="veilmark-checkpoints-")
