@@ -403,6 +403,24 @@ def test_items_without_id_give_hits(spark, block):
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
 
 
+def test_repeated_windows_and_long_texts(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item + " twelve"), (3, "of the " * 3000)], "item_id long, text string")
+    long = "the of " * 400_000 + item
+    docs = spark.createDataFrame([(1, item), (1, item), (2, long), (None, None)], "doc_id long, text string")
+    for block in (1 << 20, 9_000):
+        got = {(r["doc_id"], r["n_words"]): (r["hits"], r["items"]) for r in decontaminate.find_passages(docs, bench, 10, block).collect()}
+        assert got == {(1, 11): ([0, 11], [1, 2]), (2, 800_011): (got[2, 800_011][0], [1, 2, 3]), (None, 0): ([], [])}
+        assert sum(b - a for a, b in zip(got[2, 800_011][0][::2], got[2, 800_011][0][1::2])) == 800_011
+
+
+def test_searched_again_with_other_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string").coalesce(1)
+    for text, hit in (("b c", [1]), ("d e", [2]), ("x", [])):
+        out = decontaminate.find_passages(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+        assert [r["doc_id"] for r in out.where(F.size("hits") > 0).collect()] == hit
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 

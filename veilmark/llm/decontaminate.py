@@ -7,32 +7,38 @@ end; a block in no string lets the search skip ``m - B + 1`` words. At shift 0 t
 selects a bucket, in which the whole string is compared directly with the text. Strings of each length have
 their own tables, so that short items do not shorten the skips of the others.
 
-The benchmark is cut into blocks of at most ``block_chars`` characters by a checked sum, so what is broadcast
-is bounded; each block is one more pass of the same tasks, without any shuffle of documents.
+The benchmark is cut into blocks of about ``block_chars`` characters, so that what is broadcast and the tables of a worker (``TABLE_BYTES`` at
+the measured ``BYTES_A_CHAR``) are bounded however large the benchmark is; a worker builds a block's tables once. One block is one
+pass over the documents without any shuffle. With more of them the documents are written once with row numbers; each block is a pass of its
+own that tells the rows that it hits, and its broadcast goes when the pass has ended.
 
 Defined cases: null text has no words and no hits; an item without words is no test string; an item with null ``item_id``
 gives hits as any other, so its documents are contaminated, but no id, so it is neither in ``n_items`` nor in ``items_sha256`` (as with
 ``count(DISTINCT)`` in SQL); items with equal windows are each counted; repeated documents each give a row; an empty benchmark leaves every document
-clean; other columns of either table are ignored.
+clean; very long texts are searched whole; an item that is longer than a block is a block of its own; other columns of either table are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table, shielded
+from veilmark.llm.common import read_table, shielded, written
 
 #: Bytes that end words: U+0000-2F, U+003A-60 (after lower-casing) and U+007B-7F; A-Z are lower-cased.
 _CLASS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else 0x20 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256)
 )
 WINDOW = 10
-BLOCK_CHARS = 16 << 20
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<long>"
+BYTES_A_CHAR = 85  # at most while tables are built (57 after that), measured on documents and on words that are all different
+TABLE_BYTES = 160 << 20
+BLOCK_CHARS = TABLE_BYTES // BYTES_A_CHAR
+BROADCAST_HITS = 200_000  # rows, of hits in some blocks; beyond that Spark chooses the join
 
 
 def words(text: str | None) -> list[bytes]:
@@ -40,60 +46,61 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Tables for test strings of one length."""
+    """Tables for test strings of one length ``m``: starts in ``flat``, the items' words one after the other, with each one's items."""
 
-    def __init__(self, strings: dict[tuple, set[int]], m: int):
-        self.m, self.b = m, min(2, m)
+    def __init__(self, flat: list[bytes], starts: list[int], items: list[int | None], m: int):
+        self.m, self.b, self.flat = m, min(2, m), flat
         self.skip = m - self.b + 1
         self.shift: dict = {}
-        self.bucket: dict = {}
-        for s, items in strings.items():
+        self.bucket: dict = {}  # by suffix block: starts of different strings
+        self.items: dict[int, tuple] = {}  # by start
+        first: dict[tuple, int] = {}
+        for at, item in zip(starts, items):
+            string = tuple(flat[at : at + m])
+            own = first.setdefault(string, at)
+            if item is not None and item not in self.items.get(own, ()):
+                self.items[own] = (*self.items.get(own, ()), item)
+            if own != at:
+                continue
             for j in range(self.b, m + 1):  # the block that ends before j
-                block = self._block(s, j)
+                block = self._block(string, j)
                 self.shift[block] = min(self.shift.get(block, self.skip), m - j)
-            self.bucket.setdefault(self._block(s, m), []).append((list(s), tuple(items)))
+            self.bucket.setdefault(self._block(string, m), array("l")).append(at)
 
     def _block(self, ws, end: int):
         return ws[end - 1] if self.b == 1 else (ws[end - 2], ws[end - 1])
 
     def search(self, ws: list[bytes], hit: list[int], items: set[int]) -> None:
         """Adds starts of occurrences to ``hit`` (with the length) and the strings' items to ``items``."""
-        m, n, shift, bucket, skip = self.m, len(ws), self.shift, self.bucket, self.skip
+        m, n, shift, skip, single = self.m, len(ws), self.shift, self.skip, self.b == 1
         end = m
-        if self.b == 1:
-            while end <= n:
-                last = ws[end - 1]
-                step = shift.get(last, skip)
-                if not step:
-                    for s, own in bucket[last]:
-                        if ws[end - m : end] == s:
-                            hit.append(end - m)
-                            items.update(own)
-                    step = 1
-                end += step
-            return
         while end <= n:
-            last = (ws[end - 2], ws[end - 1])
+            last = ws[end - 1] if single else (ws[end - 2], ws[end - 1])
             step = shift.get(last, skip)
             if not step:
-                for s, own in bucket[last]:
-                    if ws[end - m : end] == s:
+                text = ws[end - m : end]
+                for at in self.bucket[last]:
+                    if self.flat[at : at + m] == text:
                         hit.append(end - m)
-                        items.update(own)
+                        items.update(self.items.get(at, ()))
+                        break  # strings of a bucket differ
                 step = 1
             end += step
 
 
 def tables(items: list[tuple[int | None, str]], window: int) -> list[WuManber]:
-    by_length: dict[int, dict[tuple, set[int]]] = {}
+    flat: list[bytes] = []
+    known: dict[bytes, bytes] = {}
+    by_length: dict[int, tuple[list[int], list[int | None]]] = {}
     for item, text in items:
         ws = words(text)
         m = min(window, len(ws))
-        for i in range(len(ws) - m + 1 if m else 0):
-            own = by_length.setdefault(m, {}).setdefault(tuple(ws[i : i + m]), set())
-            if item is not None:
-                own.add(item)
-    return [WuManber(s, m) for m, s in sorted(by_length.items())]
+        if m:
+            starts, ids = by_length.setdefault(m, ([], []))
+            starts += range(len(flat), len(flat) + len(ws) - m + 1)
+            ids += [item] * (len(ws) - m + 1)
+            flat += [known.setdefault(w, w) for w in ws]
+    return [WuManber(flat, *of, m) for m, of in sorted(by_length.items())]
 
 
 def covered(starts: list[tuple[int, int]]) -> list[int]:
@@ -109,39 +116,81 @@ def covered(starts: list[tuple[int, int]]) -> list[int]:
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (hit word intervals) and ``items`` (ids with an occurring window); other columns stay."""
-    spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = total // block_chars + 1
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    base = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("items"))
-    out = base
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else bench.collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
-        out = out.mapInArrow(_searcher(shared, window), base.schema)
-    return out
-
+    base = docs.select(*keep)
+    if blocks == 1:
+        return _search(base, bench, window, whole=True)
+    rows = written(base.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    bench = written(bench.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark")
+    found = None
+    for k in sorted(r["_block"] for r in bench.select("_block").distinct().collect()):
+        hits = _search(rows.select("_row", "text"), bench.where(F.col("_block") == k).select("item_id", "text"), window, whole=False)
+        found = hits if found is None else found.unionByName(hits)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    found = found.select(F.col("_row").alias("_of"), "hits", "items").groupBy("_of").agg(flat("hits"), flat("items"))
+    found = written(found.mapInArrow(_merged, "_of long, hits array<int>, items array<long>"), "hits")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    of = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
+    rows = rows.join(of, F.col("_row") == F.col("_of"), "left")
+    return rows.select(
+        *keep, n_words(F.col("text")).alias("n_words"), none("hits", "array<int>").alias("hits"), none("items", "array<bigint>").alias("items")
+    )
+
+
+def n_words(text: Column) -> Column:
+    """The number of words of a text, without Python."""
+    low = F.coalesce(text.cast("string"), F.lit(""))
+    return F.size(F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), "")).cast("long")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several blocks found in a row as disjoint intervals and different items."""
+    for batch in batches:
+        hits = [covered(list(zip(h[::2], h[1::2]))) for h in batch.column("hits").to_pylist()]
+        items = [sorted(set(i)) for i in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_of"), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["_of", "hits", "items"])
+
+
+#: The tables of the block that a worker searched last, by a key of the block.
+_TABLES: dict[tuple[str, int], list[WuManber]] = {}
+
+
+def _search(docs: DataFrame, bench: DataFrame, window: int, whole: bool) -> DataFrame:
+    """``docs`` with what one block of the benchmark hits: every row, or those that are hit, written, after which the broadcast is freed."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in bench.collect()])
+    key = (uuid.uuid4().hex, window)
+    new = "n_words long, hits array<int>, items array<long>"
+    schema = docs.limit(0).selectExpr("*", *(f"CAST(NULL AS {t}) AS {c}" for c, t in (x.split(" ") for x in new.split(", ")))).schema
 
-def _searcher(shared, window: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = tables(shared.value, window)
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = tables(shared.value, window)
+        sets = _TABLES[key]
         for batch in batches:
-            n_words, hits, found = [], [], []
-            for text, old_hits, old_items in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items"))):
-                ws, items = words(text), set(old_items)
-                spans = list(zip(old_hits[::2], old_hits[1::2]))
+            count, hits, found = [], [], []
+            for text in batch.column("text").to_pylist():
+                ws, items, spans = words(text), set(), []
                 for s in sets:
                     starts: list[int] = []
                     s.search(ws, starts, items)
                     spans += [(a, a + s.m) for a in starts]
-                n_words.append(len(ws))
+                count.append(len(ws))
                 hits.append(covered(spans) if spans else [])
                 found.append(sorted(items) if items else [])
-            new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
-
-    return search
+            more = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
+            out = pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_words", "hits", "items"])
+            yield out if whole else out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_()))
+
+    out = docs.mapInArrow(search, schema)
+    if whole:
+        return out
+    out = written(out.select("_row", "hits", "items"), "block-hits")
+    shared.unpersist()
+    return out
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
