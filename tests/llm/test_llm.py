@@ -212,6 +212,31 @@ def test_shingles_agree_with_words(rows):
     assert set(a.tolist()) < set(b.tolist())
 
 
+def test_long_texts_and_words_in_pieces(monkeypatch):
+    r = random.Random(4)
+    long = " ".join(r.choice(["a", "Bc", "d" * 40, "é"]) + str(r.randrange(50)) for _ in range(5000))
+    texts = [long, "x" * 3000, "", " \n" * 900, "one two", long[:777], None, "y" * 999 + " z"]
+    whole = [s.tolist() for s in shingles.shingle_sets(texts, 4)]
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 512)
+    assert [s.tolist() for s in shingles.shingle_sets(texts, 4)] == whole and [len(s) for s in whole] == [len(shingle_set(t, 4)) for t in texts]
+
+
+def test_long_words_have_no_constructed_twins():
+    bits = "0"
+    for _ in range(12):  # a sequence and its complement have equal polynomials modulo 2**64 from a length of 2048 on
+        bits += bits.translate({48: 49, 49: 48})
+    a, b = (next(shingles.shingle_sets([x], 1)) for x in (bits, bits.translate({48: 49, 49: 48})))
+    assert a.tolist() != b.tolist()
+
+
+def test_sketches_are_summed_in_stages(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SKETCHES", 2)
+    docs = spark.createDataFrame([(i, f"one two three {i} four") for i in range(30)], "doc_id long, text string").repartition(7)
+    total = sum(np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=jaccard_join.BUCKETS) for s in shingles.shingle_sets([r["text"] for r in docs.collect()], 3))
+    sketch = jaccard_join._sketch(jaccard_join.written(jaccard_join._sets(docs, 3, 0), "sets"))
+    assert (sketch == np.minimum(255, 4 * np.log2(1.0 + total)).astype(np.uint8)).all()
+
+
 def test_connected(spark):
     r = random.Random(8)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]

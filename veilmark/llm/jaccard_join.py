@@ -23,7 +23,7 @@ is lost and no group meets as a whole:
 A group of copies or near copies is thus one component after the first step and takes no part in the second.
 
 Defined cases: null or blank text has an empty set and links with nothing; a null ``doc_id`` is in its class's component, which links like any (null if no document of it has
-an id); repeated rows each give a row; an empty table gives no rows; other columns are ignored.
+an id); repeated rows each give a row; very long texts are hashed in pieces; ties do not matter, as only least ids are told; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ from veilmark.llm.shingles import shingle_sets
 
 BUCKETS = 1 << 20  # of the frequency sketch
 PARTS = 64  # in which tasks' sketches are summed
+SKETCHES = 64  # of a part that one task sums at once (8 MB)
+SPREAD = 64  # tasks over which the blocks of one pair of chunks are dealt
 CHUNK = 512
 FANOUT = 8
 PICKS = 2
@@ -237,10 +239,15 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(c, dtype=np.int64) for c in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    got = rows.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    got = {r["part"]: np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in got}
+        return pa.table({"part": table.column("part")[:1], "of": table.column("of")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.where("part is not null").select("part", F.rand(1).alias("of"), "counts")
+    groups = -(-sums.count() // PARTS)
+    while groups > 1:  # many tasks are summed in stages, so that none holds more than a few of their sketches
+        groups = -(-groups // SKETCHES)
+        dealt = sums.withColumn("of", F.floor(F.rand(groups) * groups).cast("int"))
+        sums = written(dealt.groupBy("part", "of").applyInArrow(add, "part int, of int, counts binary"), "sketch")
+    got = {r["part"]: np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in sums.select("part", "counts").collect()}
     if not got:
         return np.zeros(BUCKETS, dtype=np.uint8)
     return np.minimum(255, 4 * np.log2(1.0 + np.concatenate([got[p] for p in range(PARTS)]))).astype(np.uint8)
@@ -376,12 +383,12 @@ def _all_pairs(mixed: DataFrame, maps: DataFrame, percent: int, forest: bool, se
     small = small.select("of").distinct().select(F.xxhash64("of").alias("block"), F.explode("of").alias("m"))
     small = small.select("block", F.col("block").alias("part"), F.col("m.node").alias("node"), F.col("m.root").alias("root"), F.lit(0).alias("side"))
     # of c chunks each meets every other: a row goes to the blocks (i, j) and (j, i) of its chunk
-    # chunks go by class alone and tasks by chunks, so that a pair that shares many large shingles is told by few tasks
+    # chunks go by class alone and tasks by chunks, so that a pair that shares many large shingles is told by ``SPREAD`` tasks at most
     chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("c") / CHUNK))).cast("int")
     large = mixed.where(F.col("c") > CHUNK).withColumn("_i", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), chunks - 1)))
     pair = (F.least("_i", "_j"), F.greatest("_i", "_j"))
     large = large.select(
-        F.xxhash64("token", *pair).alias("block"), F.xxhash64(*pair, F.pmod("token", F.lit(4))).alias("part"), "node", "root",
+        F.xxhash64("token", *pair).alias("block"), F.xxhash64(*pair, F.pmod("token", F.lit(SPREAD))).alias("part"), "node", "root",
         F.when(F.col("_i") == F.col("_j"), 0).when(F.col("_i") < F.col("_j"), 1).otherwise(2).alias("side"),
     )
     rows = small.unionByName(large).join(maps, "node")
