@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -353,7 +355,7 @@ def test_a_host_with_hundreds_of_shapes(spark):
     r = random.Random(11)
     rows = []
     for i in range(400):  # 400 orders of blocks; the template text moves with the article above it
-        parts = [f"<{t}>own {i} {k}</{t}>" for k, t in enumerate(r.choice(["p", "ul", "h2", "pre", "table"]) for _ in range(r.randint(4, 9)))]
+        parts = [f"<{t}>own {i} {k}</{t}>" for k, t in enumerate(r.choice(["p", "ul", "h2", "pre", "table", "dl", "address", "figure", "details"]) for _ in range(r.randint(4, 9)))]
         rows.append((i, f"http://hot.example/{i}", "<body><div>" + "".join(parts) + "<blockquote>Read on in our paper</blockquote></div>" + "".join(parts[:2]).replace("own", "more") + "</body>"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     shapes = {html_extract.parse(h)[0].text() for _, _, h in rows}
@@ -386,6 +388,90 @@ def test_constants_of_layouts_and_of_small_hosts(spark):
     assert got[20:] == ["Title 0\n\nText 0", "Title 1\n\nText 1", "Title x\n\nText x\n\nPrinted on paper"]
 
 
+ODD_PAGES = {
+    "alternating": "<p>a</p><h2>b</h2>" * 60_000, "unclosed tags": "<a " * 350_000, "quotes": "<a '<b \"" * 120_000, "balanced quotes": '<a ">" ' * 150_000, "deep": "<div>" * 60_000 + "x",
+    "closers": "<div>" * 30_000 + "</p>" * 200_000, "items": "<ul>" + "<li>a" * 200_000, "comments": "<!--" * 200_000, "adverts": '<div class="ad">' * 20_000 + "x", "tables": "<table><tr><td>a<td>b" * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_odd_pages_take_linear_time(name):
+    def seconds(html):
+        at = time.process_time()
+        root, blocks = html_extract.parse(html)
+        html_extract.number(root)
+        html_extract.main_text(html, html_extract.induce([root.text()]), frozenset())
+        return time.process_time() - at
+
+    html = ODD_PAGES[name]
+    assert seconds(html) < 30 and seconds(html) < 10 * seconds(html[: len(html) // 4]) + 2
+
+
+def test_heaviest_subsequence():
+    r = random.Random(9)
+    for _ in range(200):
+        pairs = sorted({(r.randrange(6), r.randrange(6)) for _ in range(r.randrange(1, 10))}, key=lambda p: (p[0], -p[1]))
+        weights = [r.randrange(1, 9) for _ in pairs]
+        got = html_extract._heaviest(pairs, weights)
+        grows = lambda s: all(pairs[a][0] < pairs[b][0] and pairs[a][1] < pairs[b][1] for a, b in zip(s, s[1:]))
+        best = max(sum(weights[i] for i in s) for n in range(len(pairs) + 1) for s in combinations(range(len(pairs)), n) if grows(s))
+        assert grows(got) and sum(weights[i] for i in got) == best
+
+
+def plain_hosts(seed=21, hosts=6, pages=25):
+    """Pages whose tags and classes tell nothing: what repeats on a host is template, what differs is content."""
+    r = random.Random(seed)
+    say = lambda n: " ".join("".join(r.choice("abdeiklmnorstu") for _ in range(r.randint(2, 8))) for _ in range(n))
+    out = []
+    for h in range(hosts):
+        fixed = [f"<div class=k{k}><div>{say(3)}</div><ul><li>{say(2)}</li><li>{say(2)}</li></ul></div>" for k in range(4)]
+        inner = f"<div><p>{say(9)}</p></div>"  # within the content, where only its slot tells it
+        tail = f"<div class=z><p>{say(12)}</p><p>{say(4)}</p></div>"
+        for n in range(pages):
+            own = [say(r.randint(4, 60)) for _ in range(r.randint(2, 7))]
+            body = "".join(f"<{t}>{x}</{t}>" for t, x in zip(r.choices(["p", "h2", "pre"], k=len(own)), own))
+            some = fixed if n % 7 else fixed[:3]
+            out.append((f"http://h{h}.example/{n}", f"<body>{''.join(some[:2])}<div class=m>{body}{inner}</div>{''.join(some[2:])}{tail}</body>", own))
+    return out
+
+
+def test_the_wrapper_finds_what_no_tag_or_class_tells(spark):
+    pages = plain_hosts()
+    got = extracted(spark, [(url, html) for url, html, _ in pages])
+    told, right, wanted = 0, 0, 0
+    for text, (url, _, own) in zip(got, pages):
+        blocks = text.split("\n\n") if text else []
+        told, wanted, right = told + len(blocks), wanted + len(own), right + len(set(blocks) & set(own))
+    assert right / wanted >= 0.99 and right / told >= 0.99, (told, right, wanted)
+
+
+def test_extraction_against_a_plain_wrapper(spark):
+    """Template found anew: slots are paths, and a text on 60 % of the host's different pages that have the path (or anywhere on them) is constant."""
+    pages = plain_hosts(5, hosts=3, pages=15)
+    seen, having = defaultdict(set), defaultdict(set)
+
+    def blocks_of(html):
+        path, out = [], []
+        for closing, tag, text in re.findall(r"<(/?)([a-z0-9]+)[^>]*>([^<]*)", html):
+            if closing:
+                path.pop()
+            else:
+                path.append(tag)
+            if text:
+                out.append(("/".join(path), text))
+        return out
+
+    for n, (url, html, _) in enumerate(pages):
+        host = url.split("/")[2]
+        for path, text in blocks_of(html):
+            for slot in (path, "page"):
+                seen[host, slot, text].add(n)
+                having[host, slot].add(n)
+    constant = lambda host, slot, text: len(seen[host, slot, text]) >= max(0.6 * len(having[host, slot]), 3)
+    expected = ["\n\n".join(t for p, t in blocks_of(html) if not constant(url.split("/")[2], p, t) and not constant(url.split("/")[2], "page", t)) for url, html, _ in pages]
+    assert extracted(spark, [(url, html) for url, html, _ in pages]) == expected
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

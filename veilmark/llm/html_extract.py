@@ -1,8 +1,9 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-1. A page is read into block texts and the tree of its block elements, in which a run of alike siblings is one node. Pages of
-   one host are counted by this shape, and the host's wrapper is the merge of all its shapes by simple tree matching: the largest
-   matching that keeps order and ancestors. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
+1. A page is read, in time linear in its length, into block texts and the tree of its block elements, in which alike siblings are one node.
+   Pages of one host are counted by this shape, and the host's wrapper is the merge of all its shapes by simple tree matching: the largest
+   matching that keeps order and ancestors. As siblings of a shape differ, a node of the wrapper has at most one partner in it, and the best
+   matching below a pair is a heaviest increasing subsequence; no page is too long or too deep for it. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
    nodes, so every page's shape is in the wrapper. Each node of the wrapper is a slot.
 2. Every page is aligned to its host's wrapper by the same matching. Over all pages, a block text counts once for each different
    page of the host that has it in that slot; texts on ``CONSTANT_SHARE`` of the different pages that have the slot are constant and
@@ -17,8 +18,8 @@
 Wrappers and constants go back to the pages by host: broadcast if the table is within ``BROADCAST_BYTES``, else by a join that
 Spark may split for a hot host.
 
-Defined cases: null or empty html gives an empty text; null url is a host of its own; repeated rows each give a row; an empty
-table gives no rows; other columns are ignored.
+Defined cases: null or empty html gives an empty text; null url is a host of its own; repeated rows each give a row; of equally long
+articles the first counts; a tag that does not end before the text does is text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,16 +44,16 @@ CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 5
 PAGE = -2  # as a slot: the whole page
 BROADCAST_BYTES = 32 << 20
-MAX_DEPTH = 48  # of the shape tree; deeper elements count as their ancestor at that depth
+LONG_SHAPE = 20_000  # characters; longer shapes are not remembered
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TAG_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math object textarea select title head button canvas audio video".split())
+_RAW = frozenset("script style noscript template iframe svg textarea select title head button canvas audio video".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROP_TAGS = frozenset("nav footer aside form dialog menu".split())
 _NO_WORDS = frozenset("html body main article".split())  # their class, id and role drop nothing
@@ -65,44 +66,108 @@ _CLOSES = {  # an open element of these ends where the key starts
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 _FENCE = frozenset("table ul ol dl div section article aside nav main form body html header footer blockquote td th".split())
+_ENDS = {tag: frozenset({"p", *_CLOSES.get(tag, ()), *(_HEADINGS if tag in _HEADINGS else ())}) for tag in _BLOCKS}
 
 
 class Node:
-    """A node of a shape: runs of alike siblings are one."""
+    """A node of a shape: siblings of one key are one."""
 
-    __slots__ = ("key", "kids", "at")
+    __slots__ = ("key", "kids", "at", "of")
 
     def __init__(self, key: str):
         self.key, self.kids, self.at = key, [], -1
+        self.of: dict[str, Node] = {}  # a page's kids by key
 
     def text(self) -> str:
-        return self.key + ("(" + " ".join(k.text() for k in self.kids) + ")" if self.kids else "")
+        out: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            out.append(x.key)
+            if x.kids:
+                out.append("(")
+                todo.append(")")
+                for i, k in enumerate(reversed(x.kids)):
+                    todo += ([" "] if i else []) + [k]
+        return "".join(out)
+
+
+class _Named:
+    """An element whose words would drop what is below it, with the next one above."""
+
+    __slots__ = ("node", "up", "verdict")
+
+    def __init__(self, node: Node, up: _Named | None):
+        self.node, self.up, self.verdict = node, up, None
 
 
 class _Open:
-    __slots__ = ("tag", "node", "depth", "drop", "named", "header", "article", "main", "heading")
+    """An open element. ``named`` holds for its headings too, ``named_else`` for other blocks; ``ends`` are the tags since the last fence."""
 
-    def __init__(self, tag, node, depth, drop, named, header, article, main, heading):
-        self.tag, self.node, self.depth, self.drop, self.named, self.header = tag, node, depth, drop, named, header
-        self.article, self.main, self.heading = article, main, heading
+    __slots__ = ("tag", "node", "drop", "named", "named_else", "header", "article", "main", "heading", "ends")
+
+    def __init__(self, tag, node, drop, named, named_else, header, article, main, heading, ends):
+        self.tag, self.node, self.drop, self.named, self.named_else, self.header = tag, node, drop, named, named_else, header
+        self.article, self.main, self.heading, self.ends = article, main, heading, ends
 
 
 class Block:
-    """``drop`` is by tag; ``named`` are the nodes above whose words would drop the block."""
+    """``drop`` is by tag; ``named`` is the nearest element above whose words would drop the block."""
 
     __slots__ = ("text", "links", "node", "drop", "named", "article", "main")
 
     def __init__(self, text, links, of: _Open):
         self.text, self.links, self.node, self.article, self.main = text, links, of.node, of.article, of.main
         self.drop = of.drop or of.header and not of.heading
-        self.named = tuple(node for node, headings_stay in of.named if not (headings_stay and of.heading))
+        self.named = of.named if of.heading else of.named_else
+
+
+class Tags:
+    """``(name, closing, attributes, start, end)`` of tags, from ``at`` on; comments and the like have no name.
+
+    Each character is passed over once: a quote that nothing closes is no quote, and once a tag would run to the end of the text because
+    of its quotes, quotes count no more.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.at, self.quotes = html, 0, {'"', "'"}
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str, int, int]]:
+        html, n = self.html, len(self.html)
+        while (start := html.find("<", self.at)) >= 0:
+            if html.startswith(("<!", "<?"), start):
+                comment = html.startswith("<!--", start)
+                end = html.find("-->" if comment else ">", start + 2)
+                self.at = n if end < 0 else end + (3 if comment else 1)
+                yield "", False, "", start, self.at
+            elif m := _NAME.match(html, start + 1):
+                at = m.end()
+                while (e := _TAG_END.search(html, at)) and e[0] != ">":
+                    close = html.find(e[0], e.end()) if e[0] in self.quotes else -1
+                    if close < 0:
+                        self.quotes.discard(e[0])
+                    at = e.end() if close < 0 else close + 1
+                if e:
+                    self.at = e.end()
+                    yield m[1].lower(), m[0][0] == "/", html[m.end() : e.start()], start, self.at
+                elif self.quotes:
+                    self.quotes = set()  # and once more from the same place
+                else:
+                    return  # no tag ends from here on
+            else:
+                self.at = start + 1
 
 
 def parse(html: str | None) -> tuple[Node, list[Block]]:
     """The shape and the non-empty blocks of a page, in order."""
     html, root = html or "", Node("page")
-    top = _Open("", root, 0, False, (), False, 0, False, False)
-    stack, blocks, buf, links, in_link, articles, at = [top], [], [], 0, 0, 0, 0
+    top = _Open("", root, False, None, None, False, 0, False, False, frozenset())
+    stack, blocks, buf, links, in_link, articles = [top], [], [], 0, 0, 0
+    open_tags: dict[str, int] = {}
+    endless: set[str] = set()
 
     def say(s: str) -> None:
         nonlocal links
@@ -114,35 +179,39 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
     def flush() -> None:
         nonlocal links
         if buf and (text := " ".join("".join(buf).split())):
-            blocks.append(Block(text, links, next(o for o in reversed(stack) if o.node is not None)))
+            blocks.append(Block(text, links, stack[-1]))
         buf.clear()
         links = 0
 
-    def pop_to(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    while m := _TAG.search(html, at):
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def end_last(tags) -> None:
+        """Ends the last open element that has one of the tags, and what is open in it."""
+        done = False
+        while not done:
+            done = stack[-1].tag in tags
+            open_tags[stack.pop().tag] -= 1
+
+    tags, said = Tags(html), 0
+    for tag, closing, attributes, start, end in tags:
+        if start > said:
+            say(html[said:start])
+        said = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             elif tag in _BLOCKS:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k:
-                    pop_to(k)
-                else:
-                    flush()
+                flush()
+                if open_tags.get(tag):
+                    end_last((tag,))
             continue
-        if tag in _RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if tag != "head" or end:
-                at = end.end() if end else len(html)
+        if tag in _RAW and not attributes.endswith("/"):
+            if tag not in endless:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, end)
+                if not close:
+                    endless.add(tag)
+                if close or tag != "head":
+                    said = tags.at = close.end() if close else len(html)
             continue
         if tag == "br":
             buf.append(" ")
@@ -152,48 +221,49 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
         if tag not in _BLOCKS:
             continue
         flush()
-        if tag in _VOID:
-            continue
-        closes = _CLOSES.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):  # a paragraph ends where any block starts; items end where the next starts
-            if stack[k].tag == "p" or stack[k].tag in _HEADINGS and tag in _HEADINGS or stack[k].tag in closes:
-                del stack[k:]
-            elif stack[k].tag in _FENCE:
-                break
-        names = re.split(r"[^a-z]+", " ".join(x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(m[3])).lower())
+        closes = _ENDS[tag]
+        while not closes.isdisjoint(stack[-1].ends):  # a paragraph ends where any block starts; items end where the next starts
+            end_last(closes)
+        names = {x for x in re.split(r"[^a-z]+", " ".join(x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)).lower()) if x} if attributes else ()
         up = stack[-1]
-        key = ".".join([tag, *sorted({x for x in names if x})])
-        node = up.node
-        if up.depth < MAX_DEPTH:
-            if not (node.kids and node.kids[-1].key == key):
-                node.kids.append(Node(key))
-            node = node.kids[-1]
+        key = ".".join([tag, *sorted(names)])
+        node = up.node.of.get(key)
+        if node is None:
+            node = up.node.of[key] = Node(key)
+            up.node.kids.append(node)
         drop = up.drop or tag in _DROP_TAGS
         if tag == "header" and not (up.article or up.main):
             drop = True
-        named = up.named
+        named, named_else = up.named, up.named_else
         if tag not in _NO_WORDS:
             if not _DROP_WORDS.isdisjoint(names):
-                named = (*named, (node, False))
+                named, named_else = _Named(node, named), _Named(node, named_else)
             elif "header" in names and tag != "header":
-                named = (*named, (node, bool(up.article or up.main)))
+                named_else = _Named(node, named_else)
+                if not (up.article or up.main):  # the heading of an article may stand in such a header
+                    named = _Named(node, named)
         article = up.article
         if tag == "article" and not drop and not article:
             articles += 1
             article = articles
-        stack.append(_Open(tag, node, up.depth + 1, drop, named, up.header or tag == "header", article, up.main or tag == "main" or "main" in names, up.heading or tag in _HEADINGS))
-    if at < len(html):
-        say(html[at:])
+        ends = frozenset() if tag in _FENCE else up.ends
+        if tag not in ends and (tag not in _FENCE or tag in ("td", "th")):
+            ends = ends | {tag}
+        stack.append(_Open(tag, node, drop, named, named_else, up.header or tag == "header", article, up.main or tag == "main" or "main" in names, up.heading or tag in _HEADINGS, ends))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+    if said < len(html):
+        say(html[said:])
     flush()
     return root, blocks
 
 
-def number(node: Node, at: int = 0) -> int:
+def number(root: Node) -> None:
     """Numbers the nodes in preorder."""
-    node.at, at = at, at + 1
-    for k in node.kids:
-        at = number(k, at)
-    return at
+    todo, at = [root], 0
+    while todo:
+        node = todo.pop()
+        node.at, at = at, at + 1
+        todo += reversed(node.kids)
 
 
 def read_shape(text: str) -> Node:
@@ -213,49 +283,74 @@ def read_shape(text: str) -> Node:
     return root
 
 
+def _heaviest(pairs: list[tuple[int, int]], weights: list[int]) -> list[int]:
+    """Numbers of the pairs of the heaviest subsequence in which both parts increase; ``pairs`` by the first part, then the second downwards."""
+    if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:])):
+        return list(range(len(pairs)))
+    seconds = {j: r for r, j in enumerate(sorted({j for _, j in pairs}), 1)}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(seconds) + 1)  # a Fenwick tree of (weight, last pair)
+    before = []
+    for p, (_, j) in enumerate(pairs):
+        r, top = seconds[j] - 1, (0, -1)
+        while r > 0:
+            top, r = max(top, best[r]), r & (r - 1)
+        before.append(top[1])
+        r, own = seconds[j], (top[0] + weights[p], p)
+        while r < len(best):
+            best[r] = max(best[r], own)
+            r += r & -r
+    r, top = len(seconds), (0, -1)
+    while r > 0:
+        top, r = max(top, best[r]), r & (r - 1)
+    out, p = [], top[1]
+    while p >= 0:
+        out.append(p)
+        p = before[p]
+    return out[::-1]
+
+
 def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: its size and its pairs."""
     if a.key != b.key:
         return 0, []
-    n, m = len(a.kids), len(b.kids)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    pair: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            x, y = a.kids[i - 1], b.kids[j - 1]
-            here = 0
-            if x.key == y.key:
-                pair[i, j] = match_trees(x, y)
-                here = best[i - 1][j - 1] + pair[i, j][0]
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], here)
-    pairs, i, j = [(a, b)], n, m
-    while i and j:
-        if (i, j) in pair and best[i][j] == best[i - 1][j - 1] + pair[i, j][0]:
-            pairs += pair[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[n][m], pairs
+    pairs, below = [(a, b)], []  # all pairs of equal paths, parents first; and for each those of its kids
+    for x, y in pairs:
+        at: dict[str, list[int]] = {}
+        for j, k in enumerate(y.kids):
+            at.setdefault(k.key, []).append(j)
+        own = [(i, j) for i, k in enumerate(x.kids) for j in reversed(at.get(k.key, ()))]
+        below.append((len(pairs), own))
+        pairs += [(x.kids[i], y.kids[j]) for i, j in own]
+    size, chosen = [1] * len(pairs), [[]] * len(pairs)
+    for p in range(len(pairs) - 1, -1, -1):
+        first, own = below[p]
+        if own:
+            chosen[p] = [first + k for k in _heaviest(own, size[first : first + len(own)])]
+            size[p] += sum(size[k] for k in chosen[p])
+    out, todo = [], [0]
+    while todo:
+        p = todo.pop()
+        out.append(pairs[p])
+        todo += chosen[p]
+    return size[0], out
 
 
 def merge(wrapper: Node, shape: Node) -> None:
     """Adds to the wrapper what the shape has besides it, in its place."""
-    partner = {id(b): a for a, b in match_trees(wrapper, shape)[1]}
-
-    def add(b: Node) -> None:
-        a, at = partner[id(b)], 0
+    pairs = match_trees(wrapper, shape)[1]
+    partner = {id(b): a for a, b in pairs}
+    for a, b in pairs:
+        kids, at = [], 0
         for kid in b.kids:
-            if id(kid) in partner:
-                at = a.kids.index(partner[id(kid)]) + 1
-                add(kid)
-            else:
-                a.kids.insert(at, kid)
+            if mine := partner.get(id(kid)):
+                while a.kids[at] is not mine:
+                    kids.append(a.kids[at])
+                    at += 1
+                kids.append(mine)
                 at += 1
-
-    if id(shape) in partner:
-        add(shape)
+            else:
+                kids.append(kid)
+        a.kids = kids + a.kids[at:]
 
 
 def induce(shapes: list[str]) -> str:
@@ -271,10 +366,16 @@ def _wrapper(text: str) -> Node:
     return read_shape(text)
 
 
-@lru_cache(4096)
+def _slots(wrapper: str, shape: str) -> dict[int, int]:
+    return {b.at: a.at for a, b in match_trees(_wrapper(wrapper), read_shape(shape))[1]}
+
+
+_known_slots = lru_cache(4096)(_slots)
+
+
 def slots(wrapper: str, shape: str) -> dict[int, int]:
     """Slot (number in the wrapper) by node (number in the shape)."""
-    return {b.at: a.at for a, b in match_trees(_wrapper(wrapper), read_shape(shape))[1]}
+    return (_known_slots if len(wrapper) + len(shape) <= LONG_SHAPE else _slots)(wrapper, shape)
 
 
 def _hash(text: str) -> int:
@@ -296,18 +397,27 @@ def spared(wrapper: str, varying: str | None) -> frozenset[int]:
     ``varying`` is JSON of ``[slot, characters]``.
     """
     text = dict(json.loads(varying)) if varying else {}
+    order = [_wrapper(wrapper)]
+    for node in order:
+        order += node.kids
     out: dict[int, tuple[int, int]] = {}
+    for node in reversed(order):
+        below = [out[k.at] for k in node.kids]
+        out[node.at] = int(node.at in text) + sum(n for n, _ in below), text.get(node.at, 0) + sum(size for _, size in below)
+    all_n, all_size = out[0]
+    return frozenset(slot for slot, (n, size) in out.items() if 2 * n >= all_n and 2 * size > all_size)
 
-    def below(node: Node) -> tuple[int, int]:
-        n, size = int(node.at in text), text.get(node.at, 0)
-        for k in node.kids:
-            more = below(k)
-            n, size = n + more[0], size + more[1]
-        out[node.at] = n, size
-        return n, size
 
-    all_n, all_size = below(_wrapper(wrapper))
-    return frozenset(slot for slot, (n, size) in out.items() if 2 * n >= all_n and 2 * size > all_size)
+def _falls(named: _Named | None, above: Callable[[Node], int], free: frozenset[int]) -> bool:
+    """Whether one of the elements is not spared; remembered with each."""
+    chain = []
+    while named is not None and named.verdict is None:
+        chain.append(named)
+        named = named.up
+    verdict = named is not None and named.verdict
+    for x in reversed(chain):
+        verdict = x.verdict = verdict or above(x.node) not in free
+    return verdict
 
 
 def main_text(html: str | None, wrapper: str, constants: frozenset[tuple[int, int]], varying: str | None = None) -> str:
@@ -315,7 +425,7 @@ def main_text(html: str | None, wrapper: str, constants: frozenset[tuple[int, in
     free = spared(wrapper, varying)
     left = []
     for b, slot in blocks:
-        if b.drop or any(above(node) not in free for node in b.named):
+        if b.drop or _falls(b.named, above, free):
             continue
         h = _hash(b.text)
         if (slot, h) not in constants and (PAGE, h) not in constants:
