@@ -15,8 +15,8 @@ is lost and no group meets as a whole:
    Blocks hold bitmaps alone; pairs that survive are checked with the whole sets, and what links is connected before the next
    round. First every class joins two blocks only (least hashes of its shared shingles). Then, for up to ``ROUNDS`` rounds while
    links are found, the shingles that different components share give all their blocks, each set of members once. In these
-   rounds a surviving pair counts as connected within its block, so a block tells no more pairs than it has
-   components. The last round tells all surviving pairs between components. Large blocks are cut into chunks of ``CHUNK``
+   rounds a surviving pair counts as connected within its part (a small block, or some of the large blocks of a pair of chunks), so a part
+   tells no more pairs than it has components. The last round tells all surviving pairs between components. Large blocks are cut into chunks of ``CHUNK``
    classes; every pair of chunks meets in a task of its own.
 4. Connected components by alternating large-star and small-star steps, each written to the shared folder.
 
@@ -43,7 +43,8 @@ from veilmark.llm.shingles import shingle_sets
 BUCKETS = 1 << 20  # of the frequency sketch
 PARTS = 64  # in which tasks' sketches are summed
 SKETCHES = 64  # of a part that one task sums at once (8 MB)
-SPREAD = 64  # tasks over which the blocks of one pair of chunks are dealt
+SPREAD = 64  # parts to which the blocks of one pair of chunks are dealt
+LAST_SPREAD = 4  # the same in the last round, in which each part may tell the same pairs
 CHUNK = 512
 FANOUT = 8
 PICKS = 2
@@ -139,13 +140,14 @@ def traverse(x: Tree, y: Tree | None, percent: int, connected, draw: random.Rand
 
 
 class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
+        up = self.up
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
         return i
 
     def join(self, i: int, j: int) -> bool:
@@ -154,15 +156,15 @@ class Union:
         return i != j
 
 
-def block_pairs(rows: list[dict], percent: int, forest: bool, seed: int = 0) -> set[tuple[int, int]]:
+def block_pairs(rows: list[dict], percent: int, forest: bool, seed: int = 0, union: Union | None = None) -> set[tuple[int, int]]:
     """Pairs of a block with different roots that may link; of a block of two sides (1 and 2) those across.
 
-    As a forest, a pair counts as connected once it is told, so there are at most as many as components; ``seed`` changes which.
+    As a forest, a pair counts as connected once it is told (in ``union``, which several blocks may share), so there are at most as many as
+    components; ``seed`` changes which.
     """
-    names = {r: i for i, r in enumerate({r["root"] for r in rows})}
-    union, out, draw = Union(len(names)), set(), random.Random(seed)
+    union, out, draw = union or Union(), set(), random.Random(seed)
     for own, maps in by_class(rows, percent):
-        sizes, root = np.array([r["n"] for r in own], dtype=np.int64), [names[r["root"]] for r in own]
+        sizes, root = np.array([r["n"] for r in own], dtype=np.int64), [r["root"] for r in own]
         sides = [np.flatnonzero([r["side"] == k for r in own]) for k in (0, 1, 2)]
         if len(sides[0]):
             a = b = sides[0]
@@ -383,29 +385,32 @@ def _all_pairs(mixed: DataFrame, maps: DataFrame, percent: int, forest: bool, se
     small = small.select("of").distinct().select(F.xxhash64("of").alias("block"), F.explode("of").alias("m"))
     small = small.select("block", F.col("block").alias("part"), F.col("m.node").alias("node"), F.col("m.root").alias("root"), F.lit(0).alias("side"))
     # of c chunks each meets every other: a row goes to the blocks (i, j) and (j, i) of its chunk
-    # chunks go by class alone and tasks by chunks, so that a pair that shares many large shingles is told by ``SPREAD`` tasks at most
+    # chunks go by class alone and parts by chunks, so that a pair that shares many large shingles is told by few parts
     chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("c") / CHUNK))).cast("int")
     large = mixed.where(F.col("c") > CHUNK).withColumn("_i", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), chunks - 1)))
     pair = (F.least("_i", "_j"), F.greatest("_i", "_j"))
     large = large.select(
-        F.xxhash64("token", *pair).alias("block"), F.xxhash64(*pair, F.pmod("token", F.lit(SPREAD))).alias("part"), "node", "root",
+        F.xxhash64("token", *pair).alias("block"), F.xxhash64(*pair, F.pmod("token", F.lit(SPREAD if forest else LAST_SPREAD))).alias("part"), "node", "root",
         F.when(F.col("_i") == F.col("_j"), 0).when(F.col("_i") < F.col("_j"), 1).otherwise(2).alias("side"),
     )
     rows = small.unionByName(large).join(maps, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        for group in _groups(_slices(batches, 2048), ["block"]):
+        union, part = None, None
+        for group in _groups(_slices(batches, 2048), ["part", "block"]):
+            if group[0]["part"] != part:
+                told, union, part = set(), Union(), group[0]["part"]
             if len({r["root"] for r in group}) < 2:
                 continue
-            pairs = block_pairs(group, percent, forest, seed) - told
+            pairs = block_pairs(group, percent, forest, seed, union) - told
             if len(told) > 1_000_000:  # forgetting only means telling again
                 told.clear()
             told |= pairs
             if pairs:
                 yield _pairs_batch(list(pairs))
 
-    return rows.repartition("part").sortWithinPartitions("block").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "u long, v long").distinct()
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
