@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.labels import detection_label_name
 from veilmark.functions.texts import card_signal, cut, digits, entropy
-from veilmark.operators.spans import MASKER_DEFAULT, MASKER_RANK, NORMALIZER_DEFAULT, NORMALIZER_RANK, RANGES, SPANS, drop_contained, normalized, span, union_merge
+from veilmark.operators.spans import MASKER_DEFAULT, MASKER_RANK, NORMALIZER_DEFAULT, NORMALIZER_RANK, RANGES, SPANS, drop_contained, match_pairs, normalized, running_ranges, span, union_merge
 from veilmark.sources.policy import Detector, Pattern, PolicyFile
 
 # Fixed values.
@@ -31,15 +31,7 @@ _octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 def matches(text: Column, regex: str, only: Column | None = None) -> Column:
     """Ranges of all matches of a pattern that matches nothing empty; none where ``only`` is false."""
-    p = F.lit(regex)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, regex, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["g"]
-        return F.struct((start + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
-
-    ranges = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(RANGES).alias("out")), step)["out"]
+    ranges = running_ranges(match_pairs(text, regex))
     test = text.rlike(regex) if only is None else only & text.rlike(regex)
     return F.when(test, ranges).otherwise(F.array().cast(RANGES))
 

@@ -15,9 +15,20 @@ from veilmark.functions.texts import cut, let, request_hint
 PLACEHOLDERS = "array<struct<placeholder:string,original:string>>"
 
 
-def placeholder(prefix: Column, number: Column) -> Column:
+def padded(number: Column, width: int) -> Column:
+    """Digits with leading zeros up to ``width``; longer numbers stay whole."""
     digits = number.cast("string")
-    return F.concat(F.lit("<"), prefix, F.lit(":"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit(">"))
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
+def placeholder(prefix: Column, number: Column) -> Column:
+    return F.concat(F.lit("<"), prefix, F.lit(":"), padded(number, 4), F.lit(">"))
+
+
+def unambiguous(placeholders: Column) -> Column:
+    """The list as it is; an error if a placeholder stands for two originals."""
+    names = F.size(F.array_distinct(F.transform(placeholders, lambda p: p["placeholder"])))
+    return F.when(names == F.size(F.array_distinct(placeholders)), placeholders).otherwise(F.raise_error(F.lit("placeholder collision in a session")).cast(PLACEHOLDERS))
 
 
 def mask(text: Column, spans: Column, prefix: Column) -> Column:
@@ -61,15 +72,17 @@ def holdback(text: Column, placeholders: Column) -> Column:
 def mask_items(items: DataFrame, mode: str, prefix: str, policy_name: str, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Masked items and the sessions to store, for ``items(session_id, item_idx, item_id, text, spans)`` with merged spans.
 
+    ``item_idx`` numbers a session's items and makes their placeholders differ; items that share a number are an error if their placeholders collide.
+
     ``passthrough`` leaves texts alone and stores empty sessions; under ``block`` a session with findings gives no texts and is not stored.
     """
     if mode == "passthrough":
         out = items.withColumn("spans", F.slice("spans", 1, 0)).withColumn("placeholders", F.array().cast(PLACEHOLDERS))
     else:
-        own = F.concat(F.lit(prefix), F.lpad(F.col("item_idx").cast("string"), 2, "0"), request_hint(F.col("session_id")))
+        own = F.concat(F.lit(prefix), padded(F.col("item_idx"), 2), request_hint(F.col("session_id")))
         out = items.withColumn("_m", mask(F.col("text"), F.col("spans"), own)).withColumns({"text": F.col("_m.text"), "placeholders": F.col("_m.placeholders")}).drop("_m")
     per_session = out.groupBy("session_id").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "placeholders"))), lambda x: x["placeholders"])).alias("placeholders"),
+        unambiguous(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "placeholders"))), lambda x: x["placeholders"]))).alias("placeholders"),
         F.sum(F.size("spans")).alias("findings"),
     )
     if mode == "block":
@@ -85,10 +98,13 @@ def mask_items(items: DataFrame, mode: str, prefix: str, policy_name: str, ttl_s
     return out, sessions
 
 
-def unmask_items(items: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``items(session_id, text, ...)`` restored; without a session the text stays and ``context_found`` is false."""
+def unmask_items(items: DataFrame, sessions: DataFrame, allow_missing: bool = True) -> DataFrame:
+    """``items(session_id, text, ...)`` restored; without a session the text stays and ``context_found`` is false, or that is an error."""
     known = sessions.select(F.col("session_id").alias("_sid"), F.col("placeholders").alias("_p"))
     df = items.join(known, F.col("session_id") == F.col("_sid"), "left")
+    if not allow_missing:
+        missing = F.raise_error(F.concat(F.lit("no session "), F.coalesce("session_id", F.lit("null"))))
+        df = df.withColumn("text", F.when(F.col("_sid").isNull(), missing.cast("string")).otherwise(F.col("text")))
     df = df.withColumn("_u", unmask(F.col("text"), F.coalesce("_p", F.array().cast(PLACEHOLDERS))))
     return df.withColumns({"text": F.col("_u.text"), "replacements": F.col("_u.replaced"), "context_found": F.col("_sid").isNotNull()}).drop("_u", "_sid", "_p")
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.labels import RISK_WEIGHTS, by_label
-from veilmark.operators.spans import intersection_length, merge_ranges, overlaps, ranges_length, tokens, touched
+from veilmark.functions.texts import let
+from veilmark.operators.spans import intersection_length, merge_ranges, overlaps, ranges_length, token_ranges
 
 FAMILIES = ["exact_agnostic", "overlap_agnostic", "exact_canonical", "overlap_canonical", "char_canonical", "token_canonical"]
 
@@ -46,14 +47,13 @@ def overlap_counts(gold: Column, predicted: Column, with_label: bool) -> Column:
 
 
 def char_counts(gold: Column, predicted: Column) -> Column:
-    g, p = merge_ranges(gold), merge_ranges(predicted)
-    return counts(intersection_length(g, p), ranges_length(p), ranges_length(g))
+    both = F.struct(merge_ranges(gold).alias("g"), merge_ranges(predicted).alias("p"))
+    return let(both, lambda x: counts(intersection_length(x["g"], x["p"]), ranges_length(x["p"]), ranges_length(x["g"])))
 
 
 def token_counts(text: Column, gold: Column, predicted: Column) -> Column:
-    t = tokens(text)
-    g, p = touched(t, merge_ranges(gold)), touched(t, merge_ranges(predicted))
-    return counts(F.size(F.array_intersect(g, p)), F.size(p), F.size(g))
+    both = F.struct(token_ranges(text, merge_ranges(gold)).alias("g"), token_ranges(text, merge_ranges(predicted)).alias("p"))
+    return let(both, lambda x: counts(intersection_length(x["g"], x["p"]), ranges_length(x["p"]), ranges_length(x["g"])))
 
 
 def evaluate(samples: DataFrame, by: list[str] | None = None, families: list[str] = FAMILIES, per_label: bool = True) -> DataFrame:

@@ -135,21 +135,61 @@ def intersection_length(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda n, x: n + F.aggregate(b, F.lit(0), lambda m, y: m + common(x, y)))
 
 
+def running_ranges(pairs: Column) -> Column:
+    """Ranges of lengths ``m`` that follow gaps ``g``, for ``array<struct<g:int,m:int>>``.
+
+    Lengths are summed in blocks of about the root of their number, as a fold that appends to a list copies it each time.
+    """
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast(RANGES).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["g"]
+        return F.struct((start + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
+
+    def blocks(xs: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda i: F.slice(xs, i * width + 1, width))).otherwise(
+            F.array().cast("array<array<struct<g:int,m:int>>>")
+        )
+
+    def placed(bs: Column) -> Column:
+        sums = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + x["m"]))
+        before = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(bs, before, lambda b, at: F.aggregate(b, zero(at), step)["out"]))
+
+    return let(let(pairs, blocks), placed)
+
+
+def match_pairs(text: Column, regex: str) -> Column:
+    """Lengths of the matches of a pattern and of the gaps before them."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m: F.length(m))
+    gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
+    return let(found, lambda f: F.zip_with(F.slice(gaps, F.lit(1), F.size(f)), f, lambda g, m: F.struct(g.alias("g"), m.alias("m"))))
+
+
 def tokens(text: Column) -> Column:
     """Ranges of the runs of characters that are no white space."""
-    gaps, words = F.split(text, "\\S+", -1), F.regexp_extract_all(text, F.lit("\\S+"), F.lit(0))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["g"]) + F.length(p["w"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["g"])).alias("start"), (acc["at"] + F.length(p["g"]) + F.length(p["w"])).alias("end")))).alias("out"),
-    )
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(RANGES).alias("out")), step)["out"]
+    return running_ranges(match_pairs(text, "\\S+"))
+
+
+def token_ranges(text: Column, ranges: Column) -> Column:
+    """Merged ranges of the numbers of the tokens that (merged, ordered) character ranges touch.
+
+    Tokens are counted from one range's bound to the next, so the text is read once and no list of its tokens is made.
+    """
+    begun = lambda a, b: F.regexp_count(F.when(a == 0, F.concat(F.lit(" "), cut(text, F.lit(0), b))).otherwise(cut(text, a - 1, b)), F.lit("(?<=\\s)\\S"))
+
+    def step(s: Column, r: Column) -> Column:
+        within = cut(text, r["start"] - 1, r["start"] + 1).rlike("^\\S\\S$") & (r["start"] > 0)
+        counted = F.struct((s["n"] + begun(s["at"], r["start"])).alias("before"), begun(r["start"], r["end"]).alias("own"), within.alias("within"))
+
+        def put(c: Column) -> Column:
+            first, last = c["before"] - F.when(c["within"], 1).otherwise(0), c["before"] + c["own"]
+            return F.struct(r["end"].alias("at"), last.alias("n"), F.when(last > first, F.concat(s["out"], F.array(F.struct(first.alias("start"), last.alias("end"))))).otherwise(s["out"]).alias("out"))
 
+        return let(counted, put)
 
-def touched(items: Column, ranges: Column) -> Column:
-    """Numbers of the items that overlap a range."""
-    marked = F.transform(items, lambda t, i: F.when(F.exists(ranges, lambda r: overlaps(t, r)), i))
-    return F.filter(marked, lambda i: i.isNotNull())
+    return merge_ranges(F.aggregate(ranges, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(RANGES).alias("out")), step)["out"])
 
 
 def _count(text: Column, words: list[str]) -> Column:

@@ -339,8 +339,8 @@ _TOKENS = r"""toks AS (SELECT doc_id, i, sum(length(g) + length(w)) OVER (PARTIT
 SELECT d.doc_id, count(DISTINCT t.i)::BIGINT AS touched FROM docs d LEFT JOIN (SELECT t.doc_id, t.i FROM toks t JOIN gold g ON g.doc_id = t.doc_id AND t.te - t.l < g.end_ AND g.start_ < t.te) t USING (doc_id) GROUP BY 1""",
 )
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    hit = A.touched(A.tokens(F.col("text")), A.merge_ranges(F.col("gold")))
-    return _samples(spark, d).select("doc_id", F.size(hit).cast("long").alias("touched"))
+    hit = A.token_ranges(F.col("text"), A.merge_ranges(F.col("gold")))
+    return _samples(spark, d).select("doc_id", A.ranges_length(hit).cast("long").alias("touched"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -22,9 +23,12 @@ def flatten_messages(payloads: DataFrame, payload: str = "payload", session: str
     parts = F.from_json("m.content", part)
     listed = F.startswith(F.ltrim("m.content"), F.lit("[")) & parts.isNotNull()
     texts = F.when(listed, F.filter(F.transform(parts, lambda p: p["text"]), lambda x: x.isNotNull())).otherwise(F.array("m.content"))
-    df = df.where("m.content is not null").select(session, "msg", F.col("m.role").alias("role"), F.posexplode(texts).alias("part", "text"))
-    return df.select(
-        F.col(session).alias("session_id"), (F.col("msg") * 1000 + F.col("part")).alias("item_idx"), F.concat_ws(".", F.col("msg").cast("string"), F.col("part").cast("string")).alias("item_id"), "role", "text"
+    df = df.where("m.content is not null").select(F.col(session).alias("session_id"), "msg", F.col("m.role").alias("role"), texts.alias("texts"))
+    df = df.select("session_id", "msg", "role", F.size("texts").alias("parts"), F.posexplode("texts").alias("part", "text"))
+    # a session's parts are numbered in order: those of the messages before, then its own
+    before = F.coalesce(F.sum(F.when(F.col("part") == 0, F.col("parts"))).over(W.partitionBy("session_id").orderBy("msg").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("item_idx", (before + F.col("part")).cast("int")).select(
+        "session_id", "item_idx", F.concat_ws(".", F.col("msg").cast("string"), F.col("part").cast("string")).alias("item_id"), "role", "text"
     )
 
 
