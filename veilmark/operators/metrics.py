@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from veilmark.functions.labels import RISK_WEIGHTS, by_label
-from veilmark.functions.texts import let
+from veilmark.functions.texts import let, marked_preview
 from veilmark.operators.spans import intersection_length, merge_ranges, overlaps, ranges_length, token_ranges
 
 FAMILIES = ["exact_agnostic", "overlap_agnostic", "exact_canonical", "overlap_canonical", "char_canonical", "token_canonical"]
@@ -178,6 +179,24 @@ def false_positives(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id", "text", F.explode(wrong).alias("s")).select("sample_id", "text", "s.*")
 
 
+def first_examples(wrong: DataFrame, k: int = 8, reach: int = 40) -> DataFrame:
+    """The first ``k`` wrong predictions of each label, by sample and place, with their surroundings.
+
+    Spark keeps ``k`` rows a label in each task before the exchange, so a frequent label is no large group.
+    """
+    order = W.partitionBy("canonical").orderBy("sample_id", "start", "end")
+    first = wrong.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    return first.select(F.col("canonical").alias("label"), "nth", "sample_id", "start", "end", "score", marked_preview(F.col("text"), F.col("start"), F.col("end"), reach=reach).alias("preview"))
+
+
+def with_predictions(samples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Samples with the predictions ``(sample_id, predicted)`` of their id; without any, with none."""
+    kind = predictions.schema["predicted"].dataType
+    found = predictions.select(F.col("sample_id").alias("_sid"), F.col("predicted").alias("_p"))
+    df = samples.drop("predicted").join(found, F.col("sample_id") == F.col("_sid"), "left")
+    return df.withColumn("predicted", F.coalesce("_p", F.array().cast(kind))).drop("_sid", "_p")
+
+
 def compare_recalls(base: DataFrame, new: DataFrame) -> DataFrame:
     """Recall per label in two reports, 0 where one has none, with the difference."""
     b, n = base.select("label", F.col("recall").alias("base")), new.select("label", F.col("recall").alias("new"))
@@ -200,6 +219,25 @@ def merge_reports(reports: list[DataFrame]) -> DataFrame:
     return with_ratios(out.groupBy("family", "label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
 
 
+def merged_report(reports: list[tuple[dict, DataFrame]]) -> tuple[dict, DataFrame]:
+    """Header and counts ``(family, label, tp, fp, fn, ...)`` of reports of one run's parts: counts summed, ratios anew, slices dropped.
+
+    The header has all datasets in order; macro means and the risk-weighted recall are rows of their own families.
+    """
+    same_run([h for h, _ in reports])
+    header = {k: v for k, v in reports[0][0].items() if k != "slices"}
+    header["datasets"] = list(dict.fromkeys(x for h, _ in reports for x in h.get("datasets", [])))
+    merged = merge_reports([r.select("family", "label", "tp", "fp", "fn") for _, r in reports])
+    chars = merged.where("family = 'label_char'")
+    blank = {c: F.lit(None).cast("bigint").alias(c) for c in ("tp", "fp", "fn")}
+    means = macro(chars).select(F.lit("macro").alias("family"), F.lit(None).cast("string").alias("label"), *blank.values(), "precision", "recall", "f1", F.round(1 - F.col("recall"), 6).alias("residual_miss_ratio"))
+    risk = risk_weighted_recall(chars).select(
+        F.lit("risk_weighted").alias("family"), F.lit(None).cast("string").alias("label"), *blank.values(), F.lit(None).cast("double").alias("precision"), F.col("value").alias("recall"),
+        F.lit(None).cast("double").alias("f1"), F.round(1 - F.col("value"), 6).alias("residual_miss_ratio"),
+    )
+    return header, merged.unionByName(means).unionByName(risk)
+
+
 def same_run(headers: list[dict]) -> None:
     """Reports can be merged only if version, suite, split and policy are the same."""
     for key in ("report_version", "suite", "split", "policy_name"):

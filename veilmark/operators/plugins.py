@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.labels import collapse_name, detection_label_name
-from veilmark.functions.texts import cut
+from veilmark.functions.texts import cut, let
 from veilmark.operators.spans import SPANS, chunk_windows, span
 from veilmark.sources.policy import Detector
 
@@ -73,7 +73,8 @@ def merge_windows(windows: Column, predictions: Column) -> Column:
         )
     )
     best = F.sort_array(F.transform(shifted, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["label"].alias("label"), (-p["score"]).alias("n"))))
-    first = F.filter(best, lambda p, i: (i == 0) | (F.struct(p["start"], p["end"], p["label"]) != F.struct(F.get(best, i - 1)["start"], F.get(best, i - 1)["end"], F.get(best, i - 1)["label"])))
+    key = lambda p: F.struct(p["start"], p["end"], p["label"])
+    first = let(best, lambda b: F.filter(b, lambda p, i: (i == 0) | (key(p) != key(F.get(b, i - 1)))))
     return F.transform(first, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["label"].alias("label"), (-p["n"]).alias("score")))
 
 
@@ -107,7 +108,8 @@ def classify_tokens(df: DataFrame, load: Loader, params: ClassifierParams, detec
             it = iter(found)
             yield pd.Series([[[{"start": s, "end": e, "label": x, "score": float(c)} for s, e, x, c in next(it)] for _ in row] for row in texts])
 
-    predict = F.pandas_udf(run, f"array<{RAW}>")
+    # not deterministic to the optimizer, so that it is neither copied nor moved into a lambda, where Python cannot be called
+    predict = F.pandas_udf(run, f"array<{RAW}>").asNondeterministic()
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_w", chunk_windows(t, params.window, params.overlap))
     df = df.withColumn("_p", predict(F.transform("_w", lambda w: cut(t, w["start"], w["end"]))))

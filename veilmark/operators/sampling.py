@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -66,6 +70,20 @@ def rebalance(df: DataFrame, target: int, negative_share: float, seed: int, row_
     return negative.unionByName(label_balanced(df.where("entity_count > 0"), q["positives"], seed, q["min_per_label"], row_id, labels))
 
 
+def cached_selection(spark: SparkSession, signature: dict, folder: str, select: Callable[[], DataFrame]) -> DataFrame:
+    """The selection ``(row ids)`` of a signature: read from its folder, or made and written there.
+
+    The folder's name is a hash of the signature, so another seed, size or table version is another selection. Writing is committed by its
+    ``_SUCCESS`` mark; without that the selection is made anew.
+    """
+    key = hashlib.sha256(json.dumps(signature, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    path = f"{folder.rstrip('/')}/{key}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        select().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def largest_remainder(total: int, shares: dict[str, float]) -> dict[str, int]:
     """Whole numbers that add up to ``total`` in proportion to ``shares``."""
     whole = sum(shares.values())

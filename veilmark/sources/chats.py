@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,3 +43,36 @@ def nest_messages(items: DataFrame) -> DataFrame:
     """``(session_id, messages)`` of masked or restored items, in order."""
     ordered = F.sort_array(F.collect_list(F.struct("item_idx", "role", F.col("text").alias("content"))))
     return items.groupBy("session_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def write_back(payloads: DataFrame, items: DataFrame, payload: str = "payload", session: str = "session_id") -> DataFrame:
+    """``payloads`` with the texts of ``items(session_id, item_id, text)`` in the places they came from; parts without a text stay as they are."""
+    texts = items.groupBy(F.col("session_id").alias("_sid")).agg(F.map_from_entries(F.collect_list(F.struct("item_id", "text"))).alias("_texts"))
+    df = payloads.join(texts, F.col(session) == F.col("_sid"), "left").withColumn("_texts", F.coalesce("_texts", F.create_map().cast("map<string,string>")))
+    raw = F.from_json(payload, "messages array<struct<role:string,content:string>>, choices array<struct<message:struct<role:string,content:string>>>, prompt string, input string")
+    new = lambda msg, part, old: F.coalesce(F.try_element_at("_texts", F.concat_ws(".", msg.cast("string"), F.lit(part) if isinstance(part, str) else part.cast("string"))), old)
+
+    def content(old: Column, i: Column) -> Column:
+        raws = F.from_json(old, "array<string>")
+        said = lambda p: F.get_json_object(p, "$.text")
+        # parts with a text are numbered in order; the number of one is how many stand before it
+        number = lambda j: F.size(F.filter(F.slice(raws, F.lit(1), j), lambda p: said(p).isNotNull()))
+        part = lambda p, j: F.when(said(p).isNull(), p).otherwise(F.to_json(F.struct(F.get_json_object(p, "$.type").alias("type"), new(i, number(j), said(p)).alias("text"))))
+        listed = F.startswith(F.ltrim(old), F.lit("[")) & F.from_json(old, "array<struct<type:string,text:string>>").isNotNull()
+        quoted = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+        whole = F.concat(F.lit("["), F.array_join(F.transform(raws, part), ","), F.lit("]"))
+        return F.when(old.isNull(), F.lit("null")).when(listed, whole).otherwise(quoted(new(i, "0", old)))
+
+    def message(m: Column, i: Column) -> Column:
+        role = F.regexp_extract(F.to_json(F.struct(F.coalesce(m["role"], F.lit("")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+        return F.concat(F.lit('{"role":'), role, F.lit(',"content":'), content(m["content"], i), F.lit("}"))
+
+    listed = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    out = (
+        F.when(raw["messages"].isNotNull(), F.concat(F.lit('{"messages":'), listed(F.transform(raw["messages"], message)), F.lit("}")))
+        .when(raw["choices"].isNotNull(), F.concat(F.lit('{"choices":'), listed(F.transform(raw["choices"], lambda c, i: F.concat(F.lit('{"message":'), message(c["message"], i), F.lit("}")))), F.lit("}")))
+        .when(raw["prompt"].isNotNull(), F.to_json(F.struct(new(F.lit(0), "0", raw["prompt"]).alias("prompt"))))
+        .when(raw["input"].isNotNull(), F.to_json(F.struct(new(F.lit(0), "0", raw["input"]).alias("input"))))
+        .otherwise(F.col(payload))
+    )
+    return df.withColumn(payload, out).drop("_sid", "_texts")

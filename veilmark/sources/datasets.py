@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilmark.functions.labels import CANONICAL, known_label
 from veilmark.functions.texts import script_profile
@@ -60,7 +61,7 @@ def load_registry(path: str) -> Registry:
     return parse_registry(yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
 
 
-def read_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """Parquet, or JSON lines by the path's ending; a schema avoids a pass to infer one."""
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path) if re.search(r"\.jsonl?(\.gz)?$", path) else reader.parquet(path)
@@ -107,6 +108,14 @@ def write_samples(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file below a folder."""
+    """Path below a folder, length and SHA-256 of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length"), F.sha2("content", 256).alias("sha256")).orderBy("name")
+    root = F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z]+:/+", "/")
+    own = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    return files.select(F.substring(own, F.length(root) + 2, F.length(own)).alias("name"), F.col("length"), F.sha2("content", 256).alias("sha256")).orderBy("name")
+
+
+def manifest_digest(manifest: DataFrame) -> DataFrame:
+    """One digest of a manifest: SHA-256 of its sorted ``name:sha256`` lines, one row a file."""
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "name", "sha256"))), "\n")
+    return manifest.agg(F.count(F.lit(1)).alias("files"), F.sha2(lines.cast("binary"), 256).alias("sha256"))

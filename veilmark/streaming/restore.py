@@ -87,3 +87,27 @@ def flush_rows(chunks: DataFrame) -> DataFrame:
     """A final empty chunk after the last of each stream that has none, for batches of chunks whose upstream has ended."""
     ends = chunks.groupBy("session_id", "stream_id").agg(F.max("seq").alias("seq"), F.max("final").alias("_f")).where("not _f")
     return chunks.unionByName(ends.select("session_id", "stream_id", (F.col("seq") + 1).alias("seq"), F.lit("").alias("chunk"), F.lit(True).alias("final")))
+
+
+def checked_requests(requests: DataFrame, sessions: DataFrame, allow_missing: bool = True) -> DataFrame:
+    """``requests(session_id, stream_id, seq, chunk, final, transforms, delete_context)`` with ``error``, null if they may be streamed.
+
+    A stream has exactly one transform, which restores; it names its session; a context is deleted with the final chunk only; and, unless
+    missing sessions are allowed, its session is known.
+    """
+    known = sessions.select(F.col("session_id").alias("_sid")).distinct()
+    df = requests.join(known, F.col("session_id") == F.col("_sid"), "left")
+    error = (
+        F.when(F.size("transforms") != 1, "exactly one transform is needed")
+        .when(F.get("transforms", F.lit(0)) != "REIDENTIFY", "only REIDENTIFY can be streamed")
+        .when(F.coalesce(F.trim("session_id"), F.lit("")) == "", "a session id is needed")
+        .when(F.col("delete_context") & ~F.col("final"), "a context is deleted with the final chunk only")
+    )
+    if not allow_missing:
+        error = error.when(F.col("_sid").isNull(), "missing or expired session")
+    return df.withColumn("error", error).drop("_sid")
+
+
+def ended_sessions(requests: DataFrame) -> DataFrame:
+    """Sessions whose context goes: those of a final chunk that asks for it."""
+    return requests.where("error IS NULL AND final AND delete_context").select("session_id").distinct()
