@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Limits of a batch to Python workers: Spark's default, and the one used instead, as texts are long rows.
+BATCHES = {"maxRecordsPerBatch": ("10000", "1024"), "maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Fewer rows in a batch to Python workers than Spark's default, which is meant for short rows; a value set by the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1024")
+    """Smaller batches to Python workers than Spark's defaults, which are meant for short rows; values set by the session stay."""
+    for name, (usual, own) in BATCHES.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
 
 
 def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
@@ -49,3 +54,4 @@ RELEASES: list = []
 def release_caches() -> None:
     for release in RELEASES:
         release()
+    pa.default_memory_pool().release_unused()

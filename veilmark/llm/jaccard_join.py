@@ -49,6 +49,7 @@ CHUNK = 512
 FANOUT = 8
 PICKS = 2
 ROUNDS = 1
+TOLD = 200_000  # pairs that a task remembers
 SALTS = 64
 BROADCAST_ROWS = 500_000  # of two numbers
 
@@ -404,7 +405,7 @@ def _all_pairs(mixed: DataFrame, maps: DataFrame, percent: int, forest: bool, se
             if len({r["root"] for r in group}) < 2:
                 continue
             pairs = block_pairs(group, percent, forest, seed, union) - told
-            if len(told) > 1_000_000:  # forgetting only means telling again
+            if len(told) > TOLD:  # forgetting only means telling again
                 told.clear()
             told |= pairs
             if pairs:

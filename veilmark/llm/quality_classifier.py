@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table, shielded, written
+from veilmark.llm.common import read_table, release_caches, shielded, written
 
 SAMPLE = 6_000
 THRESHOLD = 0.5
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id")
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             x = _matrix(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_q").cast(pa.float64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "q", "x"])
@@ -111,6 +112,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
+        release_caches()
         return pa.array(np.concatenate([np.zeros(0), *(model.probability(_matrix(texts.slice(at, 256).to_pylist())) for at in range(0, len(texts), 256))]))
 
     return docs.withColumn("p", probability(F.col("text").cast("string")))
