@@ -9,8 +9,8 @@
 3. A document's posterior log odds are its evidence plus the log odds of its path's posterior, from which its own ``p`` was
    left out. It is kept from ``threshold`` on.
 
-Only texts go to Python workers and only ``p`` comes back; it is computed once for the sums and once more for the documents, which costs
-less than to write whole documents with it. The sums are combined before the exchange, so a hot host is one row per
+``p`` is computed once for the sums, to which no text comes back, and once more for the documents, which costs less than to write
+whole documents with it. The sums are combined before the exchange, so a hot host is one row per
 task. Groups come back by a broadcast if they and their names take at most ``BROADCAST_BYTES``, else by a join that Spark may split.
 
 Defined cases: null text is empty; null host or path is a site of its own; labels without quality, or of unknown documents,
@@ -107,15 +107,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, FEATURES), np.array([float(r["q"] > 0) for r in got]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``p``."""
+def score(docs: DataFrame, model: Model, only: list[str] | None = None) -> DataFrame:
+    """``docs``, or their columns ``only``, with ``p``."""
+    keep = docs.columns if only is None else only
+    schema = docs.select(*keep).withColumn("p", F.lit(0.0)).schema
 
-    @F.arrow_udf("double")
-    def probability(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        return pa.array(np.concatenate([np.zeros(0), *(model.probability(_matrix(texts.slice(at, 256).to_pylist())) for at in range(0, len(texts), 256))]))
+        for b in batches:
+            p = model.probability(_matrix(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], names=[*keep, "p"])
 
-    return docs.withColumn("p", probability(F.col("text").cast("string")))
+    return docs.mapInArrow(run, schema)
 
 
 def _strength(mean, var_of_rates):
@@ -149,7 +152,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """``docs`` with ``p`` (own), ``host_rate``, ``path_rate`` (own ``p`` left out), ``posterior`` and ``kept``."""
     docs = docs.drop(*(c for c in docs.columns if c in OWN))
     model = fit(docs, labels, sample)
-    sites = site_rates(score(docs.select("text", host, *([path] if path != host else [])), model), host, path)
+    names = [host, *([path] if path != host else [])]
+    sites = site_rates(score(docs.select("text", *names), model, names), host, path)
     names = F.coalesce(F.length(F.col("_host").cast("string")), F.lit(0)) + F.coalesce(F.length(F.col("_path").cast("string")), F.lit(0))
     size = sites.agg(F.sum(4 * names + GROUP_BYTES)).first()[0] or 0  # a character takes at most four bytes
     sites = F.broadcast(sites) if size <= BROADCAST_BYTES else sites
