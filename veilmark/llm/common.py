@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from veilmark.shipping import ship
 from veilmark.sources.shared import shared_dir, written
 
-__all__ = ["bound_batches", "read_table", "release_caches", "shared_dir", "shielded", "text_or_empty", "words_of", "written"]
+__all__ = ["bound_batches", "give_back", "read_table", "release_caches", "shared_dir", "shielded", "text_or_empty", "words_of", "written"]
 
 #: White space between words: space and U+0009 to U+000D (the contracts' word class is the complement).
 WORD_GAP = "[ \\t-\\r]+"
@@ -47,11 +50,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), "")
 
 
-#: Functions that free what a worker remembers for one operator; others call them before they need memory of their own.
-RELEASES: list = []
+#: What a worker remembers for one operator; others clear it before they need memory of their own.
+CACHES: list[dict] = []
 
 
 def release_caches() -> None:
-    for release in RELEASES:
-        release()
+    if any(CACHES):
+        for cache in CACHES:
+            cache.clear()
+        give_back()
     pa.default_memory_pool().release_unused()
+
+
+def give_back() -> None:
+    """Returns freed pages to the system where the C library can; else they would stay with the worker."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table, release_caches, shielded, written
+from veilmark.llm.common import CACHES, give_back, read_table, release_caches, shielded, written
 
 #: Bytes that end words: U+0000-2F, U+003A-60 (after lower-casing) and U+007B-7F; A-Z are lower-cased.
 _CLASS = bytes(
@@ -156,6 +156,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: The tables of the block that a worker searched last, by a key of the block.
 _TABLES: dict[tuple[str, int], list[WuManber]] = {}
+CACHES.append(_TABLES)
 
 
 def _search(docs: DataFrame, bench: DataFrame, window: int, whole: bool) -> DataFrame:
@@ -166,9 +167,9 @@ def _search(docs: DataFrame, bench: DataFrame, window: int, whole: bool) -> Data
     schema = docs.limit(0).selectExpr("*", *(f"CAST(NULL AS {t}) AS {c}" for c, t in (x.split(" ") for x in new.split(", ")))).schema
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         if key not in _TABLES:
-            _TABLES.clear()
+            release_caches()
+            give_back()
             _TABLES[key] = tables(shared.value, window)
         sets = _TABLES[key]
         for batch in batches:

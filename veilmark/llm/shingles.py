@@ -22,7 +22,7 @@ _BYTE = _DRAW.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _P = _U(int(_DRAW.integers(2**62, 2**63)) | 1)
 _WORD = _DRAW.integers(1, 2**64 - 1, 64, dtype=np.uint64) | _U(1)
 _INVERSE = _U(pow(int(_P), -1, 2**64))
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 LONG_WORD = 256
 _GAP = re.compile(rb"[ \t-\r]")
 

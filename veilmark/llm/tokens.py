@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from veilmark.llm.common import RELEASES
+from veilmark.llm.common import CACHES, give_back, release_caches
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -109,13 +109,14 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
-RELEASES.append(_ENCODERS.clear)
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
     """The worker's encoder of a vocabulary file, made once per process; ``entries`` bounds each generation of its memory."""
     if (path, entries) not in _ENCODERS:
-        _ENCODERS.clear()
+        release_caches()
+        give_back()
         _ENCODERS[path, entries] = Encoder(path, entries)
     return _ENCODERS[path, entries]
 
