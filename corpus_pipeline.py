@@ -36,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their sequences."""
-    return packing.packed_rows(docs, memo=150_000)  # executors have run the other stages by now: less memory for words
+    return packing.packed_rows(docs, memo=75_000)  # executors have run the other stages by now: less memory for words
 
 
 STAGES = [
