@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmark.llm import chat, decontaminate, fim, html_extract, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
+from veilmark.llm import chat, decontaminate, fim, html_extract, jaccard_join, language_id, packing, quality_classifier, quality_rules, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES = {
