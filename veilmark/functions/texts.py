@@ -48,7 +48,7 @@ def card_signal(text: Column, start: Column, end: Column) -> Column:
     near = F.lower(cut(text, F.greatest(start - CARD_REACH, F.lit(0)), F.least(end + CARD_REACH, F.length(text))))
     seen = F.struct(
         digits(snippet).alias("number"),
-        F.regexp_replace(F.trim(snippet), "\\s+", " ").rlike("^(?:\\d{4}[ -]){2,4}\\d{1,4}$").alias("grouped"),
+        F.regexp_replace(F.trim(snippet), "\\s+", " ").rlike("^(?:\\d{4}[ -]){2,4}\\d{1,4}\\z").alias("grouped"),
         let(near, lambda x: F.exists(F.array(*map(F.lit, CARD_WORDS)), lambda w: F.contains(x, w))).alias("context"),
     )
 
@@ -94,7 +94,7 @@ def trimmed_bounds(text: Column, start: Column, end: Column) -> Column:
 
     def ends(w: Column) -> Column:
         inner = cut(text, w["low"], w["high"])
-        head, tail = (F.length(F.regexp_extract(inner, r, 0)) for r in (f"^{_TRIM_CLASS}*", f"{_TRIM_CLASS}*$"))
+        head, tail = (F.length(F.regexp_extract(inner, r, 0)) for r in (f"^{_TRIM_CLASS}*", f"{_TRIM_CLASS}*\\z"))
         return F.struct(F.least(w["low"] + head, w["high"]).alias("left"), (w["high"] - tail).alias("right"))
 
     return let(let(within, ends), lambda e: F.struct(e["left"].alias("start"), F.greatest(e["right"], e["left"]).alias("end")))

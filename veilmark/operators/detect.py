@@ -53,14 +53,14 @@ def find_pattern(text: Column, pattern: Pattern, detector: str) -> Column:
 
 def is_ip(token: Column) -> Column:
     """Whether a token is an IPv4 or IPv6 address or network, with two separators at least."""
-    address, prefix = F.regexp_extract(token, "^[^/]*", 0), F.regexp_extract(token, "/([0-9]{1,3})$", 1)
+    address, prefix = F.regexp_extract(token, "^[^/]*", 0), F.regexp_extract(token, "/([0-9]{1,3})\\z", 1)
     bits = lambda most: (prefix == "") | (F.coalesce(prefix.try_cast("int") <= most, F.lit(False)))
-    four = address.rlike(rf"^{_octet}(\.{_octet}){{3}}$")
-    tail = F.regexp_replace(address, rf"(?<=:){_octet}(\.{_octet}){{3}}$", "0:0")
+    four = address.rlike(rf"^{_octet}(\.{_octet}){{3}}\z")
+    tail = F.regexp_replace(address, rf"(?<=:){_octet}(\.{_octet}){{3}}\z", "0:0")
     groups = F.filter(F.split(tail, ":"), lambda g: g != "")
-    shape = tail.rlike("^[0-9A-Fa-f:]+$") & ~F.exists(groups, lambda g: F.length(g) > 4) & ~F.contains(tail, F.lit(":::"))
+    shape = tail.rlike("^[0-9A-Fa-f:]+\\z") & ~F.exists(groups, lambda g: F.length(g) > 4) & ~F.contains(tail, F.lit(":::"))
     twice = F.size(F.split(tail, "::", -1)) - 1
-    ends = (~tail.rlike("^:[^:]")) & (~tail.rlike("[^:]:$"))
+    ends = (~tail.rlike("^:[^:]")) & (~tail.rlike("[^:]:\\z"))
     six = shape & ends & (((twice == 0) & (F.size(groups) == 8)) | ((twice == 1) & (F.size(groups) <= 7)))
     separators = F.length(token) - F.length(F.translate(token, ".:", ""))
     return (separators >= 2) & ((four & bits(32)) | (six & bits(128)))

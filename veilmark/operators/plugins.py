@@ -117,8 +117,8 @@ def classify_tokens(df: DataFrame, load: Loader, params: ClassifierParams, detec
 
 
 def sentence_start(text: Column, start: Column) -> Column:
-    before = F.regexp_replace(F.substring(text, F.lit(1), start), "\\s+$", "")
-    return (before == "") | before.rlike("[.!?:;]$")
+    before = F.regexp_replace(F.substring(text, F.lit(1), start), "\\s+\\z", "")
+    return (before == "") | before.rlike("[.!?:;]\\z")
 
 
 def plausible_person(text: Column, start: Column, end: Column, least: int = 3) -> Column:

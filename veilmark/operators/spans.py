@@ -180,7 +180,7 @@ def token_ranges(text: Column, ranges: Column) -> Column:
     begun = lambda a, b: F.regexp_count(F.when(a == 0, F.concat(F.lit(" "), cut(text, F.lit(0), b))).otherwise(cut(text, a - 1, b)), F.lit("(?<=\\s)\\S"))
 
     def step(s: Column, r: Column) -> Column:
-        within = cut(text, r["start"] - 1, r["start"] + 1).rlike("^\\S\\S$") & (r["start"] > 0)
+        within = cut(text, r["start"] - 1, r["start"] + 1).rlike("^\\S\\S\\z") & (r["start"] > 0)
         counted = F.struct((s["n"] + begun(s["at"], r["start"])).alias("before"), begun(r["start"], r["end"]).alias("own"), within.alias("within"))
 
         def put(c: Column) -> Column:
@@ -213,7 +213,7 @@ def clause_bounds(text: Column, start: Column, end: Column, reach: int = ADDRESS
     """From the end of the sentence before to the end of this one, at most ``reach`` characters either way."""
     before = cut(text, F.greatest(start - reach, F.lit(0)), start)
     after = cut(text, end, F.least(end + reach, F.length(text)))
-    return F.struct((start - F.length(F.regexp_extract(before, "[^\\n\\r.!?;]*$", 0))).alias("start"), (end + F.length(F.regexp_extract(after, "^[^\\n\\r.!?;]*", 0))).alias("end"))
+    return F.struct((start - F.length(F.regexp_extract(before, "[^\\n\\r.!?;]*\\z", 0))).alias("start"), (end + F.length(F.regexp_extract(after, "^[^\\n\\r.!?;]*", 0))).alias("end"))
 
 
 def _chain(side: Column, forward: bool, budget: Column) -> Column:

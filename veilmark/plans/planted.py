@@ -181,20 +181,24 @@ def planted_cards(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "normalized_spans",
     """WITH c AS (SELECT c_custkey::BIGINT AS k, 'Manzil: O''zbekiston, Toshkent shahri, Chilonzor tumani, ' || c_custkey || '-mavze, 12-uy. Rahmat ' || c_custkey AS a, 'Trip ' || c_custkey || ' to Berlin was great yesterday.' AS b,
-  'ID (AB' || c_custkey || ')' AS e FROM customer)
+  'ID (AB' || c_custkey || ')' AS e, c_custkey || ' Baker street, London house 5' || chr(10) || 'Paris, the city of light' || chr(8232) AS f FROM customer)
 SELECT k, 'expanded' AS kind, (strpos(a, 'Toshkent') - 1)::INT AS start_, (strpos(a, '. Rahmat') - 1)::INT AS end_ FROM c
 UNION ALL SELECT k, 'stays', (strpos(b, 'Berlin') - 1)::INT, (strpos(b, 'Berlin') + 5)::INT FROM c
-UNION ALL SELECT k, 'trimmed', 4, (length(e) - 1)::INT FROM c UNION ALL SELECT k, 'nothing left', 3, 4 FROM c""",
+UNION ALL SELECT k, 'trimmed', 4, (length(e) - 1)::INT FROM c UNION ALL SELECT k, 'nothing left', 3, 4 FROM c
+UNION ALL SELECT k, 'stops at the line', (strpos(f, 'Paris') - 1)::INT, length(f)::INT FROM c
+UNION ALL SELECT k, 'keeps odd ends', (strpos(f, 'light') - 1)::INT, length(f)::INT FROM c""",
 )
 def normalized_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Locations grown over an address, spans trimmed, and a span of which nothing is left as it was."""
+    """Locations grown over an address but not over a line end, spans trimmed, and a span of which nothing is left as it was."""
     key = F.col("k").cast("string")
     a, b, e = F.concat(F.lit("Manzil: O'zbekiston, Toshkent shahri, Chilonzor tumani, "), key, F.lit("-mavze, 12-uy. Rahmat "), key), F.concat(F.lit("Trip "), key, F.lit(" to Berlin was great yesterday.")), F.concat(F.lit("ID (AB"), key, F.lit(")"))
+    f = F.concat(key, F.lit(" Baker street, London house 5\nParis, the city of light\u2028"))
     at = lambda t, word: F.instr(t, word) - 1
     span = lambda s, end, label, c: F.array(A.span(s, end, F.lit(label), F.lit(0.9), F.lit("x"), F.lit(c)))
     cases = {
         "expanded": (a, span(at(a, "Toshkent"), at(a, "Toshkent") + 15, "LOCATION", "location")), "stays": (b, span(at(b, "Berlin"), at(b, "Berlin") + 6, "LOCATION", "location")),
         "trimmed": (e, span(F.lit(2), F.length(e), "DOCUMENT_NUMBER", "identifier")), "nothing left": (e, span(F.lit(3), F.lit(4), "DOCUMENT_NUMBER", "identifier")),
+        "stops at the line": (f, span(at(f, "Paris"), at(f, "Paris") + 5, "LOCATION", "location")), "keeps odd ends": (f, span(at(f, "light"), F.length(f), "DOCUMENT_NUMBER", "identifier")),
     }
     out = [_bounds(A.normalized(t, s), kind) for kind, (t, s) in cases.items()]
     return _keys(spark, d).select("k", F.explode(F.flatten(F.array(*out))).alias("s")).select("k", "s.*")
