@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from veilmark.functions.labels import RISK_WEIGHTS, by_label
 from veilmark.functions.texts import let, marked_preview
-from veilmark.operators.spans import intersection_length, merge_ranges, overlaps, ranges_length, token_ranges
+from veilmark.operators.spans import intersection_length, merge_ranges, overlaps, ranges_length, running_greatest, token_ranges
 
 FAMILIES = ["exact_agnostic", "overlap_agnostic", "exact_canonical", "overlap_canonical", "char_canonical", "token_canonical"]
 
@@ -26,12 +26,18 @@ def counts(tp: Column, predicted: Column, gold: Column) -> Column:
 
 
 def exact_counts(gold: Column, predicted: Column, with_label: bool) -> Column:
-    """Multiset intersection on bounds (and label)."""
-    key = lambda s: F.struct(s["start"], s["end"], s["canonical"]) if with_label else F.struct(s["start"], s["end"])
-    g, p = F.transform(gold, key), F.transform(predicted, key)
-    times = lambda xs, k: F.size(F.filter(xs, lambda x: x == k))
-    tp = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, k: n + F.least(times(p, k), times(g, k)))
-    return counts(tp, F.size(predicted), F.size(gold))
+    """Multiset intersection on bounds (and label): equal spans are numbered, so that it is one of sets."""
+
+    def numbered(spans: Column) -> Column:
+        key = lambda s: F.concat_ws(":", s["start"], s["end"], *([F.coalesce(s["canonical"], F.lit("-"))] if with_label else []))
+
+        def nth(keys: Column) -> Column:
+            begins = F.transform(keys, lambda k, i: F.when((i == 0) | (k != F.get(keys, i - 1)), i + 1).otherwise(1))
+            return let(running_greatest(F.concat(begins, F.array(F.lit(1)))), lambda first: F.transform(keys, lambda k, i: F.concat_ws("#", k, i + 1 - F.get(first, i + 1))))
+
+        return let(F.sort_array(F.transform(spans, key)), nth)
+
+    return counts(F.size(F.array_intersect(numbered(gold), numbered(predicted))), F.size(predicted), F.size(gold))
 
 
 def overlap_counts(gold: Column, predicted: Column, with_label: bool) -> Column:

@@ -50,15 +50,60 @@ def ordered(spans: Column) -> Column:
     return F.sort_array(spans)
 
 
+def blocks(xs: Column, kind: str) -> Column:
+    """An array in blocks of about the root of its length: a fold that appends to a list copies it each time, so folds stay within blocks."""
+    width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+    cut_up = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda i: F.slice(xs, i * width + 1, width))
+    return F.when(F.size(xs) > 0, cut_up).otherwise(F.array().cast(f"array<array<{kind}>>"))
+
+
+def running_greatest(values: Column) -> Column:
+    """For each of the numbers (int) the greatest of those before it; the least number there is for the first."""
+
+    def within(block: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("most"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, zero, lambda a, x: F.struct(F.greatest(a["most"], x).alias("most"), F.concat(a["out"], F.array(a["most"])).alias("out")))["out"]
+
+    def placed(bs: Column) -> Column:
+        return F.flatten(F.zip_with(bs, within(F.transform(bs, F.array_max), F.lit(-(2**31))), within))
+
+    return let(let(values, lambda v: blocks(v, "int")), placed)
+
+
 def drop_contained(spans: Column) -> Column:
     """Without spans of score 0, and without any inside a better one of its label: a higher score, then an earlier start, then more length.
 
-    Containment is transitive, so it does not matter whether the better one stays itself.
+    Containment is transitive, so it does not matter whether the better one stays itself. A label's spans are swept by start and descending
+    end: whatever holds a span stands before it, and is better exactly if its score is not lower. Of the blocks before, the bounds and
+    scores that no other one beats are enough; those of the block itself are looked at one by one.
     """
-    key = lambda s: F.struct((-s["score"]).alias("a"), s["start"].alias("b"), (s["start"] - s["end"]).alias("c"), s.alias("s"))
-    best = F.transform(F.sort_array(F.transform(F.filter(spans, lambda s: s["score"] > 0), key)), lambda x: x["s"])
-    inside = lambda s, b: (b["label"] == s["label"]) & (b["start"] <= s["start"]) & (b["end"] >= s["end"])
-    return let(best, lambda xs: F.filter(xs, lambda s, i: ~F.exists(F.slice(xs, F.lit(1), i), lambda b: inside(s, b))))
+    kind = f"struct<start:int,less:int,worse:double,s:{SPAN}>"
+    beats = lambda s: lambda b: (b["end"] >= s["end"]) & (b["score"] >= s["score"])
+
+    def swept(own: Column) -> Column:
+        key = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), (-s["score"]).alias("worse"), s.alias("s"))
+        order = F.transform(F.sort_array(F.transform(own, key).cast(f"array<{kind}>")), lambda x: x["s"])
+        return let(let(order, lambda xs: blocks(xs, SPAN)), lambda bs: F.when(F.size(bs) == 1, F.filter(bs[0], lambda s, i: ~F.exists(F.slice(bs[0], F.lit(1), i), beats(s)))).otherwise(in_blocks(bs)))
+
+    def in_blocks(bs: Column) -> Column:
+        bound = "struct<worse:double,less:int,end:int,score:double>"
+        bounds = lambda block: F.transform(block, lambda s: F.struct((-s["score"]).alias("worse"), (-s["end"]).alias("less"), s["end"].alias("end"), s["score"].alias("score")))
+
+        def best(all_of: Column) -> Column:  # by falling score, those that reach further than all before
+            return let(F.sort_array(all_of), lambda xs: let(running_greatest(F.transform(xs, lambda x: x["end"])), lambda most: F.filter(xs, lambda x, i: x["end"] > F.get(most, i))))
+
+        zero = F.struct(F.array().cast(f"array<{bound}>").alias("best"), F.array().cast(f"array<array<{bound}>>").alias("out"))
+        before = F.aggregate(bs, zero, lambda a, block: F.struct(best(F.concat(a["best"], bounds(block))).alias("best"), F.concat(a["out"], F.array(a["best"])).alias("out")))["out"]
+        keep = lambda block, told: F.filter(block, lambda s, i: ~F.exists(told, beats(s)) & ~F.exists(F.slice(block, F.lit(1), i), beats(s)))
+        return F.flatten(F.zip_with(bs, before, keep))
+
+    def all_of(xs: Column) -> Column:
+        kept = F.flatten(F.transform(F.array_distinct(F.transform(xs, lambda s: s["label"])), lambda label: swept(F.filter(xs, lambda s: s["label"].eqNullSafe(label)))))
+        back = lambda s: F.struct((-s["score"]).alias("a"), s["start"].alias("b"), (s["start"] - s["end"]).alias("c"), s.alias("s"))
+        return F.transform(F.sort_array(F.transform(kept, back)), lambda x: x["s"])
+
+    some = let(F.filter(spans, lambda s: s["score"] > 0), lambda xs: F.when(F.size(xs) < 2, xs).otherwise(all_of(xs)))
+    return some.cast(SPANS)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -74,55 +119,48 @@ def union_merge(spans: Column, rank: dict[str, int], default: int) -> Column:
     rank_of = lambda s: by_label(F.lower(F.coalesce(s["canonical"], F.lit(""))), {k: float(v) for k, v in rank.items()}, float(default))
     some = lambda c: F.filter(F.array(c), lambda x: x.isNotNull() & (F.trim(x) != ""))
 
-    def alone(s: Column) -> Column:
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score"), s["detector"].alias("detector"), s["canonical"].alias("canonical"),
-            some(s["detector"]).alias("detectors"), some(F.lower(s["canonical"])).alias("canonicals"), F.lit(1).alias("members"),
-            F.struct(rank_of(s).alias("r"), s["score"].alias("s"), (s["end"] - s["start"]).alias("l"), (-s["start"]).alias("b")).alias("best"),
+    def one(members: Column) -> Column:
+        quality = lambda s: F.struct(rank_of(s).alias("r"), s["score"].alias("s"), (s["end"] - s["start"]).alias("l"), (-s["start"]).alias("b"))
+        rated = F.transform(members, lambda s, i: F.struct(quality(s).alias("q"), (-i).alias("first"), s.alias("s")))
+        listed = lambda f: F.sort_array(F.array_distinct(F.flatten(F.transform(members, lambda s: some(f(s))))))
+        return let(
+            F.array_max(rated)["s"],
+            lambda best: F.struct(
+                members[0]["start"].alias("start"), F.array_max(F.transform(members, lambda s: s["end"])).alias("end"), best["label"].alias("label"),
+                F.array_max(F.transform(members, lambda s: s["score"])).alias("score"), best["detector"].alias("detector"), best["canonical"].alias("canonical"),
+                listed(lambda s: s["detector"]).alias("detectors"), listed(lambda s: F.lower(s["canonical"])).alias("canonicals"), F.size(members).alias("members"),
+            ),
         )
 
-    def joined(a: Column, b: Column, better: Column) -> Column:
-        pick = lambda f: F.when(better, b[f]).otherwise(a[f]).alias(f)
-        return F.struct(
-            a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"), pick("label"), F.greatest(a["score"], b["score"]).alias("score"), pick("detector"),
-            pick("canonical"), F.array_union(a["detectors"], b["detectors"]).alias("detectors"), F.array_union(a["canonicals"], b["canonicals"]).alias("canonicals"),
-            (a["members"] + 1).alias("members"), pick("best"),
-        )
-
-    kind = MERGED[:-2] + ",best:struct<r:double,s:double,l:int,b:int>>>"
     valid = ordered(F.filter(spans, lambda s: s["end"] > s["start"]))
+    return let(valid, lambda xs: F.transform(let(_first_of_group(xs), lambda firsts: F.transform(firsts, lambda f, i: F.slice(xs, f["at"] + 1, F.coalesce(F.get(firsts, i + 1)["at"], F.size(xs)) - f["at"]))), one)).cast(MERGED)
 
-    def step(groups: Column, new: Column) -> Column:
-        def put(last: Column) -> Column:
-            apart = last.isNull() | (new["start"] > last["end"])
-            return F.when(apart, F.concat(groups, F.array(new)).cast(kind)).otherwise(
-                F.concat(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.array(let(new["best"] > last["best"], lambda b: joined(last, new, b)))).cast(kind)
-            )
 
-        return let(F.try_element_at(groups, F.lit(-1)), put)
+def _first_of_group(ordered_spans: Column) -> Column:
+    """Of spans in order, those that begin a group of overlapping or touching ones: ``(at, start, reached)``, ``reached`` by all before."""
+    kind = "array<struct<at:int,start:int,reached:int>>"
 
-    groups = F.aggregate(F.transform(valid, alone), F.array().cast(kind), step)
-    fields = ("start", "end", "label", "score", "detector", "canonical")
-    return F.transform(
-        groups,
-        lambda g: F.struct(*(g[f].alias(f) for f in fields), F.sort_array(g["detectors"]).alias("detectors"), F.sort_array(g["canonicals"]).alias("canonicals"), g["members"].alias("members")),
-    )
+    def firsts(xs: Column) -> Column:
+        def flagged(most: Column) -> Column:
+            rows = F.transform(xs, lambda s, i: F.struct(i.alias("at"), s["start"].alias("start"), F.get(most, i).alias("reached")))
+            return F.filter(rows, lambda r: r["start"] > r["reached"])
+
+        return let(running_greatest(F.transform(xs, lambda s: s["end"])), flagged)
+
+    return let(ordered_spans, lambda xs: F.when(F.size(xs) == 0, F.array().cast(kind)).otherwise(firsts(xs).cast(kind)))
 
 
 def merge_ranges(ranges: Column) -> Column:
     """Ranges that overlap or touch as one, in order; empty ones go."""
-    valid = F.sort_array(F.filter(ranges, lambda r: r["end"] > r["start"]))
-    valid = F.transform(valid, lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end")))
+    valid = F.filter(ranges, lambda r: r["end"] > r["start"])
+    valid = F.sort_array(F.transform(valid, lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))))
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        apart = last.isNull() | (r["start"] > last["end"])
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when(apart, F.concat(acc, F.array(r)).cast(RANGES)).otherwise(
-            F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)).cast(RANGES)
-        )
+    def closed(xs: Column) -> Column:
+        last = F.array_max(F.transform(xs, lambda r: r["end"]))
+        end = lambda firsts, i: F.coalesce(F.get(firsts, i + 1)["reached"], last)
+        return let(_first_of_group(xs), lambda firsts: F.transform(firsts, lambda f, i: F.struct(f["start"].alias("start"), end(firsts, i).alias("end"))))
 
-    return F.aggregate(valid, F.array().cast(RANGES), step)
+    return let(valid, lambda xs: F.when(F.size(xs) < 2, xs).otherwise(closed(xs))).cast(RANGES)
 
 
 def ranges_length(ranges: Column) -> Column:
@@ -130,34 +168,24 @@ def ranges_length(ranges: Column) -> Column:
 
 
 def intersection_length(a: Column, b: Column) -> Column:
-    """Common length of two lists of merged ranges."""
-    common = lambda x, y: F.greatest(F.lit(0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))
-    return F.aggregate(a, F.lit(0), lambda n, x: n + F.aggregate(b, F.lit(0), lambda m, y: m + common(x, y)))
+    """Common length of two lists of merged ranges: what they have together beyond their union."""
+    return ranges_length(a) + ranges_length(b) - ranges_length(merge_ranges(F.concat(a.cast(RANGES), b.cast(RANGES))))
 
 
 def running_ranges(pairs: Column) -> Column:
-    """Ranges of lengths ``m`` that follow gaps ``g``, for ``array<struct<g:int,m:int>>``.
-
-    Lengths are summed in blocks of about the root of their number, as a fold that appends to a list copies it each time.
-    """
+    """Ranges of lengths ``m`` that follow gaps ``g``, for ``array<struct<g:int,m:int>>``."""
     zero = lambda at: F.struct(at.alias("at"), F.array().cast(RANGES).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["g"]
         return F.struct((start + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
 
-    def blocks(xs: Column) -> Column:
-        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(xs))).cast("int"))
-        return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda i: F.slice(xs, i * width + 1, width))).otherwise(
-            F.array().cast("array<array<struct<g:int,m:int>>>")
-        )
-
     def placed(bs: Column) -> Column:
         sums = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + x["m"]))
         before = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
         return F.flatten(F.zip_with(bs, before, lambda b, at: F.aggregate(b, zero(at), step)["out"]))
 
-    return let(let(pairs, blocks), placed)
+    return let(let(pairs, lambda xs: blocks(xs, "struct<g:int,m:int>")), placed)
 
 
 def match_pairs(text: Column, regex: str) -> Column:
