@@ -114,10 +114,13 @@ def collapse_name(label: str) -> str:
     return next((name for name, labels in COLLAPSED.items() if x in labels), "LOCATION" if x.startswith("ADDRESS_") else x)
 
 
-def detection_label(entity_type: Column) -> Column:
-    """Canonical label of an entity type; null if none fits."""
+def detection_label(entity_type: Column, own: dict[str, str] | None = None) -> Column:
+    """Canonical label of an entity type; null if none fits. ``own`` maps upper-case types and comes first."""
     x = F.upper(F.trim(entity_type))
     out = F.when(x == "", F.lit(None).cast("string"))
+    for name, label in (own or {}).items():
+        if label:
+            out = out.when(x == name, label)
     for name, labels in DETECTION_LABELS.items():
         out = out.when(x.isin(labels), name)
     for name, parts in DETECTION_PARTS:
@@ -125,8 +128,10 @@ def detection_label(entity_type: Column) -> Column:
     return out
 
 
-def detection_label_name(entity_type: str) -> str | None:
+def detection_label_name(entity_type: str, own: dict[str, str] | None = None) -> str | None:
     x = entity_type.strip().upper()
+    if x and (mapped := (own or {}).get(x)):
+        return mapped
     if direct := next((n for n, labels in DETECTION_LABELS.items() if x in labels), None):
         return direct
     return next((n for n, parts in DETECTION_PARTS if any(p in x for p in parts)), None)

@@ -1,19 +1,21 @@
 """Detectors as columns: a policy's patterns, addresses, phones and entropy over a text column, without Python workers.
 
-Offsets come from splitting at the pattern and folding lengths. A cheap test per pattern (a letter it must have, or any digit) stands before
-the pattern itself, so most texts pay little for most patterns.
+A text is scanned once for the characters that tell which patterns can match (``operators.gates``); each of those is
+run once, and offsets come from the lengths between the marks it leaves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.labels import detection_label_name
-from veilmark.functions.texts import card_signal, cut, digits, entropy
-from veilmark.operators.spans import MASKER_DEFAULT, MASKER_RANK, NORMALIZER_DEFAULT, NORMALIZER_RANK, RANGES, SPANS, drop_contained, match_pairs, normalized, running_ranges, span, union_merge
+from veilmark.functions.texts import card_signal, cut, digits, entropy, let
+from veilmark.operators.gates import may_match, telling
+from veilmark.operators.spans import MASKER_DEFAULT, MASKER_RANK, NORMALIZER_DEFAULT, NORMALIZER_RANK, RANGES, SPANS, drop_contained, normalized, running_ranges, span, union_merge
 from veilmark.sources.policy import Detector, Pattern, PolicyFile
 
 # Fixed values.
@@ -21,6 +23,9 @@ IP_CANDIDATE = r"(?<![A-Za-z0-9_])(?:[0-9A-Fa-f:.]{2,}(?:/[0-9]{1,3})?)(?![A-Za-
 ENTROPY_CANDIDATE = r"\b[A-Za-z0-9_\-/+=]{20,}\b"
 MIN_PHONE_DIGITS = 6
 
+#: Characters that no text should have, as Unicode keeps them for uses like this one; where a text has the first, the second stands for it.
+MARK, INSTEAD = "\ufdd0", "\ufdd1"
+
 #: Country code and national lengths of the regions that phones are looked for in (a reduced rule set, see README).
 PHONE_REGIONS = {"RU": ("7", [10]), "KZ": ("7", [10]), "UA": ("380", [9]), "US": ("1", [10]), "GB": ("44", [10]), "DE": ("49", [10, 11]), "PL": ("48", [9])}
 PHONE_CANDIDATE = r"(?<![\d\p{L}])\+\d(?:[ ().-]*\d){8,14}(?![\d\p{L}])"
@@ -29,26 +34,55 @@ _NEEDS = {"email": "@", "jwt": "eyJ", "private_key_block": "-----BEGIN ", "aws_a
 _octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
+def marked(text: Column, regex: str, only: Column | None = None) -> Column:
+    """The text with a mark before and after each match, in one pass; without a match, or where ``only`` is false, it does not matter what."""
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, INSTEAD)).otherwise(text)
+    out = F.regexp_replace(clean, regex, f"{MARK}$0{MARK}")
+    return out if only is None else F.when(only, out).otherwise("")
+
+
+def between_marks(text: Column) -> Column:
+    """Ranges of what stands between pairs of marks, without the marks."""
+
+    def pairs(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.size(parts) / 2).cast("int") - 1), lambda i: F.struct(F.length(F.get(parts, 2 * i)).alias("g"), F.length(F.get(parts, 2 * i + 1)).alias("m")))
+
+    return F.when(F.contains(text, F.lit(MARK)), running_ranges(let(F.split(text, MARK, -1), pairs))).otherwise(F.array().cast(RANGES))
+
+
 def matches(text: Column, regex: str, only: Column | None = None) -> Column:
     """Ranges of all matches of a pattern that matches nothing empty; none where ``only`` is false."""
-    ranges = running_ranges(match_pairs(text, regex))
-    test = text.rlike(regex) if only is None else only & text.rlike(regex)
-    return F.when(test, ranges).otherwise(F.array().cast(RANGES))
+    return let(marked(text, regex, only), between_marks)
 
 
-def _gate(name: str, regex: str, text: Column) -> Column | None:
+def _gate(name: str, regex: str, text: Column, told: Column | None = None) -> Column | None:
+    """A cheap test that a text passes if the pattern can match: a literal it must have, else its telling characters."""
     if name in _NEEDS:
         return F.contains(text, F.lit(_NEEDS[name]))
-    return text.rlike("\\d") if "\\d" in regex else None
+    return may_match(telling(text) if told is None else told, regex)
 
 
 def spans_of(ranges: Column, label: str, score: float, detector: str) -> Column:
     return F.transform(ranges, lambda r: span(r["start"], r["end"], F.lit(label), F.lit(score), F.lit(detector), F.lit(detection_label_name(label))))
 
 
+def _expression(pattern: Pattern) -> str:
+    return ("(?i)" if pattern.ignore_case else "") + pattern.regex
+
+
 def find_pattern(text: Column, pattern: Pattern, detector: str) -> Column:
-    regex = ("(?i)" if pattern.ignore_case else "") + pattern.regex
-    return spans_of(matches(text, regex, _gate(pattern.name, pattern.regex, text)), pattern.label, pattern.score, f"{detector}:{pattern.label}")
+    return spans_of(matches(text, _expression(pattern), _gate(pattern.name, pattern.regex, text)), pattern.label, pattern.score, f"{detector}:{pattern.label}")
+
+
+def find_patterns(text: Column, patterns: list[tuple[Pattern, str]], told: Column) -> Column:
+    """Spans of many patterns (with their detectors), in their order. ``told`` are the text's telling characters.
+
+    A pattern by itself is only what marks the text; offsets are told by one expression for all of them, as tasks read whole expressions.
+    """
+    texts = F.array(*(marked(text, _expression(p), _gate(p.name, p.regex, text, told)) for p, _ in patterns))
+    kinds = F.array(*(F.struct(F.lit(p.label).alias("label"), F.lit(p.score).alias("score"), F.lit(f"{d}:{p.label}").alias("detector"), F.lit(detection_label_name(p.label)).cast("string").alias("canonical")) for p, d in patterns))
+    one = lambda m, k: F.transform(between_marks(m), lambda r: span(r["start"], r["end"], k["label"], k["score"], k["detector"], k["canonical"]))
+    return F.flatten(F.zip_with(texts, kinds, one))
 
 
 def is_ip(token: Column) -> Column:
@@ -94,10 +128,14 @@ def find_phones(text: Column, params: dict, detector: str) -> Column:
     return spans_of(good, "PHONE_NUMBER", float(params.get("score", 0.92)), detector)
 
 
+def _patterns(text: Column, d: Detector) -> list[Column]:
+    return [find_pattern(text, p, d.id) for p in d.patterns()]
+
+
 #: Detectors by kind: ``(text, detector) -> spans``; further kinds may be added, models come in as spans (``operators.plugins``).
 KINDS: dict[str, Callable[[Column, Detector], list[Column]]] = {
-    "regex": lambda text, d: [find_pattern(text, p, d.id) for p in d.patterns()],
-    "secret_regex": lambda text, d: [find_pattern(text, p, d.id) for p in d.patterns()],
+    "regex": _patterns,
+    "secret_regex": _patterns,
     "ip": lambda text, d: [find_ips(text, float(d.params.get("score", 0.99)), d.id)],
     "entropy": lambda text, d: [find_entropy(text, d.params, d.id)],
     "phone": lambda text, d: [find_phones(text, d.params, d.id)],
@@ -106,11 +144,18 @@ KINDS: dict[str, Callable[[Column, Detector], list[Column]]] = {
 
 def candidates(text: Column, detectors: list[Detector], labels: set[str] | None = None) -> Column:
     """All spans of the detectors in their order; with ``labels``, detectors that cannot give one are not planned."""
-    found = []
-    for d in detectors:
-        if d.kind in KINDS and (labels is None or labels & ({p.label for p in d.patterns()} or {"IP_ADDRESS", "API_KEY", "PHONE_NUMBER"})):
-            found += KINDS[d.kind](text, d)
-    return F.concat(*found) if found else F.array().cast(SPANS)
+
+    def all_of(told: Column) -> Column:
+        planned = [d for d in detectors if d.kind in KINDS and (labels is None or labels & ({p.label for p in d.patterns()} or {"IP_ADDRESS", "API_KEY", "PHONE_NUMBER"}))]
+        found = []
+        for many, run in groupby(planned, lambda d: KINDS[d.kind] is _patterns):
+            if many:
+                found += [find_patterns(text, own, told)] if (own := [(p, d.id) for d in run for p in d.patterns()]) else []
+            else:
+                found += [c for d in run for c in KINDS[d.kind](text, d)]
+        return F.concat(*found) if found else F.array().cast(SPANS)
+
+    return let(telling(text), all_of)
 
 
 def validated(text: Column, spans: Column, min_score: float) -> Column:

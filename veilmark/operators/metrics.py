@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilmark.functions.labels import RISK_WEIGHTS, by_label
+from veilmark.functions.rows import each
 from veilmark.functions.texts import let, marked_preview
 from veilmark.operators.spans import intersection_length, merge_ranges, overlaps, ranges_length, running_greatest, token_ranges
 
@@ -83,7 +84,7 @@ def evaluate(samples: DataFrame, by: list[str] | None = None, families: list[str
         exact = F.transform(labels, lambda x: row("label_exact", x, exact_counts(labelled(gold, x), labelled(predicted, x), True)))
         chars = F.transform(labels, lambda x: row("label_char", x, char_counts(labelled(gold, x), labelled(predicted, x))))
         rows = F.concat(rows, exact, chars)
-    long = samples.select(*by, F.explode(rows).alias("r")).select(*by, "r.family", "r.label", "r.c.*")
+    long = each(samples, rows, "r", *by).select(*by, "r.family", "r.label", "r.c.*")
     return long.groupBy(*by, "family", "label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
@@ -160,7 +161,7 @@ def scoped(spans: Column, scored: Column) -> Column:
 def unscored(samples: DataFrame, scored: Column) -> DataFrame:
     """Predictions out of scope by label: neither right nor wrong, but counted."""
     out = F.filter("predicted", lambda s: s["canonical"].isNotNull() & ~F.array_contains(scored, s["canonical"]))
-    return samples.select(F.explode(out).alias("s")).groupBy(F.col("s.canonical").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return each(samples, out, "s").groupBy(F.col("s.canonical").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def slices(samples: DataFrame, keys: list[str], families: list[str]) -> DataFrame:
@@ -173,7 +174,7 @@ def slices(samples: DataFrame, keys: list[str], families: list[str]) -> DataFram
 
 def detectors(samples: DataFrame, families: list[str]) -> DataFrame:
     """Counts per detector, each against all gold spans; a detector counts in samples where it found nothing too."""
-    names = samples.select(F.explode("predicted").alias("s")).select(F.col("s.detector").alias("detector")).distinct()
+    names = each(samples, "predicted", "s").select(F.col("s.detector").alias("detector")).distinct()
     listed = F.array_sort(F.array(*(F.lit(r[0]) for r in names.collect())))  # a few names: one for each detector of the profile
     rows = samples.withColumn("detector", F.explode(listed)).withColumn("predicted", F.filter("predicted", lambda s: s["detector"] == F.col("detector")))
     return evaluate(rows, ["detector"], families, per_label=False)
@@ -182,7 +183,7 @@ def detectors(samples: DataFrame, families: list[str]) -> DataFrame:
 def false_positives(samples: DataFrame) -> DataFrame:
     """Predictions that overlap no gold span of their label."""
     wrong = F.filter("predicted", lambda p: ~F.exists("gold", lambda g: overlaps(p, g) & (p["canonical"] == g["canonical"])))
-    return samples.select("sample_id", "text", F.explode(wrong).alias("s")).select("sample_id", "text", "s.*")
+    return each(samples, wrong, "s", "sample_id", "text").select("sample_id", "text", "s.*")
 
 
 def first_examples(wrong: DataFrame, k: int = 8, reach: int = 40) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veilmark.functions.rows import each
 from veilmark.operators.sampling import largest_remainder
 from veilmark.operators.spans import overlaps
 
@@ -125,21 +126,27 @@ def build(seed: int, language: str, fmt: str, bucket: str, profile: str, negativ
     return "".join(t.parts), t.spans
 
 
-def schedule(spark: SparkSession, rows: int, seed: int, buckets: dict[str, float] | None = None, negative_every: int = 10) -> DataFrame:
-    """What each row is to be: languages and formats in turn, buckets by largest remainder, every tenth row without values."""
-    counts = largest_remainder(rows, buckets or {"10k": 4, "50k": 2, "100k": 1, "250k": 0.5, "1m": 0.25})
+def schedule(spark: SparkSession, rows: int | DataFrame, seed: int, buckets: dict[str, float] | None = None, negative_every: int = 10) -> DataFrame:
+    """What each row is to be: languages and formats in turn, buckets by largest remainder, every tenth row without values.
+
+    ``rows`` is how many, or a table of their numbers ``id``; then buckets are met in proportion, by a hash of the number.
+    """
+    buckets = buckets or {"10k": 4, "50k": 2, "100k": 1, "250k": 0.5, "1m": 0.25}
+    counted = isinstance(rows, int)
+    counts = largest_remainder(rows if counted else 1_000, buckets)
+    place = F.col("id") if counted else F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1_000))
     edge, bucket = 0, F.lit(None).cast("string")
     for name, n in counts.items():
         edge += n
-        bucket = F.coalesce(bucket, F.when(F.col("id") < edge, name))
+        bucket = F.coalesce(bucket, F.when(place < edge, name))
     turn = lambda xs: F.get(F.array(*map(F.lit, xs)), F.pmod(F.col("id"), F.lit(len(xs))).cast("int"))
-    return spark.range(rows).select(
+    return (spark.range(rows) if counted else rows).select(
         "id", F.xxhash64("id", F.lit(seed)).alias("seed"), turn(["en", "ru"]).alias("language"), turn(FORMATS).alias("format"), bucket.alias("length_bucket"),
         turn(PROFILES).alias("placement_profile"), (F.pmod("id", F.lit(negative_every)) == negative_every - 1).alias("negative"),
     )
 
 
-def generate(spark: SparkSession, rows: int, seed: int = 1, **options) -> DataFrame:
+def generate(spark: SparkSession, rows: int | DataFrame, seed: int = 1, **options) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
@@ -180,7 +187,7 @@ def concatenated(rows: DataFrame, group: str, order: str, separator: str = "\n\n
 
 def placement_audit(rows: DataFrame, margin: float = 0.25) -> DataFrame:
     """Per profile: spans, and those outside the part of the text that the profile stands for."""
-    s = rows.select("placement_profile", "length_chars", F.explode("spans").alias("s")).withColumn("at", F.col("s.start") / F.greatest("length_chars", F.lit(1)))
+    s = each(rows, "spans", "s", "placement_profile", "length_chars").withColumn("at", F.col("s.start") / F.greatest("length_chars", F.lit(1)))
     out = F.when(F.col("placement_profile") == "head", F.col("at") > margin).when(F.col("placement_profile") == "tail", F.col("at") < 1 - margin)
     out = F.coalesce(out.when(F.col("placement_profile") == "middle", F.abs(F.col("at") - 0.5) > margin), F.lit(False))
     return s.groupBy("placement_profile").agg(F.count(F.lit(1)).alias("spans"), F.count_if(out).alias("violations"))
@@ -188,10 +195,10 @@ def placement_audit(rows: DataFrame, margin: float = 0.25) -> DataFrame:
 
 def placement_deciles(rows: DataFrame, profile: str = "placement_profile") -> DataFrame:
     at = F.least(F.floor(F.col("s.start") / F.greatest("length_chars", F.lit(1)) * 10), F.lit(9)).cast("int")
-    return rows.select(profile, "length_chars", F.explode("spans").alias("s")).groupBy(profile, at.alias("decile")).agg(F.count(F.lit(1)).alias("n"))
+    return each(rows, "spans", "s", profile, "length_chars").groupBy(profile, at.alias("decile")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def boundary_effects(rows: DataFrame, boundary: int) -> DataFrame:
     """How a window boundary changes what is found around it: spans across, before and after, and their lengths."""
     side = F.when((F.col("s.start") < boundary) & (F.col("s.end") > boundary), "across").when(F.col("s.end") <= boundary, "before").otherwise("after")
-    return rows.select(F.explode("spans").alias("s")).groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
+    return each(rows, "spans", "s").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import labels as L
 from veilmark.functions import texts as T
+from veilmark.functions.rows import each
 from veilmark.operators import detect as D
 from veilmark.operators import masking as M
 from veilmark.operators import metrics as E
@@ -22,6 +23,7 @@ from veilmark.operators import spans as A
 from veilmark.operators import synth as N
 from veilmark.sources import chats
 from veilmark.sources.policy import Pattern, load_policy
+from veilmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), text.alias("text"), "lang", "source", F.length(text).alias("n"))
 
@@ -107,7 +109,7 @@ def _merged_sql(source: str, name: str, by: str = "doc_id") -> str:
 
 
 def _values(df: DataFrame, spans: Column, id_: str = "doc_id") -> DataFrame:
-    found = df.select(id_, "text", F.explode(spans).alias("s")).select(id_, T.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
+    found = each(df, spans, "s", id_, "text").select(id_, T.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
     return found.groupBy(id_, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -147,15 +149,14 @@ SELECT doc_id, value, count(*)::BIGINT AS n FROM v WHERE value IS NOT NULL GROUP
 
 
 @query(
-    "detect_urls_pages",
-    r"""SELECT page_id, value, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || left(coalesce(html, ''), 0), '(?i)\bhttps?://[^\s<>()"'']+')) AS value FROM pages) GROUP BY 1, 2""",
+    "detect_urls_whole_pages",
+    r"""WITH p AS (SELECT page_id, concat_ws(' ', url, html) AS t FROM pages),
+h AS (SELECT page_id, unnest(regexp_extract_all(t, '(?i)\bhttps?://[^\s<>()"\x27]+')) AS value FROM p),
+w AS (SELECT page_id, unnest(regexp_extract_all(t, '(?i)\bwww\.[^\s<>()"\x27]+')) AS value FROM p),
+n AS (SELECT page_id, unnest(regexp_extract_all(t, '(?i)(^|[^@\pL\pN_])((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|net|org|io|ai|ru|ua|by|kz|de|fr|uk|co|edu|gov|info|biz|me|app|dev|site|online|store|tech|cloud|xyz)(?:/[^\s<>()"\x27]*)?)', 2)) AS value FROM p)
+SELECT page_id, pattern, value, count(*)::BIGINT AS n FROM (
+  SELECT page_id, 'url_http' AS pattern, value FROM h UNION ALL SELECT page_id, 'url_www', value FROM w UNION ALL SELECT page_id, 'url_domain_tld', value FROM n) GROUP BY 1, 2, 3""",
 )
-def detect_urls_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("text"))
-    return _values(pages, D.find_pattern(F.col("text"), *_pattern("url_http")), "page_id")
-
-
-@query("detect_urls_whole_pages")
 def detect_urls_whole_pages(spark: SparkSession, d: str) -> DataFrame:
     """Matches of each URL pattern in the url and the whole html of every page."""
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
@@ -164,7 +165,7 @@ def detect_urls_whole_pages(spark: SparkSession, d: str) -> DataFrame:
         return F.transform(D.find_pattern(F.col("text"), *_pattern(name)), lambda s: F.struct(F.lit(name).alias("pattern"), s["start"].alias("start"), s["end"].alias("end")))
 
     spans = F.flatten(F.array(*map(named, ("url_http", "url_www", "url_domain_tld"))))
-    found = pages.select("page_id", "text", F.explode(spans).alias("s")).select("page_id", "s.pattern", T.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
+    found = each(pages, spans, "s", "page_id", "text").select("page_id", "s.pattern", T.cut(F.col("text"), F.col("s.start"), F.col("s.end")).alias("value"))
     return found.groupBy("page_id", "pattern", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -178,10 +179,43 @@ def detect_entropy_secret(spark: SparkSession, d: str) -> DataFrame:
     return _values(_documents(spark, d), D.find_entropy(F.col("text"), {"min_length": 24, "entropy_threshold": 3.7, "score": 0.9}, "high_entropy_secret"))
 
 
-@query("span_counts_by_detector")
+def _bits(value: str) -> str:
+    """SQL of the entropy of a text, in bits a character."""
+    return f"(SELECT -sum(p * log2(p)) FROM (SELECT count(*)::DOUBLE / length({value}) AS p FROM (SELECT unnest(string_split({value}, '')) AS ch) WHERE ch <> '' GROUP BY ch))"
+
+
+def _luhn(number: str) -> str:
+    odd, even = f"{number}[length({number}) - i]::INT", f"({number}[length({number}) - i]::INT * 2) % 10 + ({number}[length({number}) - i]::INT * 2) // 10"
+    return f"list_sum([CASE WHEN i % 2 = 0 THEN {odd} ELSE {even} END FOR i IN range(0, length({number}))]) % 10 = 0"
+
+
+#: What the tables' texts hold, by plain patterns on texts without the keyed secrets; those are judged by what is in them.
+_FOUND = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|secret|token|passwd|password)\s*[:=]\s*["'']?([A-Za-z0-9_-]{{16,}})', 1)) AS v FROM d),
+r AS (SELECT doc_id, lang, regexp_replace(text, '(?i)\b(?:api[_-]?key|secret|token|passwd|password)\s*[:=]\s*["'']?[A-Za-z0-9_-]{{16,}}', ' ', 'g') AS text FROM d),
+runs AS (SELECT *, regexp_extract_all(v, '[0-9]+') AS n FROM k),
+keyed AS (SELECT *, len([x FOR x IN n IF length(x) BETWEEN 13 AND 19 AND len(list_distinct(string_split(x, ''))) > 1]) > 0 AS card, len([x FOR x IN n IF length(x) = 11 AND x[1] = '8']) > 0 AS phone,
+  length(v) >= 24 AND {_bits("v")} >= 3.7 AS dense FROM runs),
+x AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[0-9](?:[ -]*[0-9])*')) AS v FROM r),
+c AS (SELECT doc_id, lang, unnest(CASE WHEN regexp_matches(v, '[0-9]{{13}}') THEN regexp_extract_all(v, '[0-9]{{13,}}') ELSE [regexp_replace(v, '[ -]', '', 'g')] END) AS n FROM x),
+o AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '\+[0-9](?:[ ().-]*[0-9]){{8,14}}')) AS v FROM r),
+q AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM o),
+i AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[0-9.]+(?:/[0-9]+[.]?)?')) AS v FROM r),
+found AS (
+  SELECT lang, CASE WHEN card THEN 'ru_pii_regex:CREDIT_CARD' WHEN phone THEN 'ru_pii_regex:PHONE_NUMBER' WHEN dense THEN 'high_entropy_secret' ELSE 'code_secret_regex:API_KEY' END AS detector,
+    CASE WHEN card THEN 'payment_card' WHEN phone THEN 'phone' ELSE 'secret' END AS canonical, CASE WHEN phone THEN 0.97 WHEN dense THEN 0.9 ELSE 0.84 END::DOUBLE AS score FROM keyed
+  UNION ALL SELECT lang, 'en_pii_regex:SWIFT_CODE', 'identifier', 0.78 FROM (SELECT lang, unnest(regexp_split_to_array(text, '[^\pL\pN_]+')) AS v FROM r) WHERE regexp_full_match(v, '[A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?')
+  UNION ALL SELECT lang, 'ru_pii_regex:EMAIL_ADDRESS', 'email', 0.96 FROM (SELECT lang, unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}')) AS v FROM r)
+  UNION ALL SELECT lang, 'ip_address_lib', 'ip', 0.995 FROM i WHERE regexp_full_match(v, '{_OCTET}(\.{_OCTET}){{3}}(/([0-9]|[12][0-9]|3[0-2]))?')
+  UNION ALL SELECT lang, 'phone_number_lib', 'phone', 0.92 FROM q WHERE length(n) >= 10 AND ((n[1] IN ('1', '7') OR n[1:2] = '48') AND length(n) = 11 OR n[1:3] = '380' AND length(n) = 12 OR n[1:2] IN ('44', '49') AND length(n) = 12 OR n[1:2] = '49' AND length(n) = 13)
+  UNION ALL SELECT lang, 'ru_pii_regex:CREDIT_CARD', 'payment_card', CASE WHEN {_luhn("n")} THEN 0.83 ELSE 0.675 END FROM c WHERE length(n) BETWEEN 13 AND 19 AND len(list_distinct(string_split(n, ''))) > 1
+  UNION ALL SELECT lang, 'high_entropy_secret', 'secret', 0.9 FROM (SELECT lang, unnest(regexp_extract_all(text, '\b[A-Za-z0-9_\-/+=]{{24,}}\b')) AS v FROM r) WHERE {_bits("v")} >= 3.7)"""
+
+
+@query("span_counts_by_detector", f"{_FOUND}\nSELECT lang, detector, canonical, count(*)::BIGINT AS n, round(max(score), 6) AS max_score FROM found GROUP BY 1, 2, 3")
 def span_counts_by_detector(spark: SparkSession, d: str) -> DataFrame:
     """The whole policy over documents: found spans per language, detector and canonical label."""
-    found = D.detect(_documents(spark, d), load_policy()).select("lang", F.explode("spans").alias("s"))
+    found = each(D.detect(_documents(spark, d), load_policy()), "spans", "s", "lang")
     return found.groupBy("lang", F.col("s.detector").alias("detector"), F.col("s.canonical").alias("canonical")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("s.score"), 6).alias("max_score"))
 
 
@@ -196,57 +230,35 @@ def card_luhn(spark: SparkSession, d: str) -> DataFrame:
     return orders.groupBy(T.luhn(F.col("number")).alias("valid")).agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first_number"))
 
 
-_CARD_TEXTS = [
-    "Use card 4242 4242 4242 4242 for testing", "Random number 1234567890123456 in text", "Номер карты: 1234 5678 9012 3456",
-    "Random number 1234 5678 9012 3456 in text", "Номер карты 1111 1111 1111 1111", "none",
-]
-
-
 @query(
-    "payment_card_signal",
-    """SELECT * FROM (VALUES (0, true, 16, true, true, true, 1.0::DOUBLE, 0.08::DOUBLE), (1, true, 16, false, false, false, 0.9::DOUBLE, 0.0::DOUBLE),
-(2, true, 16, false, true, true, 1.0::DOUBLE, 0.03::DOUBLE), (3, true, 16, false, true, false, 1.0::DOUBLE, 0.0::DOUBLE), (4, false, 16, false, true, true, 1.0::DOUBLE, 0.0::DOUBLE))
-t(id, keep, digits_count, luhn_valid, grouped_like_card, has_context, score_multiplier, score_bonus)""",
+    "payment_card_signal_documents",
+    rf"""WITH {_DOCS},
+s AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(g[1:len(w)]) AS g FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS w, regexp_split_to_array(text, '[0-9]+') AS g FROM docs)),
+a AS (SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e, CASE WHEN i > 1 AND regexp_full_match(g, '[ -]+') THEN 0 ELSE 1 END AS apart FROM s),
+b AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM a),
+r AS (SELECT doc_id, run, min(e - length(w)) AS s, max(e) AS e, sum(length(w)) AS n, max(length(w)) AS most FROM b GROUP BY 1, 2),
+m AS (SELECT doc_id, s, e FROM r WHERE most < 13 AND n BETWEEN 13 AND 19 UNION ALL SELECT doc_id, b.e - length(w), b.e FROM b JOIN r USING (doc_id, run) WHERE most >= 13 AND length(w) BETWEEN 13 AND 19),
+t AS (SELECT doc_id, s, e, substr(text, s::BIGINT + 1, (e - s)::BIGINT) AS v, regexp_replace(substr(text, s::BIGINT + 1, (e - s)::BIGINT), '[ -]', '', 'g') AS n,
+  lower(substr(text, greatest(s - 32, 0)::BIGINT + 1, (e + 32 - greatest(s - 32, 0))::BIGINT)) AS near FROM m JOIN docs USING (doc_id)),
+u AS (SELECT *, len(list_distinct(string_split(n, ''))) >= 2 AS keep, {_luhn("n")} AS valid, regexp_full_match(v, '([0-9]{{4}}[ -]){{2,4}}[0-9]{{1,4}}') AS grouped, {" OR ".join(f"contains(near, '{w}')" for w in T.CARD_WORDS)} AS context FROM t)
+SELECT doc_id, s::INT AS start_, e::INT AS end_, keep, length(n)::INT AS digits_count, valid AS luhn_valid, grouped AS grouped_like_card, context AS has_context,
+  CASE WHEN keep AND NOT grouped AND NOT valid AND NOT context THEN 0.9 ELSE 1.0 END::DOUBLE AS score_multiplier, CASE WHEN keep AND valid THEN 0.08 WHEN keep AND grouped AND context THEN 0.03 ELSE 0.0 END::DOUBLE AS score_bonus FROM u""",
 )
-def payment_card_signal(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_CARD_TEXTS)), "id int, text string")
-    pattern, detector = _pattern("bank_card")
-    found = rows.select("id", "text", F.explode(D.find_pattern(F.col("text"), pattern, detector)).alias("s"))
-    return found.select("id", T.card_signal(F.col("text"), F.col("s.start"), F.col("s.end")).alias("c")).select("id", "c.*")
-
-
-@query("payment_card_signal_documents")
 def payment_card_signal_documents(spark: SparkSession, d: str) -> DataFrame:
     """The card signal of every ``bank_card`` match in documents."""
-    found = _documents(spark, d).select("doc_id", "text", F.explode(D.find_pattern(F.col("text"), *_pattern("bank_card"))).alias("s"))
+    found = each(_documents(spark, d), D.find_pattern(F.col("text"), *_pattern("bank_card")), "s", "doc_id", "text")
     signal = T.card_signal(F.col("text"), F.col("s.start"), F.col("s.end"))
     return found.select("doc_id", F.col("s.start").alias("start_"), F.col("s.end").alias("end_"), signal.alias("c")).select("doc_id", "start_", "end_", "c.*")
 
 
 # --- labels and scalars ----------------------------------------------------------------------------------------------
 
-_LABEL_CASES = "PERSON full_name first-name ADDRESS_CITY city TIN snils MILITARY_NUMBER vehicle_number CREDIT_CARD secret_key ZIP IPV6 BIRTHDATE WEBSITE HOMEPAGE_URL ORG_UNIT STREET_LOC VISA_CARD PRIVATE_KEY OTHER".split()
-
-
-@query(
-    "canonical_labels",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{x}', '{L.collapse_name(x)}', {repr(c) if (c := L.detection_label_name(x)) else 'NULL'})" for x in _LABEL_CASES
-    )
-    + ") t(label, collapsed, canonical)",
-)
-def canonical_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _LABEL_CASES], "label string")
-    return rows.select("label", L.collapse_type(F.col("label")).alias("collapsed"), L.detection_label(F.col("label")).alias("canonical"))
-
-
 @query(
     "severity_buckets",
     f"{_GOLD}\nSELECT CASE WHEN score >= 0.95 THEN 'critical' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS severity, count(*)::BIGINT AS n FROM gold GROUP BY 1",
 )
 def severity_buckets(spark: SparkSession, d: str) -> DataFrame:
-    rows = _samples(spark, d).select(F.explode("gold").alias("s"))
+    rows = each(_samples(spark, d), "gold", "s")
     return rows.groupBy(L.severity(F.col("s.score")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -286,7 +298,7 @@ def _many() -> Column:
 
 
 def _rows(df: DataFrame, spans: Column) -> DataFrame:
-    s = df.select("doc_id", F.explode(spans).alias("s"))
+    s = each(df, spans, "s", "doc_id")
     return s.select("doc_id", F.col("s.start").alias("start_"), F.col("s.end").alias("end_"), F.col("s.canonical").alias("canonical"), F.round("s.score", 6).alias("score"))
 
 
@@ -356,7 +368,7 @@ SELECT doc_id, s::INT AS start_, e::INT AS end_ FROM b UNION ALL SELECT doc_id,
 UNION ALL SELECT doc_id, 0, n::INT FROM nt WHERE m = 0""",
 )
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).select("doc_id", F.explode(A.chunk_windows(F.col("text"), 128, 16)).alias("w"))
+    rows = each(_documents(spark, d), A.chunk_windows(F.col("text"), 128, 16), "w", "doc_id")
     return rows.select("doc_id", F.col("w.start").alias("start_"), F.col("w.end").alias("end_"))
 
 
@@ -375,7 +387,7 @@ def window_merge(spark: SparkSession, d: str) -> DataFrame:
         score = lambda j: (F.pmod(F.col("doc_id") + w * 3 + j * 5, F.lit(40)) + 60).cast("double") / 100
         return F.transform(four, lambda j: F.struct((j * 7).alias("start"), (j * 7 + 5).alias("end"), F.concat(F.lit("L"), (j % 2).cast("string")).alias("label"), score(j).alias("score")))
 
-    rows = _documents(spark, d).select("doc_id", F.explode(P.merge_windows(windows, F.transform(three, of))).alias("p"))
+    rows = each(_documents(spark, d), P.merge_windows(windows, F.transform(three, of)), "p", "doc_id")
     return rows.select("doc_id", F.col("p.start").alias("start_"), F.col("p.end").alias("end_"), F.col("p.label").alias("label"), F.col("p.score").alias("score"))
 
 
@@ -429,7 +441,7 @@ SELECT detector AS check_id, canonical AS category, CASE WHEN score >= 0.95 THEN
   count(*)::BIGINT AS n, sum(length(substr(text, (start_ + 1)::BIGINT, (end_ - start_)::BIGINT)))::BIGINT AS chars FROM gold JOIN docs USING (doc_id) GROUP BY 1, 2, 3""",
 )
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    f = _samples(spark, d).select(F.explode(M.findings(F.col("text"), F.col("gold"), F.col("sample_id"), full=True)).alias("f"))
+    f = each(_samples(spark, d), M.findings(F.col("text"), F.col("gold"), F.col("sample_id"), full=True), "f")
     return f.groupBy("f.check_id", "f.category", "f.severity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.col("f.spans")[0]["snippet"])).alias("chars"))
 
 
@@ -451,16 +463,6 @@ def session_join(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_HOLD = ["", "abc <", "abc <G", "abc <GR:0001", "abc <GR:0001>", "<GR:0002", "x<GR:00", "<<", "plain"]
-
-
-@query("stream_holdback", "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, 8), (4, 0), (5, 8), (6, 6), (7, 1), (8, 0)) t(id, held)")
-def stream_holdback(spark: SparkSession, d: str) -> DataFrame:
-    listed = F.array(*(F.struct(F.lit(p).alias("placeholder"), F.lit("v").alias("original")) for p in ("<GR:0001>", "<GR:0002>")))
-    rows = spark.createDataFrame(list(enumerate(_HOLD)), "id int, text string")
-    return rows.select("id", M.holdback(F.col("text"), listed).alias("held"))
-
-
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
@@ -599,21 +601,6 @@ def fp_audit(spark: SparkSession, d: str) -> DataFrame:
     return E.false_positives(_samples(spark, d)).groupBy(F.col("canonical").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
 
 
-_REPORT_A = [("email", 0.5), ("phone", 0.9), ("ip", 1.0), ("date", 0.25)]
-_REPORT_B = [("email", 0.75), ("phone", 0.8), ("secret", 0.5), ("date", 0.25)]
-
-
-@query(
-    "compare_reports",
-    "WITH a AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _REPORT_A) + ") t(label, base)), b AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in _REPORT_B)
-    + ") t(label, new)), c AS (SELECT label, coalesce(base, 0) AS base, coalesce(new, 0) AS new, round(coalesce(new, 0) - coalesce(base, 0), 6) AS delta FROM a FULL JOIN b USING (label)) "
-    "(SELECT *, 'worst' AS side FROM c ORDER BY delta, label LIMIT 2) UNION ALL (SELECT *, 'best' AS side FROM c ORDER BY delta DESC, label DESC LIMIT 2)",
-)
-def compare_reports(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (spark.createDataFrame(r, "label string, recall double") for r in (_REPORT_A, _REPORT_B))
-    return E.extremes(E.compare_recalls(a, b), 2)
-
-
 @query("merge_reports", f"{_PER_LABEL}\nSELECT {_ratios_sql('(2 * tp)', '(2 * fp)', '(2 * fn)', 'label, ')} FROM pl")
 def merge_reports(spark: SparkSession, d: str) -> DataFrame:
     one = _label_chars(spark, d).withColumn("family", F.lit("label_char"))
@@ -680,7 +667,7 @@ def pad_offsets(spark: SparkSession, d: str) -> DataFrame:
     rows = _samples(spark, d)
     parts = []
     for p in ("head", "middle", "tail"):
-        s = rows.select(F.explode(N.padded(F.col("text"), F.col("gold"), p, 5000)["spans"]).alias("s"))
+        s = each(rows, N.padded(F.col("text"), F.col("gold"), p, 5000)["spans"], "s")
         parts.append(s.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.start").cast("long")).alias("starts")).select(F.lit(p).alias("placement"), "n", "starts"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -725,16 +712,6 @@ def boundary_effects(spark: SparkSession, d: str) -> DataFrame:
     return N.boundary_effects(_samples(spark, d).select(F.col("gold").alias("spans")), 100)
 
 
-@query("synthetic_documents", "SELECT 24::BIGINT AS n, 0::BIGINT AS violations, 2::BIGINT AS negatives, true AS long_enough")
-def synthetic_documents(spark: SparkSession, d: str) -> DataFrame:
-    from veilmark import ship
-
-    ship(spark)
-    rows = N.generate(spark, 24, seed=3, buckets={"10k": 1})
-    bad = N.violations(F.col("privacy_mask"), F.col("length_chars"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("violations"), F.count_if(F.col("entity_count") == 0).alias("negatives"), F.bool_and(F.col("length_chars") >= 10_000).alias("long_enough"))
-
-
 # --- chats -----------------------------------------------------------------------------------------------------------
 
 
@@ -800,4 +777,4 @@ def stream_restore(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("session_id", "stream_id").agg(F.md5(said.cast("binary")).alias("hash"), F.sum("replacements").alias("replacements"))
 
 
-from veilmark.plans import planted, wider  # noqa: E402, F401  they register their queries
+from veilmark.plans import derived, planted, wider  # noqa: E402, F401  they register their queries

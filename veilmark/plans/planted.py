@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.functions.rows import each
 from veilmark.operators import detect as D
 from veilmark.operators import spans as A
 from veilmark.plans.catalog import _pattern, query
@@ -108,7 +109,7 @@ def _found(name: str, text: Column, tag: str) -> Column:
 def _family(cases: list[tuple[str, str, str]]):
     def run(spark: SparkSession, d: str) -> DataFrame:
         spans = [_found(name, F.expr(f"'Re ' || {v} || ' end'"), tag) for name, hit, miss in cases for v, tag in ((hit, name), (miss, f"not {name}"))]
-        return _keys(spark, d).select("k", F.explode(F.flatten(F.array(*spans))).alias("s")).select("k", "s.*")
+        return each(_keys(spark, d), F.flatten(F.array(*spans)), "s", "k").select("k", "s.*")
 
     return run
 
@@ -141,7 +142,7 @@ def _bounds(spans: Column, kind: str) -> Column:
 def _singles(find, good: dict[str, str], bad: dict[str, str]):
     def run(spark: SparkSession, d: str) -> DataFrame:
         spans = [_bounds(find(F.expr(f"'at ' || {v} || ' ok'")), kind) for kind, v in (good | bad).items()]
-        return _keys(spark, d).select("k", F.explode(F.flatten(F.array(*spans))).alias("s")).select("k", "s.*")
+        return each(_keys(spark, d), F.flatten(F.array(*spans)), "s", "k").select("k", "s.*")
 
     return run
 
@@ -175,7 +176,7 @@ def planted_cards(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(kind == 2, F.concat(F.lit("card "), grouped)).otherwise(F.concat(F.lit("no "), F.col("number")))
     rows = _keys(spark, d).withColumn("number", number).withColumn("text", text)
     spans = D.validated(F.col("text"), D.find_pattern(F.col("text"), *_pattern("bank_card")), 0.4)
-    return rows.select("k", F.explode(spans).alias("s")).select("k", F.round("s.score", 6).alias("score"))
+    return each(rows, spans, "s", "k").select("k", F.round("s.score", 6).alias("score"))
 
 
 @query(
@@ -201,4 +202,4 @@ def normalized_spans(spark: SparkSession, d: str) -> DataFrame:
         "stops at the line": (f, span(at(f, "Paris"), at(f, "Paris") + 5, "LOCATION", "location")), "keeps odd ends": (f, span(at(f, "light"), F.length(f), "DOCUMENT_NUMBER", "identifier")),
     }
     out = [_bounds(A.normalized(t, s), kind) for kind, (t, s) in cases.items()]
-    return _keys(spark, d).select("k", F.explode(F.flatten(F.array(*out))).alias("s")).select("k", "s.*")
+    return each(_keys(spark, d), F.flatten(F.array(*out)), "s", "k").select("k", "s.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import texts as T
+from veilmark.functions.rows import each
 from veilmark.operators import detect as D
 from veilmark.operators import masking as M
 from veilmark.operators import metrics as E
@@ -109,7 +110,7 @@ t AS (SELECT *, length(s) - length(ltrim(s, {_CH})) AS h, length(s) - length(rtr
 SELECT doc_id, sum(start_ + h)::BIGINT AS starts, sum(CASE WHEN h = length(s) THEN end_ ELSE end_ - e END)::BIGINT AS ends FROM t GROUP BY 1""",
 )
 def trimmed_bounds(spark: SparkSession, d: str) -> DataFrame:
-    rows = _samples(spark, d).select("doc_id", "text", F.explode("gold").alias("s")).select("doc_id", T.trimmed_bounds(F.col("text"), F.col("s.start"), F.col("s.end")).alias("b"))
+    rows = each(_samples(spark, d), "gold", "s", "doc_id", "text").select("doc_id", T.trimmed_bounds(F.col("text"), F.col("s.start"), F.col("s.end")).alias("b"))
     return rows.groupBy("doc_id").agg(F.sum(F.col("b.start").cast("long")).alias("starts"), F.sum(F.col("b.end").cast("long")).alias("ends"))
 
 
@@ -121,7 +122,7 @@ c AS (SELECT *, length(string_split(translate(a, chr(10) || chr(13) || '.!?;', '
 SELECT doc_id, sum(start_ - l)::BIGINT AS starts, sum(end_ + r)::BIGINT AS ends FROM c GROUP BY 1""",
 )
 def clause_bounds(spark: SparkSession, d: str) -> DataFrame:
-    rows = _samples(spark, d).select("doc_id", "text", F.explode("gold").alias("s")).select("doc_id", A.clause_bounds(F.col("text"), F.col("s.start"), F.col("s.end")).alias("b"))
+    rows = each(_samples(spark, d), "gold", "s", "doc_id", "text").select("doc_id", A.clause_bounds(F.col("text"), F.col("s.start"), F.col("s.end")).alias("b"))
     return rows.groupBy("doc_id").agg(F.sum(F.col("b.start").cast("long")).alias("starts"), F.sum(F.col("b.end").cast("long")).alias("ends"))
 
 
@@ -132,7 +133,7 @@ SELECT doc_id, count(*) FILTER (b = '' OR right(b, 1) IN ('.', '!', '?', ':', ';
   SELECT doc_id, rtrim(substr(text, 1, start_::BIGINT), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM gold JOIN docs USING (doc_id)) GROUP BY 1""",
 )
 def sentence_starts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _samples(spark, d).select("doc_id", "text", F.explode("gold").alias("s"))
+    rows = each(_samples(spark, d), "gold", "s", "doc_id", "text")
     return rows.groupBy("doc_id").agg(F.count_if(P.sentence_start(F.col("text"), F.col("s.start"))).alias("n"))
 
 
@@ -244,7 +245,7 @@ def token_classifier(spark: SparkSession, d: str) -> DataFrame:
         threshold=0.4, labels=("first_name", "address_city", "date"), label_mapping={"first_name": "PERSON", "address_city": "LOCATION", "date": "DATE_TIME"},
         entity_thresholds={"PERSON": 0.45, "LOCATION": 0.72, "DATE_TIME": 0.7}, raw_label_thresholds={}, window=64, overlap=8,
     )
-    out = P.classify_tokens(_documents(spark, d).select("doc_id", "text"), _stub, params, "stub").select("doc_id", F.explode("model_spans").alias("s"))
+    out = each(P.classify_tokens(_documents(spark, d).select("doc_id", "text"), _stub, params, "stub"), "model_spans", "s", "doc_id")
     return out.groupBy("doc_id", F.col("s.label").alias("label"), F.col("s.canonical").alias("canonical")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.start").cast("long")).alias("starts"), F.sum(F.col("s.end").cast("long")).alias("ends"))
 
 
