@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from veilmark.functions import labels as L
 from veilmark.operators import detect as D
@@ -12,7 +13,9 @@ from veilmark.operators import metrics as E
 from veilmark.operators import synth as N
 from veilmark.plans import catalog as C
 from veilmark.plans.catalog import _BOTH, _merged_sql, _samples, query
+from veilmark.sources.shared import shared_dir
 from veilmark.sources.tables import table
+from veilmark.streaming import store
 
 
 @query("detect_urls_pages", r"""SELECT page_id, value, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html), '(?i)\bhttps?://[^\s<>()"'']+')) AS value FROM pages) GROUP BY 1, 2""")
@@ -104,3 +107,58 @@ def synthetic_documents(spark: SparkSession, d: str) -> DataFrame:
     bad = N.violations(F.col("privacy_mask"), F.col("length_chars"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("violations"), F.count_if(F.col("entity_count") == 0).alias("negatives"), F.bool_and(F.col("length_chars") >= 10_000).alias("long_enough"))
 
+
+
+_EVENT = "array<struct<at:timestamp,order:int,kind:string,stream_id:string,chunk:string,final:boolean,delete_context:boolean>>"
+
+
+@query(
+    "stream_sessions",
+    """WITH t AS (SELECT conv_id, coalesce(text, '') AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+w AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN 'restored' WHEN 1 THEN CASE WHEN k <= 2 THEN 'restored' ELSE 'missing' END WHEN 2 THEN CASE WHEN k <= 1 THEN 'restored' ELSE 'missing' END ELSE 'cut' END AS way FROM t)
+SELECT conv_id::VARCHAR AS session_id, 'turn-' || k AS stream_id, md5(CASE way WHEN 'restored' THEN s || ' v' || conv_id || ' end' WHEN 'missing' THEN s || ' <GR:0001> end' ELSE s || ' 01> end' END) AS hash,
+  CASE way WHEN 'restored' THEN 1 ELSE 0 END::BIGINT AS replacements, way <> 'missing' AS context_found, (conv_id % 4 = 2 AND k = 1) AS context_deleted FROM w
+UNION ALL SELECT conv_id::VARCHAR, NULL, md5(''), 0, conv_id % 4 = 0 OR conv_id % 4 = 2 AND max(n) < 2, conv_id % 4 = 0 OR conv_id % 4 = 2 AND max(n) < 2 FROM w GROUP BY conv_id""",
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as a session of a stream: stored, its turns' chunks with a placeholder cut in two, and finalized after 1000 seconds.
+
+    By the conversation's number it lives on, expires after 25 seconds, is deleted with its second turn, or is stored again and again while
+    the texts that its streams hold back expire. Events come in three files, out of order.
+    """
+    from veilmark import ship
+
+    ship(spark)
+    rows = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    k = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1  # a conversation's turns, as a request has them
+    turns = rows.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("conv_id") % 4).alias("c"), k.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    stream, last = F.concat(F.lit("turn-"), F.col("k").cast("string")), F.col("c") == 3
+    none = F.lit(None)
+    event = lambda seconds, order, kind, stream_id=none, chunk=none, final=F.lit(False), delete=F.lit(False): F.struct(
+        at(seconds).alias("at"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), stream_id.cast("string").alias("stream_id"), chunk.cast("string").alias("chunk"), final.alias("final"), delete.alias("delete_context")
+    )
+    first = F.when(last, 1 + F.col("k") / 1000).otherwise(10 * F.col("k") + 1)
+    second = F.when(last, 30 + F.col("k") / 1000).otherwise(10 * F.col("k") + 2)
+    chunks = F.array(
+        event(first, 1, "chunk", stream, F.concat("text", F.lit(" <GR:00"))), event(second, 2, "chunk", stream, F.lit("01> end"), F.lit(True), (F.col("c") == 2) & (F.col("k") == 1))
+    )
+    ends = F.concat(F.array(event(F.lit(0.0), 0, "store"), event(F.lit(1000.0), 3, "finalize")), F.when(last, F.array(event(F.lit(20.0), 0, "store"), event(F.lit(40.0), 0, "store"))).otherwise(F.array().cast(_EVENT)))
+    events = turns.select("session_id", "c", "k", F.explode(F.when(F.col("k") == 0, F.concat(ends, chunks)).otherwise(chunks)).alias("e")).select("session_id", "c", "k", "e.*")
+    seq = (F.row_number().over(W.partitionBy("session_id").orderBy("at", "order", "k")) - 1).cast("long")
+    known = F.array(F.struct(F.lit("<GR:0001>").alias("placeholder"), F.concat(F.lit("v"), "session_id").alias("original")))
+    stores = F.col("kind") == "store"
+    events = events.select(
+        "session_id", seq.alias("seq"), "at", "kind", "stream_id", "chunk", "final", "delete_context", F.when(stores, known).alias("placeholders"), F.when(stores, F.when(F.col("c").isin(1, 3), 25).otherwise(3600)).alias("ttl_seconds")
+    )
+    path = shared_dir(spark, "stream-sessions")
+    events.repartition(3, F.pmod(F.col("seq"), F.lit(3))).write.parquet(f"{path}/in")
+    stream_in = spark.readStream.schema(store.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with store.rocksdb(spark):
+        sink = store.session_stream(stream_in).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(store.OUTPUT).parquet(f"{path}/out")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "output"))), lambda x: x["output"]), "")
+    return out.groupBy("session_id", "stream_id").agg(
+        F.md5(said.cast("binary")).alias("hash"), F.sum("replacements").alias("replacements"), F.bool_and("context_found").alias("context_found"), F.bool_or("context_deleted").alias("context_deleted")
+    )
