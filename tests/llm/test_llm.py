@@ -108,7 +108,25 @@ def test_line_rules(spark):
     assert [r["kept"] for r in quality_rules.assess(df).orderBy("doc_id").collect()] == list(cases.values())
     lines = [good] + [" ".join(f"w{i}x{j}" for j in range(12)) + "." for i in range(6)]
     cleaned = quality_rules.clean(spark.createDataFrame([(1, "\n".join([*lines[:3], "Accept cookies now please, thank you.", lines[0], "", *lines[3:]]))], "doc_id long, text string"))
-    assert cleaned.first()["text"] == "\n".join(lines) and cleaned.columns == ["doc_id", "text"]
+    assert cleaned.first()["text"] == "\n".join([*lines[:3], "", *lines[3:]]) and cleaned.columns == ["doc_id", "text"]
+
+
+def test_line_ends_do_not_matter(spark):
+    lines = [f"Er kam {i}." for i in range(10)] + ["So it was said."] * 1
+    ends = ["\n", "\r\n", " \t\n", "\x0b\n"]
+    got = [r["kept"] for r in quality_rules.assess(spark.createDataFrame([(i, e.join(lines) + e) for i, e in enumerate(ends)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [True] * 4
+
+
+def test_each_line_rule(spark):
+    good = "This is a line of ordinary prose that ends as it should."
+    bad = [
+        "see http://a.example/x and www.b.example/y http://c.example", "Home » News » Sport » More of it", "© 2020 Somebody and others who own it.", "(C) 2019 A company of some kind.", "Copyright by us, and nobody else at all.",
+        "Alle Rechte vorbehalten, wie immer und überall.", "Tous droits réservés par la maison et ses amis.", "Lea la política de privacidad de este sitio.", "short one", "$$ ## a b c d e", "No! No! No! yes",
+    ]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([good, *bad])], "i long, line string")
+    got = {r["i"]: r["f"] for r in rows.select("i", quality_rules.line_fails(F.col("line"), F.size(quality_rules.words_of(F.col("line")))).alias("f")).collect()}
+    assert got == {0: False, **{i + 1: True for i in range(len(bad))}}
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------
@@ -603,8 +621,9 @@ def test_texts_beyond_the_json_reader_limit(spark):
 def test_fingerprints_hold_nested_paths(spark):
     records = {
         '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}]}': "messages", '{"messages": [{"content": null, "role": "user"}], "conv_id": 1}': "messages",
-        '{"conv_id": 1, "messages": [{"role": "user", "content": {"text": "q"}}]}': None, '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "user", "said": "q"}]}': None,
-        '{"conv_id": 1, "messages": {"role": "user", "content": "q"}}': None, '{"conv_id": 1, "messages": []}': None, '{"conv_id": 1, "prompt": ["a", "b"], "response": "r"}': None,
+        '{"conv_id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "user", "content": "q", "name": "n"}]}': "messages", '{"conv_id": 1, "source": "x", "messages": [{"role": "user", "content": "q", "meta": {"a": [1]}}]}': "messages",
+        '{"conv_id": 1, "messages": {"role": "user", "content": "q"}}': None, '{"conv_id": 1, "messages": []}': "messages", '{"messages": [{"role": "user"}], "conv_id": 1}': None, '{"conv_id": 1, "odd key, <x>: `y`": 1, "conversations": []}': "sharegpt",
+        '{"conv_id": 1, "messages": [{"role": "user", "content": {"text": "q"}}]}': None, '{"conv_id": 1, "messages": [[]]}': None, '{"conv_id": 1, "prompt": ["a", "b"], "response": "r"}': None,
         '{"conv_id": 1, "prompt": 7.5, "response": true}': "prompt", "[1]": None, '{"conv_id": 1, "instruction": "i", "output": "o", "input": null, "system": null}': "instruction",
     }
     df = spark.createDataFrame([(k, i) for i, k in enumerate(records)] + [(None, 99)], "record string, i int")
@@ -623,6 +642,9 @@ def test_tables_have_a_fingerprint_too(spark):
     assert [(t["role"], t["text"]) for t in asked["turns"]] == [("user", "p"), ("assistant", "r")]
     clash = chat.turns_of_table(spark.createDataFrame([(7, "p")], "conv_id long, layout string")).first()
     assert (clash["layout"], clash["turns"]) == (None, [])
+    more = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("mine") for c in ("layout", "turns", "r", "source", "a.b")})
+    assert sorted(map(repr, chat.turns_of_table(more).collect())) == sorted(map(repr, turns.collect()))
+    assert {r["layout"]: (r["records"], r["turns"]) for r in chat.layouts(turns).collect()} == {"turn": (5, 5)}
 
 
 @pytest.mark.parametrize("record", ['{"conv_id": 1, "turn": 0, "role"', "no JSON", '{"conv_id": "one", "turn": 0, "role": "user", "text": "t"}'])

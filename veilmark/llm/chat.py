@@ -1,9 +1,10 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-A record is a JSON object, or a row of a table. Its schema fingerprint is the hash of the nested paths of all its fields, at any
-depth and of all elements of its lists (as ``messages[].role``); a null field counts as a field, and each layout lists the sets of paths it
-may have. Records have a fingerprint each, tables one for all their rows, so columns need no JSON. The mapping that a
-fingerprint selects is SQL over the record: it gives an array of ``(turn, role, text)``. Records of one conversation are then joined in order.
+A record is a JSON object, or a row of a table. Its nested paths are those of all its fields, at any depth and of all elements of its
+lists (as ``messages[].role``); a null field counts as a field. Each layout lists the paths it requires, and the fingerprint of a record for a layout is the hash of
+those of its paths that the layout requires; the first layout whose own fingerprint that is reads the record. Fields beyond them (an id, a source, a name
+beside a role) are ignored, and an empty list has whatever its elements would need. Records have fingerprints each, tables one for all their rows, so columns need no JSON.
+The mapping that a fingerprint selects is SQL over the record: it gives an array of ``(turn, role, text)``. Records of one conversation are then joined in order.
 
 The template is ChatML: ``<|im_start|>role\\ntext<|im_end|>\\n``. A control string inside a text gets a backslash after its
 first character, one more if it already has some, so texts hold no control string and are restored
@@ -13,20 +14,22 @@ All of it is DataFrame expressions. One conversation is one output row, hence on
 in one place because the digest and the format are sequential; conversations are spread by ``conv_id``.
 
 Defined cases: null text is empty; null role is the empty role; a null ``conv_id`` is one conversation of its own; turns of
-equal number are ordered by role and text and all are kept; unknown layouts give no turns and are
-reported by ``layout`` null; a record that is no JSON, or whose values do not fit its layout, or beyond the 128 MB of a variant, is an error (texts in columns
+equal number are ordered by role and text and all are kept; an element of a list without a field that others have has null there; unknown layouts
+give no turns, have ``layout`` null and are counted by ``layouts``; a record that is no JSON, or whose values do not fit its layout, or beyond the 128 MB of a variant, is an error (texts in columns
 have no such limit but that of a value); repeated rows are turns of their own; an empty table gives no rows (but the added conversation); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilmark.functions.texts import let
 from veilmark.llm.common import read_table
 
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
@@ -35,7 +38,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CONTROLS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 _FIRST, _REST = r"([<\[])", "|".join("".join("\\" + c if not c.isalnum() and c != "_" else c for c in s[1:]) for s in CONTROLS)
 
-#: Layouts: required paths, optional paths, and the SQL that gives the turns of ``r`` (the record parsed by the schema).
+#: Layouts: required paths, optional ones, the schema, and the SQL that gives the turns of ``r`` (the record parsed by the schema).
 LAYOUTS: dict[str, tuple[list[str], list[str], str, str]] = {
     "turn": (
         ["conv_id", "role", "text", "turn"], [],
@@ -73,61 +76,68 @@ _READ = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 _SCALARS = r": (?:BIGINT|BOOLEAN|DATE|DECIMAL\(\d+, ?\d+\)|DOUBLE|STRING|VARIANT|VOID)(?=[,>])"
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of a JSON record's nested paths: its schema without the types of its values."""
-    shape = F.schema_of_variant(F.from_json(record, "variant", _READ))
-    return F.md5(F.regexp_replace(shape, _SCALARS, "").cast("binary"))
+#: A shape's parts: what opens and closes a level, and the fields' names, which are quoted if they are odd.
+_PARTS = r"ARRAY<|OBJECT<|>|`(?:[^`]|``)*`|[^<>,:\s`]+"
 
 
-def _nested(fields: dict) -> str:
-    """Nested paths as the schema of a record shows them; ``fields`` by name: None, an object, or a list of one object."""
-    inner = lambda v: f": ARRAY<{_nested(v[0])}>" if isinstance(v, list) else f": {_nested(v)}" if v is not None else ""
-    return "OBJECT<" + ", ".join(k + inner(v) for k, v in sorted(fields.items())) + ">"
+def paths(record: Column) -> Column:
+    """The nested paths of a JSON record, different and in order; ``x[]`` stands for an empty list ``x`` too."""
+    shape = F.regexp_replace(F.schema_of_variant(F.from_json(record, "variant", _READ)), _SCALARS, "")
+    zero = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("above"), F.array().cast("array<string>").alias("out"))
 
+    def step(a: Column, part: Column) -> Column:
+        into = F.when(part == "ARRAY<", F.concat(a["last"], F.lit("[]"))).otherwise(a["last"])
+        inner = F.coalesce(F.try_element_at(a["above"], F.lit(-1)), F.lit(""))
+        path = F.concat(F.when(inner == "", "").otherwise(F.concat(inner, F.lit("."))), F.regexp_replace(part, "^`|`$", ""))
+        opened = F.struct(into.alias("last"), F.concat(a["above"], F.array(into)).alias("above"), F.when(part == "ARRAY<", F.concat(a["out"], F.array(into))).otherwise(a["out"]).alias("out"))
+        closed = F.struct(inner.alias("last"), F.slice(a["above"], F.lit(1), F.greatest(F.size(a["above"]) - 1, F.lit(0))).alias("above"), a["out"].alias("out"))
+        named = let(path, lambda p: F.struct(p.alias("last"), a["above"].alias("above"), F.concat(a["out"], F.array(p)).alias("out")))
+        return F.when(part.isin("ARRAY<", "OBJECT<"), opened).when(part == ">", closed).otherwise(named)
 
-def _fingerprint_of(fields: dict) -> str:
-    return hashlib.md5(_nested(fields).encode()).hexdigest()
+    found = F.aggregate(F.regexp_extract_all(shape, F.lit(_PARTS), F.lit(0)), zero, step)["out"]
+    return F.array_sort(F.array_distinct(found))
 
 
-def _tree(paths: list[str]) -> dict:
-    """``["a", "b[].c"]`` as ``{"a": None, "b": [{"c": None}]}``."""
-    out: dict = {}
-    for path in sorted(paths):
-        at = out
-        *above, last = path.split(".")
-        for name in above:
-            inner = at.get(name.removesuffix("[]")) or ([{}] if name.endswith("[]") else {})
-            at[name.removesuffix("[]")] = inner
-            at = inner[0] if isinstance(inner, list) else inner
-        at.setdefault(last, None)
-    return out
-
+def _digest(names: list[str]) -> str:
+    return hashlib.md5("\n".join(sorted(names)).encode()).hexdigest()
 
-def _fields(kind: T.StructType) -> dict:
-    """The same of a table's or a column's type."""
 
-    def of(t: T.DataType):
-        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
-            return [_fields(t.elementType)]
-        return _fields(t) if isinstance(t, T.StructType) else None
+def fingerprint(found: Column, need: list[str]) -> Column:
+    """Hash of those of a record's paths that a layout requires; null if a value that it requires is an object or a list.
 
-    return {f.name: of(f.dataType) for f in kind.fields}
+    What an empty list lacks counts as found.
+    """
+    lists = {p.split("[]")[0] for p in need if "[]" in p}
+    given = found
+    for name in sorted(lists):
+        inside = F.array(*(F.lit(p) for p in sorted(need) if p.startswith(f"{name}[]")))
+        given = F.when(F.array_contains(found, f"{name}[].VOID"), F.array_union(given, inside)).otherwise(given)
+    values = [p for p in need if not any(q.startswith((f"{p}.", f"{p}[")) for q in need)]
+    plain = ~F.exists(found, lambda p: reduce(or_, (F.startswith(p, F.lit(v + c)) for v in values for c in ".[")))
+    return F.when(plain, F.md5(F.array_join(F.array_sort(F.array_intersect(given, F.array(*map(F.lit, sorted(need))))), "\n").cast("binary")))
 
 
-def _known() -> dict[str, str]:
-    """Fingerprint by layout: every set of optional paths is listed."""
-    out = {}
-    for name, (need, may, _, _) in LAYOUTS.items():
-        for n in range(len(may) + 1):
-            for more in combinations(may, n):
-                out[_fingerprint_of(_tree([*need, *more]))] = name
+def _table_paths(kind: T.StructType, above: str = "") -> list[str]:
+    """The same paths of a table's or a column's type."""
+    out = []
+    for f in kind.fields:
+        t, path = f.dataType, above + f.name
+        out.append(path)
+        if isinstance(t, T.ArrayType):
+            t, path = t.elementType, path + "[]"
+            out.append(path)
+        if isinstance(t, T.StructType):
+            out += _table_paths(t, path + ".")
     return out
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """``(conv_id, layout, turns)`` per record."""
-    known = F.create_map(*(F.lit(x) for kv in _known().items() for x in kv))
-    df = records.select(F.col(record).alias("record")).withColumn("layout", F.element_at(known, fingerprint(F.col("record"))))
+    df = records.select(F.col(record).alias("record")).withColumn("paths", paths(F.col("record")))
+    layout = F.lit(None).cast("string")
+    for name, (need, *_) in reversed(LAYOUTS.items()):
+        layout = F.when(fingerprint(F.col("paths"), need) == _digest(need), name).otherwise(layout)
+    df = df.withColumn("layout", layout)
     turns = conv = None
     for name, (_, _, schema, sql) in LAYOUTS.items():
         col = f"r_{name}"
@@ -140,17 +150,26 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
 
 def turns_of_table(rows: DataFrame) -> DataFrame:
     """The same for a table whose columns are the fields of a record."""
-    name = _known().get(_fingerprint_of(_fields(rows.schema)))
+    found = set(_table_paths(rows.schema))
+    values = lambda need: [p for p in need if not any(q.startswith((f"{p}.", f"{p}[")) for q in need)]
+    plain = lambda need: not any(q.startswith((f"{v}.", f"{v}[")) for v in values(need) for q in found)
+    name = next((layout for layout, (need, *_) in LAYOUTS.items() if plain(need) and _digest([p for p in need if p in found]) == _digest(need)), None)
     if name is None:
         return rows.select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("string").alias("layout"), F.array().cast(TURNS).alias("turns"))
     _, _, schema, sql = LAYOUTS[name]
-    r = rows.select(F.struct(*rows.columns).alias("r"))
+    wanted = T.StructType.fromDDL(schema).fieldNames()
+    r = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c in wanted)).alias("r"))
     for field in T.StructType.fromDDL(schema).fields:  # what the record leaves out is null
         if field.name not in rows.columns:
             r = r.withColumn("r", F.col("r").withField(f"`{field.name}`", F.lit(None).cast(field.dataType)))
     return r.select(F.col("r.conv_id").cast("long").alias("conv_id"), F.lit(name).alias("layout"), F.coalesce(F.expr(sql).cast(TURNS), F.array().cast(TURNS)).alias("turns"))
 
 
+def layouts(turns: DataFrame) -> DataFrame:
+    """How many records each layout read; ``layout`` null: those that none did."""
+    return turns.groupBy("layout").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("turns")).alias("turns"))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, rf"{_FIRST}(\\*)(?={_REST})", r"$1$2\\")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilmark.shipping import ship
 from veilmark.sources.shared import shared_dir, written
 
-__all__ = ["bound_batches", "give_back", "read_table", "release_caches", "shared_dir", "shielded", "text_or_empty", "words_of", "written"]
+__all__ = ["bound_batches", "free_names", "give_back", "read_table", "release_caches", "shared_dir", "shielded", "text_or_empty", "words_of", "written"]
 
 #: White space between words: space and U+0009 to U+000D (the contracts' word class is the complement).
 WORD_GAP = "[ \\t-\\r]+"
@@ -37,8 +37,18 @@ def bound_batches(spark: SparkSession) -> None:
 
 def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     """``df`` with columns of these names renamed, and the columns that give it back as it was."""
-    own = lambda c: f"_own_{c}" if c in names else c
-    return df.select(*(F.col(c).alias(own(c)) for c in df.columns)), [F.col(own(c)).alias(c) for c in df.columns]
+    own = [f"_own_{i}_{c}" if c in names or c.startswith("_own_") else c for i, c in enumerate(df.columns)]
+    return df.select(*(F.col(c).alias(o) for c, o in zip(df.columns, own))), [F.col(o).alias(c) for c, o in zip(df.columns, own)]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import CACHES, give_back, read_table, release_caches, shielded, written
+from veilmark.llm.common import CACHES, free_names, give_back, read_table, release_caches, shielded, written
 
 #: Bytes that end words: U+0000-2F, U+003A-60 (after lower-casing) and U+007B-7F; A-Z are lower-cased.
 _CLASS = bytes(
@@ -53,13 +53,17 @@ class WuManber:
         self.skip = m - self.b + 1
         self.shift: dict = {}
         self.bucket: dict = {}  # by suffix block: starts of different strings
-        self.items: dict[int, tuple] = {}  # by start
+        self.items: dict[int, int | set[int]] = {}  # by start
         first: dict[tuple, int] = {}
         for at, item in zip(starts, items):
             string = tuple(flat[at : at + m])
             own = first.setdefault(string, at)
-            if item is not None and item not in self.items.get(own, ()):
-                self.items[own] = (*self.items.get(own, ()), item)
+            if item is not None:
+                known = self.items.setdefault(own, item)
+                if known.__class__ is set:
+                    known.add(item)
+                elif known != item:  # a set only where items share a string
+                    self.items[own] = {known, item}
             if own != at:
                 continue
             for j in range(self.b, m + 1):  # the block that ends before j
@@ -82,7 +86,11 @@ class WuManber:
                 for at in self.bucket[last]:
                     if self.flat[at : at + m] == text:
                         hit.append(end - m)
-                        items.update(self.items.get(at, ()))
+                        own = self.items.get(at)
+                        if own.__class__ is set:
+                            items |= own
+                        elif own is not None:
+                            items.add(own)
                         break  # strings of a bucket differ
                 step = 1
             end += step
@@ -116,25 +124,26 @@ def covered(starts: list[tuple[int, int]]) -> list[int]:
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (hit word intervals) and ``items`` (ids with an occurring window); other columns stay."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()  # repeated items tell nothing new
     total = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = total // block_chars + 1
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     base = docs.select(*keep)
     if blocks == 1:
         return _search(base, bench, window, whole=True)
-    rows = written(base.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row, of_row = free_names(base, "_row", "_of")
+    rows = written(base.withColumn(row, F.monotonically_increasing_id()), "numbered")
     bench = written(bench.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark")
     found = None
     for k in sorted(r["_block"] for r in bench.select("_block").distinct().collect()):
-        hits = _search(rows.select("_row", "text"), bench.where(F.col("_block") == k).select("item_id", "text"), window, whole=False)
+        hits = _search(rows.select(F.col(row).alias("_row"), "text"), bench.where(F.col("_block") == k).select("item_id", "text"), window, whole=False)
         found = hits if found is None else found.unionByName(hits)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     found = found.select(F.col("_row").alias("_of"), "hits", "items").groupBy("_of").agg(flat("hits"), flat("items"))
-    found = written(found.mapInArrow(_merged, "_of long, hits array<int>, items array<long>"), "hits")
+    found = written(found.mapInArrow(_merged, "_of long, hits array<int>, items array<long>"), "hits").withColumnRenamed("_of", of_row)
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
     of = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
-    rows = rows.join(of, F.col("_row") == F.col("_of"), "left")
+    rows = rows.join(of, F.col(row) == F.col(of_row), "left")
     return rows.select(
         *keep, n_words(F.col("text")).alias("n_words"), none("hits", "array<int>").alias("hits"), none("items", "array<bigint>").alias("items")
     )

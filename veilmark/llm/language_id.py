@@ -5,8 +5,8 @@ vocabulary in many ways. In language ``l`` a segmentation has the product of its
 segmentations, by the forward algorithm; no piece crosses a word, so a text has the product over its words. The language of the greatest
 likelihood is told, with its posterior probability among all learned languages at equal priors as ``score``.
 
-Learning: at most ``sample`` documents of each language (those of the least hash of their id; ties of the hash all count) give word
-counts, summed by Spark. Expectation maximisation starts from equal probabilities: each round runs forward and backward over the
+Learning: about ``sample`` documents of each language, those whose id's hash is in the first ``sample / n`` of its range, give word counts, summed by
+Spark; a language of fewer documents gives all of them. One count by language tells the share, so a hot language is no hot task. Expectation maximisation starts from equal probabilities: each round runs forward and backward over the
 distinct words where they lie, sums the expected piece counts by (language, piece), and smooths them by their mean over the languages and by the
 uniform law. The driver sees a row per language and piece, and the model is shared: at most ``MOST_LANGUAGES`` columns of the vocabulary's length; more
 languages are an error.
@@ -33,11 +33,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from veilmark.llm.common import CACHES, read_table, release_caches, written
 
-SAMPLE = 3_000  # documents of a language that teach
+SAMPLE = 3_000  # documents of a language that teach, about
 ROUNDS = 3  # of expectation maximisation
 SMOOTHING = 50.0  # pieces' worth of the background law added to each language
 MOST_LANGUAGES = 256
@@ -197,8 +196,10 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     rank = F.xxhash64(F.col(key).cast("string"))
     known = docs.where(F.col(lang).isNotNull())
-    first = known.select(F.col(lang).cast("string").alias("lang"), rank.alias("rank")).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("rank")))
-    limits = written(first.where(F.col("nth") <= sample).groupBy("lang").agg(F.max("rank").alias("most")), "language-limits")
+    share = F.least(F.lit(1.0), sample / F.col("n"))  # hashes are uniform, so this share of their range holds about ``sample`` of a language
+    most = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    limits = known.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).select("lang", most.alias("most"))
+    limits = written(limits, "language-limits")
     languages = [r["lang"] for r in limits.select("lang").orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")

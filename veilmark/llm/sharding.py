@@ -14,7 +14,8 @@ slices of ``CELLS`` numbers. The law is ``rows``: shard counts differ by one at
 does not matter: copies (equal texts) are spread as any rows are.
 
 Defined cases: null text has size 16 and the CRC-32 of nothing, 0; repeated rows each get a slot; fewer rows than shards
-leave shards empty; an empty table gives no rows; other columns pass through ``shard_rows`` (names of its own are replaced).
+leave shards empty; ties do not arise, as random keys order rows; very long texts are measured whole; an empty table gives no rows; other columns pass
+through ``shard_rows``, whatever their names (``shard`` and ``slot`` are replaced).
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilmark.llm.common import read_table, shared_dir, text_or_empty, written
+from veilmark.llm.common import read_table, shared_dir, shielded, text_or_empty, written
 
 SHARDS = 40
 CELLS = 1 << 16  # of the matrix in one literal of a plan
 BROADCAST_CELLS = 4_000_000  # 32 MB
 _SIGMAS = 9  # beyond which a draw has less chance than a double can tell (below 1e-17)
-_OWN = ("_part", "_nth", "_key", "_mid", "_at", "shard", "slot")
+_OWN = ("_part", "_nth", "_key", "_mid", "_at", "_first", "ends", "n", "shard", "slot")
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
@@ -93,7 +94,8 @@ def _matrix_table(spark: SparkSession, partitions: list[int], ends: np.ndarray)
 def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame:
     """``df`` with ``shard`` and ``slot``."""
     spark = df.sparkSession
-    keep = [c for c in df.columns if c not in _OWN]
+    df, back = shielded(df.drop("shard", "slot"), _OWN)
+    keep = df.columns
     local = df.select(*keep, F.rand(seed).alias("_key")).sortWithinPartitions("_key").select(*keep, F.monotonically_increasing_id().alias("_mid"))
     part, nth = F.shiftright("_mid", 33).cast("int"), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     rows = written(local.select(*keep, part.alias("_part"), nth.alias("_nth")), "permuted")
@@ -110,7 +112,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, seed: int = 20) -> DataFrame
     again = written(again.select(*keep, "shard", part.alias("_part"), nth.alias("_nth")), "exchanged")
     cells = again.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_nth").alias("_first"))
     cells = cells.select("shard", "_part", (F.sum("n").over(W.partitionBy("shard").orderBy("_part")) - F.col("n") - F.col("_first")).alias("_at"))
-    return again.join(cells, ["shard", "_part"]).select(*keep, "shard", (F.col("_nth") + F.col("_at")).alias("slot"))
+    return again.join(cells, ["shard", "_part"]).select(*back, "shard", (F.col("_nth") + F.col("_at")).alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ column, longest first, so only URLs that still have characters are touched.
 
 Of the site rules (host and path prefix) that fit, the longest decides; with none, the general globs decide:
 block if one matches, else allow. Defined cases: null URL or one without ``://`` has empty host and path, fits no site
-rule and is allowed; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
+rule and is allowed; of site rules of equal length the first listed decides; very long URLs are read whole; repeated rows each give a row; other columns
+pass through ``judge_urls`` (those of its own results are replaced), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import read_table
+from veilmark.llm.common import free_names, read_table
 
 #: (verdict, host, path prefix): a rule fits the host and its subdomains.
 SITE_RULES = [
@@ -125,7 +126,8 @@ def judge_urls(pages: DataFrame, site_rules=SITE_RULES, general_globs=GENERAL_GL
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*keep, F.translate(host, upper, lower).alias("host"), path.alias("path"))
-    return parts.withColumn("_j", judged("host", "path")).select(*keep, "host", "path", "_j.rule", "_j.verdict")
+    (told,) = free_names(parts, "_j")
+    return parts.withColumn(told, judged("host", "path")).select(*keep, "host", "path", f"{told}.rule", f"{told}.verdict")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
