@@ -358,7 +358,7 @@ def test_html_extract(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.replace("{n}", str(i))) for i in range(8)]
     rows += [(100, "http://h.example/0", rows[0][2]), (101, None, None), (102, "", ""), (103, "x", "plain <b>text</b>"), (104, "http://d.example/", "<div>" * 2000 + "deep"), (105, "http://m.example/", "<main><p>in main</p></main><p>out</p>")]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("own"))).collect()}
-    assert got[3] == "Title & 3\n\nFirst 3 line\n\nSecond abc 3" and got[100] == got[0]
+    assert got[3] == "Title & 3\n\nFirst 3 line\n\nSecond abc 3\n\nConstant words on all pages of the host." and got[100] == got[0]
     assert (got[101], got[102], got[103], got[104], got[105]) == ("", "", "plain text", "deep", "in main")
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -397,13 +397,41 @@ def test_words_do_not_drop_an_article(spark, own):
 
 
 def test_constants_of_layouts_and_of_small_hosts(spark):
-    a = "<div><h1>Title {n}</h1><p>Text {n}</p><blockquote>Printed on paper</blockquote></div>"
-    b = "<table><tr><td>Entry {n}</td></tr></table><pre>All prices in euro</pre>"
+    a = "<div><h1>Title {n}</h1><p>Text {n}, as it is told</p><blockquote>Printed on paper</blockquote></div>"
+    b = "<table><tr><td>Entry {n} of a long list</td></tr></table><pre>All prices in euro</pre>"
     two = [("http://two.example/", (a if k % 2 else b).replace("{n}", str(k))) for k in range(20)]
     few = [("http://few.example/", a.replace("{n}", str(k))) for k in range(2)]
     got = extracted(spark, two + few + [("http://one.example/", a.replace("{n}", "x"))])
-    assert got[:20] == [f"Title {k}\n\nText {k}" if k % 2 else f"Entry {k}" for k in range(20)]
-    assert got[20:] == ["Title 0\n\nText 0", "Title 1\n\nText 1", "Title x\n\nText x\n\nPrinted on paper"]
+    assert got[:20] == [f"Title {k}\n\nText {k}, as it is told" if k % 2 else f"Entry {k} of a long list" for k in range(20)]
+    assert got[20:] == ["Title 0\n\nText 0, as it is told", "Title 1\n\nText 1, as it is told", "Title x\n\nText x, as it is told\n\nPrinted on paper"]
+
+
+def test_editions_of_one_article_stay_whole(spark):
+    """Two pages, and seven, that share most of an article, with tags that tell it and without."""
+    shared = ["Title of the piece", "The first paragraph, which all of them have and which is long.", "The last one, which all of them have as well, at some length."]
+    for tag in ("article", "div", "main"):
+        for n in (2, 7):
+            own = [f"What edition {k} says about it." for k in range(n)]
+            pages = [("http://e.example/%d" % k, f"<body><{tag}><h1>{shared[0]}</h1><p>{shared[1]}</p><p>{own[k]}</p><p>{shared[2]}</p></{tag}></body>") for k in range(n)]
+            assert extracted(spark, pages) == ["\n\n".join([*shared[:2], own[k], shared[2]]) for k in range(n)]
+
+
+def test_all_articles_and_buttons_within_sentences(spark):
+    page = "<body><article><p>Press <button>Start</button> to begin.</p></article><article class=second><h2>More</h2><p>The same</p><p>The same</p></article><nav>x</nav></body>"
+    assert extracted(spark, [("http://b.example/", page)]) == ["Press Start to begin.\n\nMore\n\nThe same\n\nThe same"]
+
+
+def test_made_up_class_names_do_not_grow_the_wrapper(spark):
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    html = lambda k: f"<body><div class='x{name(k)}'><p>Own text {k} of a page, long enough to be told.</p></div><div class='foot y{name(k)}'><p>All rights</p></div></body>"
+    rows = [(k, f"http://g.example/{k}", html(k)) for k in range(1000, 1400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("g.example"))
+    words = html_extract.common_words(pages)
+    assert words.first()["common"] == "foot"
+    wrapper = html_extract.induce_wrappers(pages.join(words, "host")).first()["wrapper"]
+    assert wrapper == "page(body(div(p) div.foot(p)))"
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got == {k: f"Own text {k} of a page, long enough to be told." for k, _, _ in rows}
 
 
 ODD_PAGES = {

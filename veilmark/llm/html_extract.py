@@ -3,23 +3,25 @@
 1. A page is read, in time linear in its length, into block texts and the tree of its block elements, in which alike siblings are one node.
    Pages of one host are counted by this shape, and the host's wrapper is the merge of all its shapes by simple tree matching: the largest
    matching that keeps order and ancestors. As siblings of a shape differ, a node of the wrapper has at most one partner in it, and the best
-   matching below a pair is a heaviest increasing subsequence; no page is too long or too deep for it. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
+   matching below a pair is a heaviest increasing subsequence; no page is too long or too deep for it. Of class, id and role a node's key has the words that
+   are on a hundredth of the host's pages or more (``RARE``): rarer ones could not carry template, and made-up names would make wrappers as large as the
+   host, where now there are at most a hundred times as many words as on a page. Shapes are merged by hash part first, then the parts' wrappers; a merge only adds
    nodes, so every page's shape is in the wrapper. Each node of the wrapper is a slot.
 2. Every page is aligned to its host's wrapper by the same matching. Over all pages, a block text counts once for each different
    page of the host that has it in that slot; texts on ``CONSTANT_SHARE`` of the different pages that have the slot are constant and
-   so template. They must be on a fifth of the host's pages, 2 at least and ``CONSTANT_PAGES`` at most, so that two edits of one
-   article in a rare slot stay content. Texts that move between slots count over the whole page in the same way
-   (slot ``PAGE``). Copies of a page count once, so an article that was copied stays content.
+   so template. They must be on a fifth of the host's pages, 2 at least and ``CONSTANT_PAGES`` at most, and on a hundredth in any case. Texts that move between
+   slots count over the whole page in the same way (slot ``PAGE``). Copies of a page count once, so an article that was copied stays content; and
+   so does what edits of one article share: half of the pages that have a text must have more text that varies than text that would be constant.
 3. Varying slots are content, except those below elements for menus, headers, footers, side bars, notices, adverts, forms and
    comments, by tag, role or class. Role and class say nothing on ``html``, ``body``, ``main`` and ``article``, nor on an element of the
-   wrapper that is above half of the host's varying slots or more and above most of their text (``spared``). Of a page with ``article`` elements the longest one counts, else ``main``, else all that is left
-   and is not mostly links.
+   wrapper that is above half of the host's varying slots or more and above most of their text (``spared``). Of a page with ``article`` elements all that is in
+   them counts, constant or not, else what varies in ``main``, else all that varies and is not mostly links.
 
 Wrappers and constants go back to the pages by host: broadcast if the table is within ``BROADCAST_BYTES``, else by a join that
 Spark may split for a hot host.
 
-Defined cases: null or empty html gives an empty text; null url is a host of its own; repeated rows each give a row; of equally long
-articles the first counts; a tag that does not end before the text does is text; an empty table gives no rows; other columns are ignored.
+Defined cases: null or empty html gives an empty text; null url is a host of its own; repeated rows each give a row; equal texts of a page
+all stay, in its order; very long pages are read whole; a tag that does not end before the text does is text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
@@ -42,6 +45,7 @@ from veilmark.llm.common import read_table, written
 PARTS = 64  # of a host's shapes, each merged by a task of its own
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 5
+RARE = 100  # words and texts on fewer than one in so many pages of a host are no template
 PAGE = -2  # as a slot: the whole page
 BROADCAST_BYTES = 32 << 20
 LONG_SHAPE = 20_000  # characters; longer shapes are not remembered
@@ -53,7 +57,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_RAW = frozenset("script style noscript template iframe svg textarea select title head button canvas audio video".split())
+_RAW = frozenset("script style noscript template iframe svg textarea select title head canvas audio video".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROP_TAGS = frozenset("nav footer aside form dialog menu".split())
 _NO_WORDS = frozenset("html body main article".split())  # their class, id and role drop nothing
@@ -161,8 +165,18 @@ class Tags:
                 self.at = start + 1
 
 
-def parse(html: str | None) -> tuple[Node, list[Block]]:
-    """The shape and the non-empty blocks of a page, in order."""
+def words_of(attributes: str) -> set[str]:
+    """Words of class, id and role."""
+    return {x for x in re.split(r"[^a-z]+", " ".join(x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)).lower()) if x} if attributes else set()
+
+
+def page_words(html: str | None) -> set[str]:
+    """The words on a page's block elements."""
+    return set().union(*(words_of(attributes) for tag, closing, attributes, _, _ in Tags(html or "") if attributes and not closing and tag in _BLOCKS))
+
+
+def parse(html: str | None, common: frozenset[str] | None = None) -> tuple[Node, list[Block]]:
+    """The shape, with the ``common`` words (all if not given), and the non-empty blocks of a page, in order."""
     html, root = html or "", Node("page")
     top = _Open("", root, False, None, None, False, 0, False, False, frozenset())
     stack, blocks, buf, links, in_link, articles = [top], [], [], 0, 0, 0
@@ -224,9 +238,9 @@ def parse(html: str | None) -> tuple[Node, list[Block]]:
         closes = _ENDS[tag]
         while not closes.isdisjoint(stack[-1].ends):  # a paragraph ends where any block starts; items end where the next starts
             end_last(closes)
-        names = {x for x in re.split(r"[^a-z]+", " ".join(x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)).lower()) if x} if attributes else ()
+        names = words_of(attributes)
         up = stack[-1]
-        key = ".".join([tag, *sorted(names)])
+        key = ".".join([tag, *sorted(names if common is None else names & common)])
         node = up.node.of.get(key)
         if node is None:
             node = up.node.of[key] = Node(key)
@@ -382,9 +396,9 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def aligned(html: str | None, wrapper: str) -> tuple[list[tuple[Block, int]], Callable[[Node], int]]:
+def aligned(html: str | None, wrapper: str, common: frozenset[str] | None = None) -> tuple[list[tuple[Block, int]], Callable[[Node], int]]:
     """The blocks with the slot that each is in, and the slot of a node; -1 where the wrapper has none."""
-    root, blocks = parse(html)
+    root, blocks = parse(html, common)
     number(root)
     at = slots(wrapper, root.text()) if blocks else {}
     return [(b, at.get(b.node.at, -1)) for b in blocks], lambda node: at.get(node.at, -1)
@@ -420,23 +434,20 @@ def _falls(named: _Named | None, above: Callable[[Node], int], free: frozenset[i
     return verdict
 
 
-def main_text(html: str | None, wrapper: str, constants: frozenset[tuple[int, int]], varying: str | None = None) -> str:
-    blocks, above = aligned(html, wrapper)
+def main_text(html: str | None, wrapper: str, constants: frozenset[tuple[int, int]], varying: str | None = None, common: frozenset[str] | None = None) -> str:
+    blocks, above = aligned(html, wrapper, common)
     free = spared(wrapper, varying)
     left = []
     for b, slot in blocks:
         if b.drop or _falls(b.named, above, free):
             continue
-        h = _hash(b.text)
-        if (slot, h) not in constants and (PAGE, h) not in constants:
-            left.append(b)
-    sizes: dict[int, int] = {}
-    for b in left:
-        if b.article:
-            sizes[b.article] = sizes.get(b.article, 0) + len(b.text)
-    if sizes:
-        longest = max(sizes, key=lambda k: (sizes[k], -k))
-        left = [b for b in left if b.article == longest]
+        if not b.article:
+            h = _hash(b.text)
+            if (slot, h) in constants or (PAGE, h) in constants:
+                continue
+        left.append(b)
+    if any(b.article for b in left):
+        left = [b for b in left if b.article]
     elif any(b.main for b in left):
         left = [b for b in left if b.main]
     else:
@@ -449,6 +460,11 @@ def _constants(text: str | None) -> frozenset[tuple[int, int]]:
     return frozenset(map(tuple, json.loads(text))) if text else frozenset()
 
 
+@lru_cache(1024)
+def _common(text: str | None) -> frozenset[str]:
+    return frozenset((text or "").split())
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"://([^/?#]*)", 1))
 
@@ -468,9 +484,29 @@ def _map(df: DataFrame, rows, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def common_words(pages: DataFrame) -> DataFrame:
+    """``(host, common)`` for ``pages(host, html)``: the words on one in ``RARE`` of a host's pages or more, in one string."""
+
+    def counted(b: dict):
+        seen: Counter = Counter()
+        for host, html in zip(b["host"], b["html"]):
+            seen[host, None] += 1
+            seen.update((host, w) for w in page_words(html))
+        return ((host, w, n) for (host, w), n in seen.items())
+
+    counts = _map(pages, counted, "host string, word string, n long").groupBy("host", "word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "class-words")
+    all_pages = counts.where("word is null").select("host", F.col("n").alias("pages"))
+    kept = counts.join(all_pages, "host").where((F.col("n") * RARE >= F.col("pages")))
+    return kept.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("common"))
+
+
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)`` for ``pages(host, html)``."""
-    shapes = _map(pages, lambda b: ((h, parse(x)[0].text()) for h, x in zip(b["host"], b["html"])), "host string, shape string")
+    """``(host, wrapper)`` for ``pages(host, html, common)``; ``common`` may be left out."""
+    if "common" not in pages.columns:
+        pages = pages.withColumn("common", F.lit(None).cast("string"))
+    of = lambda c: None if c is None else _common(c)
+    shapes = _map(pages, lambda b: ((h, parse(x, of(c))[0].text()) for h, x, c in zip(b["host"], b["html"], b["common"])), "host string, shape string")
     counts = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
@@ -486,17 +522,30 @@ def _with_model(pages: DataFrame, models: DataFrame, small: bool) -> DataFrame:
     return pages.join(F.broadcast(models) if small else models, "host")
 
 
+def _of_differing_pages(seen: DataFrame, constants: DataFrame) -> DataFrame:
+    """Those of the constants whose pages, half of them or more, have more text that varies than constant text."""
+    fixed = constants.select("host", "block").distinct()
+    whole = seen.where((F.col("slot") == PAGE) & F.col("block").isNotNull()).select("host", "page", "block", "chars")
+    on = whole.join(fixed.withColumn("fixed", F.lit(1)), ["host", "block"], "left")
+    pages = on.groupBy("host", "page").agg((2 * F.sum(F.when(F.col("fixed") == 1, F.col("chars")).otherwise(0)) <= F.sum("chars")).alias("differs"))
+    votes = whole.join(fixed, ["host", "block"]).join(pages, ["host", "page"]).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if("differs").alias("differing"))
+    return constants.join(votes.where(2 * F.col("differing") >= F.col("n")).select("host", "block"), ["host", "block"]).select(*constants.columns)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for ``pages(page_id, url, html)``."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    models = written(induce_wrappers(pages.select("host", "html")), "wrappers")
-    small = (models.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
+    words = written(common_words(pages.select("host", "html")), "common-words")
+    small = (words.agg(F.sum(F.length("common") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
+    models = induce_wrappers(_with_model(pages.select("host", "html"), words, small)).join(words, "host")
+    models = written(models, "wrappers")
+    small = (models.agg(F.sum(F.length("wrapper") + F.length("common") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
 
     def block_rows(b: dict):
         """Each text of each slot, and each slot (``block`` null), with the characters of its different texts."""
-        for host, html, wrapper in zip(b["host"], b["html"], b["wrapper"]):
+        for host, html, wrapper, common in zip(b["host"], b["html"], b["wrapper"], b["common"]):
             page, of, long = _hash(html or ""), {}, {}
-            for x, slot in aligned(html, wrapper)[0]:
+            for x, slot in aligned(html, wrapper, _common(common))[0]:
                 if not x.drop:
                     h = _hash(x.text)
                     long[h] = len(x.text)
@@ -508,26 +557,28 @@ def extract(pages: DataFrame) -> DataFrame:
                     yield host, slot, h, page, long[h]
 
     seen = _map(_with_model(pages.select("host", "html"), models, small), block_rows, "host string, slot long, block long, page long, chars long")
-    counts = seen.distinct().groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    seen = written(seen.distinct(), "blocks")
+    counts = seen.groupBy("host", "slot", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     counts = written(counts.where("block is null or n >= 2"), "block-counts")
     sizes = counts.where("block is null").select("host", "slot", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
-    hosts = sizes.where(F.col("slot") == PAGE).select("host", F.least(F.lit(CONSTANT_PAGES), F.greatest(F.lit(2), F.ceil(F.col("pages") / 5))).alias("least"))
+    most = F.greatest(F.least(F.lit(CONSTANT_PAGES), F.greatest(F.lit(2), F.ceil(F.col("pages") / 5))), F.ceil(F.col("pages") / RARE))
+    hosts = sizes.where(F.col("slot") == PAGE).select("host", most.alias("least"))
     constants = counts.where("block is not null").join(sizes, ["host", "slot"]).join(hosts, "host").where((F.col("n") >= CONSTANT_SHARE * F.col("pages")) & (F.col("n") >= F.col("least")))
-    constants = written(constants.select("host", "slot", "block", "chars"), "constants")
+    constants = written(_of_differing_pages(seen, constants.select("host", "slot", "block", "chars")), "constants")
     # at most 1 / CONSTANT_SHARE texts for each block of a slot's pages, so a host's list is short
     lists = constants.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "block")))).alias("constants"))
     fixed = constants.groupBy("host", "slot").agg(F.sum("chars").alias("fixed"))
     left = sizes.where(F.col("slot") >= 0).join(fixed, ["host", "slot"], "left").select("host", "slot", (F.col("all_chars") - F.coalesce("fixed", F.lit(0))).alias("chars")).where("chars > 0")
     left = left.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "chars")))).alias("varying"))
     models = written(models.join(lists, "host", "left").join(left, "host", "left"), "models")
-    longs = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("wrapper", "constants", "varying")), F.length("host"))
+    longs = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("wrapper", "constants", "varying", "common")), F.length("host"))
     small = (models.agg(F.sum(longs)).first()[0] or 0) <= BROADCAST_BYTES
 
     def texts(b: dict):
-        for page, url, html, wrapper, constants, varying in zip(*(b[c] for c in ("page_id", "url", "html", "wrapper", "constants", "varying"))):
-            yield page, url, main_text(html, wrapper, _constants(constants), varying)
+        for page, url, html, wrapper, constants, varying, common in zip(*(b[c] for c in ("page_id", "url", "html", "wrapper", "constants", "varying", "common"))):
+            yield page, url, main_text(html, wrapper, _constants(constants), varying, _common(common))
 
-    joined = _with_model(pages, models, small).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "constants", "varying")
+    joined = _with_model(pages, models, small).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper", "constants", "varying", "common")
     return _map(joined, texts, "page_id long, url string, text string")
 
 
