@@ -64,10 +64,8 @@ def token_counts(text: Column, gold: Column, predicted: Column) -> Column:
     return let(both, lambda x: counts(intersection_length(x["g"], x["p"]), ranges_length(x["p"]), ranges_length(x["g"])))
 
 
-def evaluate(samples: DataFrame, by: list[str] | None = None, families: list[str] = FAMILIES, per_label: bool = True) -> DataFrame:
-    """Summed counts of ``samples(text, gold, predicted, ...)`` by family and label (null: all), and by the columns ``by``."""
-    by = by or []
-    gold, predicted = F.col("gold"), F.col("predicted")
+def family_rows(text: Column, gold: Column, predicted: Column, families: list[str] = FAMILIES, per_label: bool = True) -> Column:
+    """One sample's counts, ``array<struct<family,label,c:struct<tp,fp,fn>>>``; label is null for all labels together."""
     cg, cp = labelled(gold), labelled(predicted)
     make = {
         "exact_agnostic": lambda: exact_counts(gold, predicted, False),
@@ -75,7 +73,7 @@ def evaluate(samples: DataFrame, by: list[str] | None = None, families: list[str
         "exact_canonical": lambda: exact_counts(cg, cp, True),
         "overlap_canonical": lambda: overlap_counts(cg, cp, True),
         "char_canonical": lambda: char_counts(cg, cp),
-        "token_canonical": lambda: token_counts(F.col("text"), cg, cp),
+        "token_canonical": lambda: token_counts(text, cg, cp),
     }
     row = lambda family, label, c: F.struct(F.lit(family).alias("family"), label.cast("string").alias("label"), c.alias("c"))
     rows = F.array(*(row(f, F.lit(None), make[f]()) for f in families))
@@ -84,8 +82,19 @@ def evaluate(samples: DataFrame, by: list[str] | None = None, families: list[str
         exact = F.transform(labels, lambda x: row("label_exact", x, exact_counts(labelled(gold, x), labelled(predicted, x), True)))
         chars = F.transform(labels, lambda x: row("label_char", x, char_counts(labelled(gold, x), labelled(predicted, x))))
         rows = F.concat(rows, exact, chars)
+    return rows
+
+
+def _summed() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+
+
+def evaluate(samples: DataFrame, by: list[str] | None = None, families: list[str] = FAMILIES, per_label: bool = True) -> DataFrame:
+    """Summed counts of ``samples(text, gold, predicted, ...)`` by family and label (null: all), and by the columns ``by``."""
+    by = by or []
+    rows = family_rows(F.col("text"), F.col("gold"), F.col("predicted"), families, per_label)
     long = each(samples, rows, "r", *by).select(*by, "r.family", "r.label", "r.c.*")
-    return long.groupBy(*by, "family", "label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return long.groupBy(*by, "family", "label").agg(*_summed())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -165,19 +174,34 @@ def unscored(samples: DataFrame, scored: Column) -> DataFrame:
 
 
 def slices(samples: DataFrame, keys: list[str], families: list[str]) -> DataFrame:
-    """Counts for each value of each key by itself; null is ``unknown``. One pass: a row meets each of its slices."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("slice"), F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias("value")) for k in keys))
-    rows = samples.withColumn("_s", F.explode(pairs)).select("text", "gold", "predicted", "_s.slice", "_s.value")
-    sizes = rows.groupBy("slice", "value").agg(F.count(F.lit(1)).alias("samples"))
-    return evaluate(rows, ["slice", "value"], families, per_label=False).join(sizes, ["slice", "value"])
+    """Counts for each value of each key by itself; null is ``unknown``.
+
+    A sample is evaluated once; its counts, and not its text, then meet each of the grouping sets.
+    """
+    known = [F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias(f"k{i}") for i, k in enumerate(keys)]
+    rows = each(samples, family_rows(F.col("text"), F.col("gold"), F.col("predicted"), families, per_label=False), "r", *known)
+    rows = rows.select(*(f"k{i}" for i in range(len(keys))), "r.family", "r.label", "r.c.*")
+    cols = [F.col(f"k{i}") for i in range(len(keys))]
+    sums = rows.groupingSets([[c, F.col("family"), F.col("label")] for c in cols], *cols, F.col("family"), F.col("label")).agg(
+        *_summed(), F.count(F.lit(1)).alias("samples"), *(F.grouping(f"k{i}").alias(f"g{i}") for i in range(len(keys)))
+    )
+    slice_of, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, k in enumerate(keys):
+        slice_of, value = F.when(F.col(f"g{i}") == 0, k).otherwise(slice_of), F.when(F.col(f"g{i}") == 0, F.col(f"k{i}")).otherwise(value)
+    return sums.select(slice_of.alias("slice"), value.alias("value"), "family", "label", "tp", "fp", "fn", "samples")
 
 
 def detectors(samples: DataFrame, families: list[str]) -> DataFrame:
-    """Counts per detector, each against all gold spans; a detector counts in samples where it found nothing too."""
+    """Counts per detector, each against all gold spans; a detector counts in samples where it found nothing too.
+
+    All detectors are evaluated where the sample is; only counts leave it.
+    """
     names = each(samples, "predicted", "s").select(F.col("s.detector").alias("detector")).distinct()
-    listed = F.array_sort(F.array(*(F.lit(r[0]) for r in names.collect())))  # a few names: one for each detector of the profile
-    rows = samples.withColumn("detector", F.explode(listed)).withColumn("predicted", F.filter("predicted", lambda s: s["detector"] == F.col("detector")))
-    return evaluate(rows, ["detector"], families, per_label=False)
+    listed = F.array_sort(F.array(*(F.lit(r[0]) for r in names.collect())).cast("array<string>"))  # a few names: one for each detector of the profile
+    own = lambda d: F.filter("predicted", lambda s: s["detector"].eqNullSafe(d))
+    rows = F.flatten(F.transform(listed, lambda d: F.transform(family_rows(F.col("text"), F.col("gold"), own(d), families, per_label=False), lambda r: F.struct(d.alias("detector"), r.alias("r")))))
+    long = each(samples, rows, "x").select("x.detector", "x.r.family", "x.r.label", "x.r.c.*")
+    return long.groupBy("detector", "family", "label").agg(*_summed())
 
 
 def false_positives(samples: DataFrame) -> DataFrame:

@@ -38,18 +38,47 @@ def random_sample(df: DataFrame, size: int, seed: int, row_id: str = "sample_id"
     return df.orderBy(shuffle_key(row_id, seed), row_id).limit(max(0, size))
 
 
+MOST_LABELS = 1_000
+
+
+def label_picks(df: DataFrame, seed: int, min_per_label: int, row_id: str, labels: str) -> list:
+    """Ids that the labels take in turn: each label, in order, ``min_per_label`` rows of its own that no earlier one took.
+
+    What the labels before it can have taken is bounded, so a label needs no more than the first ``min_per_label`` rows for each label up
+    to it. Spark keeps these in each task before it sends any (``row_number`` under a bound), and only their ids come here.
+    """
+    names = sorted(r[0] for r in df.select(F.explode(labels).alias("x")).where("x is not null").distinct().limit(MOST_LABELS + 1).collect())
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not names or min_per_label <= 0:
+        return []
+    ids = df.select(F.col(row_id).alias("id"), shuffle_key(row_id, seed).alias("k"), F.explode(F.array_distinct(labels)).alias("label")).where("label is not null")
+    nth = F.row_number().over(W.partitionBy("label").orderBy("k", "id"))
+    first = ids.withColumn("nth", nth).where(F.col("nth") <= min_per_label * len(names)).collect()
+    by_label: dict[str, list] = {x: [] for x in names}
+    for r in sorted(first, key=lambda r: r["nth"]):
+        by_label[r["label"]].append(r["id"])
+    taken: dict = {}
+    for name in names:
+        free = [i for i in by_label[name] if i not in taken]
+        taken.update(dict.fromkeys(free[:min_per_label]))
+    return list(taken)
+
+
 def label_balanced(df: DataFrame, size: int, seed: int, min_per_label: int, row_id: str = "sample_id", labels: str = "labels") -> DataFrame:
     """``size`` rows with up to ``min_per_label`` of each label, filled up at random.
 
-    A row counts for its first label in order only, as the labels take rows one after the other; within a label and for
-    the fill the order is the shuffle's. If the minima alone are more than ``size``, the shuffle cuts them.
+    The labels take rows one after the other, in their own order, each so many that no earlier one took; then the shuffle's order fills up. If the
+    minima alone are more than ``size``, it cuts them. Only ids are ranked; rows are read for the sample alone. Ids are taken to be unique.
     """
-    key = shuffle_key(row_id, seed)
-    owner = F.array_min(F.col(labels))
-    ranked = df.withColumn("_o", owner).withColumn("_k", key)
-    per_label = F.row_number().over(W.partitionBy("_o").orderBy("_k", row_id))
-    ranked = ranked.withColumn("_first", F.col("_o").isNotNull() & (per_label <= min_per_label))
-    return ranked.orderBy(F.desc("_first"), "_k", row_id).limit(max(0, size)).drop("_o", "_k", "_first")
+    if size <= 0:
+        return df.limit(0)
+    spark, kind = df.sparkSession, df.schema[row_id].dataType.simpleString()
+    picks = label_picks(df, seed, min_per_label, row_id, labels)
+    picked = spark.createDataFrame([(i,) for i in picks], f"id {kind}")  # at most ``min_per_label`` for each label
+    ids = df.select(F.col(row_id).alias("id"), shuffle_key(row_id, seed).alias("k")).join(F.broadcast(picked.withColumn("first", F.lit(0))), "id", "left")
+    chosen = ids.orderBy(F.coalesce("first", F.lit(1)), "k", "id").limit(size).select(F.col("id").alias("_chosen"))
+    return df.join(chosen, F.col(row_id) == F.col("_chosen"), "left_semi")
 
 
 def rebalance_quota(target: int, negative_share: float, negatives: int, positives: int, labels: int) -> dict[str, int]:

@@ -565,13 +565,25 @@ def mask_leakage(spark: SparkSession, d: str) -> DataFrame:
 {_merged_sql("gold", "mg")},
 {_merged_sql("pred", "mp")},
 x AS (SELECT doc_id, coalesce(sum(greatest(0, least(a.end_, b.end_) - greatest(a.start_, b.start_))), 0) AS tp FROM mg a JOIN mp b USING (doc_id) GROUP BY 1),
-y AS (SELECT d.lang, d.source, coalesce(x.tp, 0) AS tp, coalesce(p.c, 0) AS np, coalesce(g.c, 0) AS ng FROM docs d LEFT JOIN x USING (doc_id)
+z AS (SELECT d.doc_id, CASE WHEN a + b = 0 THEN 'no_letters' WHEN a / (a + b) >= 0.7 THEN 'mostly_cyrillic' WHEN b / (a + b) >= 0.7 THEN 'mostly_latin' ELSE 'mixed' END AS script, CASE doc_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'json' END AS format,
+  CASE WHEN n < 1000 THEN '1k' WHEN n < 10000 THEN '10k' ELSE '100k' END AS bucket, ['head', 'middle', 'tail', 'spread'][doc_id % 4 + 1] AS placement, CASE WHEN doc_id % 5 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END END AS noisy,
+  (SELECT count(*) FROM gold g WHERE g.doc_id = d.doc_id) AS entities
+  FROM (SELECT *, length(regexp_replace(text, '[^А-Яа-яЁё]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS b FROM docs) d),
+y AS (SELECT d.doc_id, d.lang, d.source, coalesce(x.tp, 0) AS tp, coalesce(p.c, 0) AS np, coalesce(g.c, 0) AS ng FROM docs d LEFT JOIN x USING (doc_id)
   LEFT JOIN (SELECT doc_id, sum(end_ - start_) AS c FROM mp GROUP BY 1) p USING (doc_id) LEFT JOIN (SELECT doc_id, sum(end_ - start_) AS c FROM mg GROUP BY 1) g USING (doc_id))
-SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'source' END AS slice, coalesce(lang, source, 'unknown') AS value, count(*)::BIGINT AS samples, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(ng - tp)::BIGINT AS fn
-FROM y GROUP BY GROUPING SETS ((lang), (source))""",
+SELECT slice, coalesce(value, 'unknown') AS value, count(*)::BIGINT AS samples, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(ng - tp)::BIGINT AS fn FROM (
+  SELECT unnest(['language', 'script_profile', 'format', 'length_bucket', 'placement_profile', 'noisy', 'source', 'entity_count']) AS slice, unnest([lang, script, format, bucket, placement, noisy, source, entities::VARCHAR]) AS value, tp, np, ng
+  FROM y JOIN z USING (doc_id)) GROUP BY 1, 2""",
 )
 def slices(spark: SparkSession, d: str) -> DataFrame:
-    return E.slices(_samples(spark, d), ["lang", "source"], ["char_canonical"]).select("slice", "value", "samples", "tp", "fp", "fn")
+    """All eight keys; some are null in some rows."""
+    doc, n = F.col("doc_id"), F.col("n")
+    rows = _samples(spark, d).withColumns({
+        "language": F.col("lang"), "script_profile": T.script_profile(F.col("text")), "format": F.when(doc % 3 == 0, "plain").when(doc % 3 == 1, "json"), "noisy": F.when(doc % 5 > 0, doc % 2 == 0),
+        "length_bucket": F.when(n < 1000, "1k").when(n < 10_000, "10k").otherwise("100k"), "placement_profile": F.get(F.array(*map(F.lit, N.PROFILES)), (doc % 4).cast("int")), "entity_count": F.size("gold"),
+    })
+    keys = ["language", "script_profile", "format", "length_bucket", "placement_profile", "noisy", "source", "entity_count"]
+    return E.slices(rows, keys, ["char_canonical"]).select("slice", "value", "samples", "tp", "fp", "fn")
 
 
 @query(
@@ -616,7 +628,21 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LAB = f"WITH {_DOCS},\nlb AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS entity_count, CASE WHEN doc_id % 4 <> 0 THEN 'l' || (doc_id % 5) END AS owner, md5('7:' || sample_id) AS sk FROM docs)"
-_FIRST_PICKS = "CASE WHEN owner IS NOT NULL AND row_number() OVER (PARTITION BY owner ORDER BY sk, sample_id) <= {m} THEN 0 ELSE 1 END AS rest"
+
+
+def _balanced_sql(rows: str, m: int, where: str = "true") -> str:
+    """Rows as ``r`` with ``rest``: 0 for those that the labels take, one label after the other."""
+    return f"""{_LAB.replace("WITH ", "WITH RECURSIVE ", 1)},
+cand AS (SELECT sample_id, sk, unnest(['l' || (doc_id % 5), 'm' || (doc_id % 3)]) AS label FROM lb WHERE entity_count > 0 AND {where}),
+names AS (SELECT label, row_number() OVER (ORDER BY label) AS li FROM (SELECT DISTINCT label FROM cand)),
+c AS (SELECT cand.*, li FROM cand JOIN names USING (label)),
+st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used
+  UNION ALL
+  SELECT i + 1, list_concat(used, list(sample_id)) FROM (SELECT st.i, st.used, c.sample_id, row_number() OVER (ORDER BY c.sk, c.sample_id) AS nth FROM st JOIN c ON c.li = st.i + 1 AND NOT list_contains(st.used, c.sample_id)) WHERE nth <= {m} GROUP BY i, used),
+picks AS (SELECT unnest(arg_max(used, i)) AS sample_id FROM st),
+r AS (SELECT *, CASE WHEN sample_id IN (SELECT sample_id FROM picks) THEN 0 ELSE 1 END AS rest FROM {rows} WHERE {where})"""
+
+
 
 
 @query(
@@ -634,14 +660,14 @@ def random_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.random_sample(_labelled(spark, d), 50, 7).select("sample_id")
 
 
-@query("label_balanced", f"{_LAB},\nr AS (SELECT *, {_FIRST_PICKS.format(m=6)} FROM lb)\nSELECT sample_id FROM r ORDER BY rest, sk, sample_id LIMIT 60")
+@query("label_balanced", f"{_balanced_sql('lb', 6)}\nSELECT sample_id FROM r ORDER BY rest, sk, sample_id LIMIT 60")
 def label_balanced(spark: SparkSession, d: str) -> DataFrame:
     return S.label_balanced(_labelled(spark, d), 60, 7, 6).select("sample_id")
 
 
 @query(
     "rebalance_quota",
-    f"{_LAB},\nr AS (SELECT *, {_FIRST_PICKS.format(m=10)} FROM lb WHERE entity_count > 0)\n(SELECT sample_id, 'negative' AS kind FROM lb WHERE entity_count = 0 ORDER BY sk, sample_id LIMIT 20) UNION ALL (SELECT sample_id, 'positive' FROM r ORDER BY rest, sk, sample_id LIMIT 80)",
+    f"{_balanced_sql('lb', 10, 'entity_count > 0')}\n(SELECT sample_id, 'negative' AS kind FROM lb WHERE entity_count = 0 ORDER BY sk, sample_id LIMIT 20) UNION ALL (SELECT sample_id, 'positive' FROM r ORDER BY rest, sk, sample_id LIMIT 80)",
 )
 def rebalance_quota(spark: SparkSession, d: str) -> DataFrame:
     out = S.rebalance(_labelled(spark, d), 100, 0.2, 7)

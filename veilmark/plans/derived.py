@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilmark.functions import labels as L
+from veilmark.functions.rows import each
 from veilmark.operators import detect as D
+from veilmark.operators import intervals as I
 from veilmark.operators import masking as M
 from veilmark.operators import metrics as E
+from veilmark.operators import spans as A
 from veilmark.operators import synth as N
 from veilmark.plans import catalog as C
-from veilmark.plans.catalog import _BOTH, _merged_sql, _samples, query
+from veilmark.plans.catalog import _BOTH, _DOCS, _TOKENS, _documents, _merged_sql, _samples, query
 from veilmark.sources.shared import shared_dir
 from veilmark.sources.tables import table
 from veilmark.streaming import store
@@ -162,3 +165,27 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("session_id", "stream_id").agg(
         F.md5(said.cast("binary")).alias("hash"), F.sum("replacements").alias("replacements"), F.bool_and("context_found").alias("context_found"), F.bool_or("context_deleted").alias("context_deleted")
     )
+
+
+_MARKER = " test.user@example.com "
+_MAIL = "(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+
+
+@query(
+    "window_boundaries",
+    f"""WITH {_DOCS},
+{_TOKENS},
+m AS (SELECT doc_id, count(*) AS m FROM toks GROUP BY 1),
+f AS (SELECT doc_id, te - l AS first FROM toks WHERE i = 1), s AS (SELECT doc_id, te - l AS second FROM toks WHERE i = 113), e AS (SELECT doc_id, max(te) AS last FROM toks GROUP BY 1),
+w AS (SELECT doc_id, text, n, CASE WHEN first > 0 THEN first WHEN m > 128 THEN second ELSE last END AS b FROM docs JOIN m USING (doc_id) JOIN f USING (doc_id) JOIN e USING (doc_id) LEFT JOIN s USING (doc_id) WHERE first > 0 OR m > 128 OR last < n),
+c AS (SELECT doc_id, b, text, unnest(['cross_boundary', 'just_before', 'just_after']) AS kind, unnest([greatest(b - 11, 0), greatest(b - 25, 0), least(b + 2, n)]) AS o FROM w),
+x AS (SELECT doc_id, kind, b, text[1:o] AS a, text[o + 1:] AS z FROM c),
+k AS (SELECT doc_id, kind, b, len(regexp_extract_all(a || '{_MARKER}' || z, '{_MAIL}')) AS n, len(regexp_extract_all(a, '{_MAIL}')) + len(regexp_extract_all(z, '{_MAIL}')) AS others FROM x)
+SELECT doc_id, kind AS case, b::INT AS boundary, n::BIGINT AS predicted_count, (n - others)::BIGINT AS overlap_count, (-2 * (n - others))::BIGINT AS span_inflation FROM k""".replace("AS case", 'AS "case"'),
+)
+def window_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """An address put at the second window's beginning in three ways, detected window by window, and joined with what was found."""
+    cases = I.boundary_cases(_documents(spark, d).select("doc_id", "text"), _MARKER, 128, 16)
+    windows, find = A.chunk_windows(F.col("text"), 128, 16), lambda t: D.find_pattern(t, *C._pattern("email"))
+    found = each(cases, I.in_windows(F.col("text"), windows, find), "s", "doc_id", "case").select("doc_id", "case", "s.start", "s.end")
+    return I.boundary_report(cases, found, "doc_id")
