@@ -189,3 +189,83 @@ def window_boundaries(spark: SparkSession, d: str) -> DataFrame:
     windows, find = A.chunk_windows(F.col("text"), 128, 16), lambda t: D.find_pattern(t, *C._pattern("email"))
     found = each(cases, I.in_windows(F.col("text"), windows, find), "s", "doc_id", "case").select("doc_id", "case", "s.start", "s.end")
     return I.boundary_report(cases, found, "doc_id")
+
+
+class _Words:
+    """Whole words of a list, in any case."""
+
+    words: tuple[str, ...] = ()
+    label, score = "ORGANIZATION", 0.8
+
+    def eval(self, text: str):
+        import re
+
+        for m in re.finditer(r"(?<!\S)\S+(?!\S)", text):
+            if m[0].lower() in self.words:
+                yield m.start(), m.end(), self.label, self.score
+
+
+def _word_list(params: dict) -> type:
+    return type("Words", (_Words,), {"words": tuple(params["words"]), "label": params.get("label", "ORGANIZATION")})
+
+
+_WORD_POLICY = """
+default_policy: words
+policies: {words: {analyzer_profile: all, min_score: 0.5}}
+analyzer_profiles: {all: {analysis: {recognizers: [names, mails]}}}
+recognizer_definitions:
+  names: {type: word_list, params: {words: [the, die, une, los], label: organization}}
+  mails: {type: regex, params: {patterns: [{name: mail, label: EMAIL_ADDRESS, score: 0.9, pattern: "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"}]}}
+"""
+
+
+@query(
+    "detectors_of_ones_own",
+    f"""WITH {_DOCS},
+w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM docs),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) AS v FROM docs)
+SELECT doc_id, 'names:ORGANIZATION' AS detector, 'organization' AS canonical, count(*)::BIGINT AS n, sum(length(w))::BIGINT AS chars FROM w WHERE lower(w) IN ('the', 'die', 'une', 'los') GROUP BY 1
+UNION ALL SELECT doc_id, 'mails:EMAIL_ADDRESS', 'email', count(*), sum(length(v)) FROM m GROUP BY 1""",
+)
+def detectors_of_ones_own(spark: SparkSession, d: str) -> DataFrame:
+    """A policy with a type that is a table function of this module, beside one of patterns."""
+    import yaml
+
+    from veilmark import ship
+    from veilmark.operators import table_functions
+    from veilmark.sources.policy import parse_policy
+
+    ship(spark)
+    table_functions.register_kind("word_list", _word_list)
+    policy = parse_policy(yaml.safe_load(_WORD_POLICY))
+    rows, extra = table_functions.with_function_spans(_documents(spark, d), policy, "doc_id")
+    found = each(D.detect(rows, policy, extra=extra), "spans", "s", "doc_id")
+    return found.groupBy("doc_id", "s.detector", "s.canonical").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("s.end") - F.col("s.start")).cast("long")).alias("chars"))
+
+
+@query("observed_detection", f"{C._FOUND}\nSELECT detector, count(*)::BIGINT AS spans, (SELECT count(*) FROM documents)::BIGINT AS rows, (SELECT sum(length(text)) FROM documents)::BIGINT AS characters FROM found GROUP BY 1")
+def observed_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Spans by detector, as observed while the detected documents are written."""
+    from veilmark.operators import runs
+    from veilmark.sources.policy import load_policy
+
+    path = shared_dir(spark, "detected")
+    report = runs.run_detection(_documents(spark, d), load_policy(), lambda found: found.select("doc_id", "spans").write.parquet(path))
+    rows = [(name, n, report["rows"], report["characters"]) for name, n in report["detectors"].items()]
+    return spark.createDataFrame(rows, "detector string, spans long, rows long, characters long")
+
+
+@query("saved_dataset", "SELECT split, lang, count(*)::BIGINT AS rows, sum(length(text))::BIGINT AS chars, bool_and(true) AS equal FROM documents, (VALUES ('train'), ('copy')) t(split) GROUP BY 1, 2")
+def saved_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Documents saved as a folder of two splits of Arrow files, of which two columns are read back and held against the table."""
+    from veilmark.sources import saved
+
+    docs = table(spark, d, "documents")
+    path = shared_dir(spark, "saved")
+    saved.write_splits({"train": docs, "copy": docs.coalesce(1)}, path)
+    parts = []
+    for split in ("train", "copy"):
+        back = saved.read_saved(spark, path, split, ["doc_id", "lang", "text"]).withColumn("split", F.lit(split))
+        parts.append(back.join(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")), "doc_id", "left"))
+    equal = F.coalesce(F.sha2(F.col("text").cast("binary"), 256) == F.col("h"), F.col("text").isNull() & F.col("h").isNull())
+    return parts[0].unionByName(parts[1]).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"), F.bool_and(equal).alias("equal"))

@@ -11,6 +11,7 @@ from veilmark.functions.labels import collapse_name
 
 MODES = ("mask", "passthrough", "block")
 KINDS = ("regex", "secret_regex", "phone", "ip", "token_classifier", "entropy", "natasha_ner")
+OWN_KINDS: set[str] = set()  # types that were registered beside them
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,7 @@ def parse_policy(raw: dict | None) -> PolicyFile:
             raise ValueError(f"policy {name}: unknown mode {policies[name].mode!r}")
     detectors = {}
     for name, d in (raw.get("recognizer_definitions") or {}).items():
-        if d.get("type") not in KINDS:
+        if d.get("type") not in KINDS and d.get("type") not in OWN_KINDS:
             raise ValueError(f"detector {name}: unknown type {d.get('type')!r}")
         detectors[name] = Detector(name, d["type"], d.get("params") or {}, d.get("enabled", True))
     profiles = {n: list((p.get("analysis") or {}).get("recognizers") or []) for n, p in (raw.get("analyzer_profiles") or {}).items()}
