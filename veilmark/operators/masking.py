@@ -109,6 +109,19 @@ def unmask_items(items: DataFrame, sessions: DataFrame, allow_missing: bool = Tr
     return df.withColumns({"text": F.col("_u.text"), "replacements": F.col("_u.replaced"), "context_found": F.col("_sid").isNotNull()}).drop("_u", "_sid", "_p")
 
 
+def unmask_and_delete(items: DataFrame, sessions: DataFrame, allow_missing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``unmask_items``, and the sessions that stay: those of a request whose items ask for it (``delete_context``) go with it."""
+    gone = items.where("delete_context").select("session_id").distinct()
+    out = unmask_items(items, sessions, allow_missing).withColumn("context_deleted", F.col("context_found") & F.coalesce("delete_context", F.lit(False)))
+    return out, sessions.join(gone, "session_id", "left_anti")
+
+
+def usage(items: DataFrame, before: str = "text", after: str = "masked") -> DataFrame:
+    """Items and characters of a session, in and out; an item without a text out counts in alone."""
+    size = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0))
+    return items.groupBy("session_id").agg(F.count(F.lit(1)).alias("input_items"), size(before).alias("input_chars"), F.count(after).alias("output_items"), size(after).alias("output_chars"))
+
+
 def detect_action(findings: Column) -> Column:
     return F.when(findings > 0, "FLAGGED").otherwise("NONE")
 
@@ -145,5 +158,16 @@ def system_finding(check_id: str, category: str, severity_name: str, reason: str
     return F.struct(F.lit(check_id).alias("check_id"), F.lit(category).alias("category"), F.lit(severity_name).alias("severity"), F.lit(1.0).alias("confidence"), told.alias("evidence"))
 
 
+def analysis_failed(errors: Column | None = None) -> Column:
+    """An analysis that failed; ``errors`` (messages by detector) in full scope only."""
+    told = F.lit(None).cast("map<string,string>") if errors is None else errors
+    return system_finding("analysis", "system", "critical", "analysis_failed", detector_errors=told)
+
+
+def models_not_ready(error: Column | None = None) -> Column:
+    told = F.lit(None).cast("string") if error is None else F.coalesce(error, F.lit(""))
+    return system_finding("models", "system", "critical", "models_not_ready", load_error=told)
+
+
 def missing_session(session_id: Column) -> Column:
     return system_finding("reversible_mask_session", "session", "high", "missing_or_expired_session", session_id=session_id)

@@ -326,6 +326,13 @@ def chunk_windows(text: Column, size: int, overlap: int | None = None) -> Column
     return let(tokens(text), lambda t: F.when(F.size(t) == 0, pair(F.lit(0), n)).otherwise(let(windows(t), covering)))
 
 
+def context_lengths(model_positions: Column, tokenizer_max: Column, specials: int = 2) -> Column:
+    """``context_length`` of many models."""
+    sensible = F.when(tokenizer_max.between(2, 100_000), tokenizer_max)
+    usable = F.coalesce(F.when(model_positions != 0, model_positions), sensible, F.lit(512))
+    return F.greatest(F.lit(2), usable - specials)
+
+
 def context_length(model_positions: int | None, tokenizer_max: int | None, specials: int = 2) -> int:
     """Tokens of text in a window of a model: its positions, else a sensible maximum of the tokenizer, without special tokens."""
     usable = model_positions or (tokenizer_max if tokenizer_max and 2 <= tokenizer_max <= 100_000 else None) or 512

@@ -803,4 +803,4 @@ def stream_restore(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("session_id", "stream_id").agg(F.md5(said.cast("binary")).alias("hash"), F.sum("replacements").alias("replacements"))
 
 
-from veilmark.plans import derived, planted, wider  # noqa: E402, F401  they register their queries
+from veilmark.plans import derived, further, planted, wider  # noqa: E402, F401  they register their queries

@@ -253,10 +253,9 @@ def token_classifier(spark: SparkSession, d: str) -> DataFrame:
 def mask_long_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Three sessions of very many items, each with an original of its own: every text comes back as it was."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 3).alias("session"), "o_orderkey")
-    ranks = F.row_number().over(C.S.W.partitionBy("session").orderBy("o_orderkey")) - 1  # three sessions of bounded size, as a request has
     mail = F.concat(F.lit("u"), F.col("o_orderkey").cast("string"), F.lit("@example.com"))
     span = A.span(F.lit(5), F.lit(5) + F.length(mail), F.lit("EMAIL_ADDRESS"), F.lit(0.96), F.lit("test"), F.lit("email"))
-    items = orders.select("session", F.col("session").cast("string").alias("session_id"), ranks.alias("item_idx"), F.col("o_orderkey").cast("string").alias("item_id"), F.concat(F.lit("mail "), mail).alias("text"), F.array(span).alias("spans"))
+    items = orders.select("session", F.col("session").cast("string").alias("session_id"), F.col("o_orderkey").cast("int").alias("item_idx"), F.col("o_orderkey").cast("string").alias("item_id"), F.concat(F.lit("mail "), mail).alias("text"), F.array(span).alias("spans"))
     masked, known = M.mask_items(items.withColumn("original", F.col("text")), "mask", "GR", "external", 3600)
     pairs = known.select("session_id", F.explode("placeholders").alias("p"))  # a placeholder names one original, whatever else is in the session
     back = masked.join(pairs, (masked["session_id"] == pairs["session_id"]) & (F.concat(F.lit("mail "), F.col("p.placeholder")) == F.col("text")))

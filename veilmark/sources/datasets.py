@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -107,6 +108,25 @@ def write_samples(df: DataFrame, path: str, kind: str = "parquet") -> None:
     (df.write.mode("overwrite").json(path) if kind == "jsonl" else df.write.mode("overwrite").parquet(path))
 
 
+def write_with_manifest(df: DataFrame, path: str, kind: str, meta: dict) -> None:
+    """A data set in ``data``, the names, lengths and digests of its files in ``manifest``, and what made it in ``meta``."""
+    spark, root = df.sparkSession, path.rstrip("/")
+    write_samples(df, f"{root}/data", kind)
+    manifest = checksum_manifest(spark, f"{root}/data").where(~F.col("name").rlike("(^|/)[_.]"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")  # a row a file
+    told = json.dumps(meta | {"columns": df.columns, "kind": kind}, ensure_ascii=False, sort_keys=True)
+    spark.range(1, numPartitions=1).select(F.lit(told).alias("value")).write.mode("overwrite").text(f"{root}/meta")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Files that are missing, new, or differ from the manifest, with what is wrong; none if the data set is whole."""
+    root = path.rstrip("/")
+    now = checksum_manifest(spark, f"{root}/data").where(~F.col("name").rlike("(^|/)[_.]")).select("name", F.col("sha256").alias("now"))
+    then = spark.read.schema("name string, length long, sha256 string").json(f"{root}/manifest").select("name", F.col("sha256").alias("then"))
+    wrong = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "new").when(F.col("now") != F.col("then"), "changed")
+    return now.join(then, "name", "full").select("name", wrong.alias("wrong")).where("wrong is not null")
+
+
 def checksum_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path below a folder, length and SHA-256 of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
