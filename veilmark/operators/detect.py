@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.labels import detection_label_name
 from veilmark.functions.texts import card_signal, cut, digits, entropy, let
+from veilmark.operators import phones
 from veilmark.operators.gates import may_match, telling
 from veilmark.operators.spans import MASKER_DEFAULT, MASKER_RANK, NORMALIZER_DEFAULT, NORMALIZER_RANK, RANGES, SPANS, drop_contained, normalized, running_ranges, span, union_merge
 from veilmark.sources.policy import Detector, Pattern, PolicyFile
@@ -26,10 +27,6 @@ MIN_PHONE_DIGITS = 6
 #: Characters that no text should have, as Unicode keeps them for uses like this one; where a text has the first, the second stands for it.
 MARK, INSTEAD = "\ufdd0", "\ufdd1"
 
-#: Country code and national lengths of the regions that phones are looked for in (a reduced rule set, see README).
-PHONE_REGIONS = {"RU": ("7", [10]), "KZ": ("7", [10]), "UA": ("380", [9]), "US": ("1", [10]), "GB": ("44", [10]), "DE": ("49", [10, 11]), "PL": ("48", [9])}
-PHONE_CANDIDATE = r"(?<![\d\p{L}])\+\d(?:[ ().-]*\d){8,14}(?![\d\p{L}])"
-
 _NEEDS = {"email": "@", "jwt": "eyJ", "private_key_block": "-----BEGIN ", "aws_access_key": "AKIA", "slack_token": "xox", "github_token": "gh", "url_http": "://"}
 _octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -112,20 +109,21 @@ def find_entropy(text: Column, params: dict, detector: str) -> Column:
     return spans_of(good, "API_KEY", float(params.get("score", 0.91)), detector)
 
 
-def is_phone(number: Column, regions: list[str]) -> Column:
-    """Whether digits with a leading country code have a length that one of the regions uses."""
-    fits = F.lit(False)
-    for code, lengths in {PHONE_REGIONS[r][0]: PHONE_REGIONS[r][1] for r in regions if r in PHONE_REGIONS}.items():
-        fits = fits | (F.startswith(number, F.lit(code)) & F.length(number).isin([len(code) + n for n in lengths]))
-    return fits
+def is_phone(number: Column, regions: list[str], national: bool = False) -> Column:
+    """Whether digits are a number of one of the regions: with the country code, or national behind a trunk digit."""
+    return number.rlike(phones.valid(tuple(regions), national))
 
 
 def find_phones(text: Column, params: dict, detector: str) -> Column:
-    least = max(MIN_PHONE_DIGITS, int(params.get("min_digits", 10)))
-    number = lambda r: digits(cut(text, r["start"], r["end"]))
-    found = matches(text, PHONE_CANDIDATE, F.contains(text, F.lit("+")))
-    good = F.filter(found, lambda r: (F.length(number(r)) >= least) & is_phone(number(r), list(params.get("regions", PHONE_REGIONS))))
-    return spans_of(good, "PHONE_NUMBER", float(params.get("score", 0.92)), detector)
+    """International numbers, and national ones as the regions write them."""
+    least, regions = max(MIN_PHONE_DIGITS, int(params.get("min_digits", 10))), list(params.get("regions", phones.PLANS))
+    own = lambda r: cut(text, r["start"], r["end"])
+    long = lambda r: F.length(digits(own(r))) >= least
+    abroad = F.filter(matches(text, phones.INTERNATIONAL, F.contains(text, F.lit("+"))), lambda r: long(r) & is_phone(digits(own(r)), regions))
+    # nine digits are a whole number where none are written before them
+    local = lambda r: (long(r) & is_phone(digits(own(r)), regions, national=True)) | own(r).rlike(phones.written(tuple(regions)))
+    here = F.filter(matches(text, phones.NATIONAL, text.rlike("\\d")), local)
+    return spans_of(F.concat(abroad, here), "PHONE_NUMBER", float(params.get("score", 0.92)), detector)
 
 
 def _patterns(text: Column, d: Detector) -> list[Column]:

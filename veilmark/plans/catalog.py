@@ -207,7 +207,7 @@ found AS (
   UNION ALL SELECT lang, 'en_pii_regex:SWIFT_CODE', 'identifier', 0.78 FROM (SELECT lang, unnest(regexp_split_to_array(text, '[^\pL\pN_]+')) AS v FROM r) WHERE regexp_full_match(v, '[A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?')
   UNION ALL SELECT lang, 'ru_pii_regex:EMAIL_ADDRESS', 'email', 0.96 FROM (SELECT lang, unnest(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}')) AS v FROM r)
   UNION ALL SELECT lang, 'ip_address_lib', 'ip', 0.995 FROM i WHERE regexp_full_match(v, '{_OCTET}(\.{_OCTET}){{3}}(/([0-9]|[12][0-9]|3[0-2]))?')
-  UNION ALL SELECT lang, 'phone_number_lib', 'phone', 0.92 FROM q WHERE length(n) >= 10 AND ((n[1] IN ('1', '7') OR n[1:2] = '48') AND length(n) = 11 OR n[1:3] = '380' AND length(n) = 12 OR n[1:2] IN ('44', '49') AND length(n) = 12 OR n[1:2] = '49' AND length(n) = 13)
+  UNION ALL SELECT lang, 'phone_number_lib', 'phone', 0.92 FROM q WHERE regexp_full_match(n, '1[2-9][0-8][0-9][2-9][0-9]{{6}}|7[346789][0-9]{{9}}|380[3-9][0-9]{{8}}|44(1[0-9]{{8,9}}|[2379][0-9]{{9}}|5[56][0-9]{{8}}|8[0-9]{{8,9}})|49(15[0-9]{{9}}|1[67][0-9]{{8,9}}|[2-9][0-9]{{6,10}})|48[1-9][0-9]{{8}}')
   UNION ALL SELECT lang, 'ru_pii_regex:CREDIT_CARD', 'payment_card', CASE WHEN {_luhn("n")} THEN 0.83 ELSE 0.675 END FROM c WHERE length(n) BETWEEN 13 AND 19 AND len(list_distinct(string_split(n, ''))) > 1
   UNION ALL SELECT lang, 'high_entropy_secret', 'secret', 0.9 FROM (SELECT lang, unnest(regexp_extract_all(text, '\b[A-Za-z0-9_\-/+=]{{24,}}\b')) AS v FROM r) WHERE {_bits("v")} >= 3.7)"""
 

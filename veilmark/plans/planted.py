@@ -129,8 +129,12 @@ for _name, _cases in FAMILIES.items():
 
 # --- detectors that are no patterns ----------------------------------------------------------------------------------
 
-_PHONES = {"+7 (9": sql("'+7 (9'", num(2), "') '", num(3), "'-'", num(4, 31)), "+44": sql("'+44 20 7'", num(3), "' '", num(4, 31)), "+1": sql("'+1-212-'", num(3), "'-'", num(4, 31))}
-_NO_PHONES = {"+999": sql("'+999 '", num(9)), "short": sql("'+7 9'", num(4)), "bare": sql("'79'", num(9))}
+_PHONES = {"+7 (9": sql("'+7 (9'", num(2), "') '", num(3), "'-'", num(4, 31)), "+44": sql("'+44 20 7'", num(3), "' '", num(4, 31)), "+1": sql("'+1-212-'", one(0, "23456789"), num(2), "'-'", num(4, 31)),
+    "RU": sql("'8 (9'", num(2), "') '", num(3), "'-'", num(2, 31), "'-'", num(2, 57)), "KZ": sql("'8 7'", num(2), "' '", num(7, 31)), "UA": sql("'04'", num(1), "' '", num(3), "'-'", num(2, 31), "'-'", num(2, 57)), "GB": sql("'020 7'", num(3), "' '", num(4, 31)),
+    "DE": sql("'0151 '", num(8, 31)), "US": sql("'('", one(0, "23456789"), "'1'", num(1), "') '", one(3, "23456789"), num(2), "'-'", num(4, 31)), "PL": sql("'512 '", num(3), "' '", num(3, 31)),
+}
+_NO_PHONES = {"+999": sql("'+999 '", num(9)), "short": sql("'+7 9'", num(4)), "bare": sql("'79'", num(9)), "RU area": sql("'8 (1'", num(2), "') '", num(3), "'-'", num(4, 31)), "US area": sql("'(1'", num(2), "') 555-'", num(4, 31)), "US bare": sql("'212555'", num(4, 31)),
+    "PL zero": sql("'012 '", num(3), "' '", num(3, 31)), "UA area": sql("'01'", num(1), "' '", num(5), "' '", num(1, 31)), "date": sql("'03-04-19'", num(2)), "longer": sql("'020 7'", num(3), "' '", num(4, 31), "'-'", num(4))}
 _IPS = {"v4": sql("'10.'", _BYTE(7), "'.'", _BYTE(31), "'.'", _BYTE(57)), "cidr": sql("'10.'", _BYTE(7), "'.0.0/16'"), "v6": sql("'2001:db8::'", _HEX), "mapped": sql("'::ffff:10.0.0.'", _BYTE(57))}
 _NO_IPS = {"dots": "'1.2.3'", "big": sql("'300.1.1.'", _BYTE(57)), "time": sql("'12:'", num(2)), "twice": sql("'1::2::'", _HEX), "bits": sql("'10.0.0.1/33'")}
 
