@@ -85,6 +85,36 @@ def test_token_files(spark, docs, rows, none, tmp_path):
     assert token_files.digests(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_files_have_what_readers_skip_by(spark, tmp_path):
+    """Stripe footers with Bloom filters and row indexes on the ids, runs of integers, and strides that a search does not read."""
+    df = spark.range(0, 40_000, 2, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("one and two").alias("text"))
+    token_files.write_tokens(df, f"file://{tmp_path}/o", VOCABULARY, stripe_mb=1, stride=1_000)
+    jvm = spark._jvm
+    conf, kinds, strides = spark._jsc.hadoopConfiguration(), set(), set()
+    for f in tmp_path.glob("o/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        strides.add(reader.getRowIndexStride())
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds |= {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            assert {footer.getColumns(c).getKind().toString() for c in (1, 2)} <= {"DIRECT_V2", "DIRECT"}
+        rows.close()
+    assert strides == {1_000} and (1, "BLOOM_FILTER_UTF8") in kinds and (1, "ROW_INDEX") in kinds and (2, "BLOOM_FILTER_UTF8") not in kinds
+
+    def scanned(ids):
+        q = token_files.read_tokens(spark, f"file://{tmp_path}/o", ids).select("doc_id")
+        n = q.count()
+        plan = q._jdf.queryExecution().executedPlan()
+        list(q.toLocalIterator())
+        leaf = plan.collectLeaves().head()
+        return n, leaf.metrics().apply("numOutputRows").value()
+
+    found, read = scanned([20_000])
+    missing, unread = scanned([20_001])  # within the bounds of a stride, but in no Bloom filter
+    assert (found, missing) == (1, 0) and read <= 4_096 and unread < 20_000
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -750,6 +780,37 @@ def test_sharding(spark, docs, rows, none):
     assert Counter(r["shard"] for r in sharding.shard_rows(spark.range(3), 7).collect()) == Counter([0, 1, 2])
 
 
+def test_order_is_uniform(spark):
+    """Neither shard nor slot tells where a row was: shares of each input half, and of pairs whose order is turned round."""
+    n, shards = 6_000, 5
+    rows = sharding.shard_rows(spark.range(n, numPartitions=6), shards, seed=8).collect()
+    for k in range(shards):
+        own = [r["id"] for r in sorted((r for r in rows if r["shard"] == k), key=lambda r: r["slot"])]
+        assert abs(sum(i < n / 2 for i in own) - len(own) / 2) < 5 * math.sqrt(len(own)) / 2
+        turned = sum(a > b for a, b in zip(own, own[1:]))
+        assert abs(turned - len(own) / 2) < 5 * math.sqrt(len(own) / 12) + 1
+        first = own[: len(own) // 2]
+        assert abs(sum(i < n / 2 for i in first) - len(first) / 2) < 5 * math.sqrt(len(first)) / 2
+
+
+def test_packing_against_a_lower_bound_and_first_fit(spark):
+    """Sequences are at most those of first fit on falling lengths, and at least the tokens ask for."""
+    r = random.Random(6)
+    for _ in range(6):
+        lengths = [min(256, int(r.paretovariate(1.1) * 20)) for _ in range(400)]
+        counts = Counter(lengths)
+        got = max(s + (b - a - 1) // k for _, a, b, s, k, _ in packing.plan(counts, (256, 256, 256.0**2))) + 1
+        open_: list[int] = []
+        for n in sorted(lengths, reverse=True):
+            for i, room in enumerate(open_):
+                if room >= n:
+                    open_[i] -= n
+                    break
+            else:
+                open_.append(256 - n)
+        assert -(-sum(lengths) // 256) <= got <= len(open_)
+
+
 def test_communication_matrix_has_exact_margins_and_mean():
     rows = [5, 0, 40, 17]
     draws = np.stack([sharding.communication_matrix(rows, 6, s) for s in range(400)])

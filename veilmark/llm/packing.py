@@ -11,8 +11,9 @@ Pieces get their number within their length without a sort: each writing task nu
 (length, task) are summed by a window per length over tasks. A hot length (full pieces) is thus no hot task:
 its rows stay where they were written, and only counts meet.
 
-Defined cases: null text is empty and gives one piece, the end id; only documents of more ids than ``tokens`` are cut;
-repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is empty and gives one piece, the end id; only documents of more ids than ``tokens`` are cut, and very long ones
+into as many pieces as they need; pieces of equal length are alike, so ties need no order; repeated rows are packed each; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

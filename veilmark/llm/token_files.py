@@ -9,8 +9,9 @@ The only exchange is the range partitioning of the texts, by ``doc_id`` and then
 that rows of one hot id spread too. ``row_start`` counts ids within the file; the sum over the files before
 it is added on reading, from one small aggregate over the pruned ``n_tokens`` column.
 
-Defined cases: null or empty text gives only the end id; null ``doc_id`` sorts first; repeated rows each
-give a row; an empty table gives an empty folder and no rows; other columns of the input are ignored.
+Defined cases: null or empty text gives only the end id; null ``doc_id`` sorts first; rows of equal ``doc_id`` are ordered by a hash of their text, and
+repeated rows each give a row; very long texts are one row of as many ids; an empty table gives an empty folder and no rows; other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
