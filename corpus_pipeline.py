@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: a null text is an empty one, which the classifier may keep and the rules reject; rows that share an id are rows of their own, and
+of equal or nearly equal texts one row stays, whatever their ids; ties of a group go to the least id; texts are read whole at any length; an empty table
+gives no rows; further columns pass through to the packing stage, whatever their names.
 """
 
 from __future__ import annotations
