@@ -30,17 +30,19 @@ from veilmark.llm.tokens import default_vocabulary, encoder
 
 FILE_SCHEMA = "doc_id long, n_tokens long, row_start long, part int, tokens array<int>"
 END_ID = 2
+MEMO_ENTRIES = 60_000  # chunks that a worker remembers, fewer than where no file is written beside it
+SLICE = 16  # documents that are encoded and written together
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, stripe_mb: int = 64, stride: int = 2_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, stripe_mb: int = 64, stride: int = 2_000, memo: int = MEMO_ENTRIES) -> None:
     """Encodes ``docs(doc_id, text)`` and writes the ORC files below ``path``."""
     tail = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, start = encoder(vocabulary).ids_of, TaskContext.get().partitionId(), 0
+        ids_of, part, start = encoder(vocabulary, memo).ids_of, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
                 rows = [x + tail for x in ids_of(piece.column("text").to_pylist())]
                 n = np.array([len(r) // 4 for r in rows], dtype=np.int64)
                 ends = np.cumsum(n)
