@@ -30,7 +30,7 @@ from veilmark.llm.tokens import default_vocabulary, encoder
 
 FILE_SCHEMA = "doc_id long, n_tokens long, row_start long, part int, tokens array<int>"
 END_ID = 2
-MEMO_ENTRIES = 300_000  # chunks that a worker remembers, fewer than where no file is written beside it
+MEMO_ENTRIES = 450_000  # chunks in each of the two generations that a worker remembers
 SLICE = 16  # documents that are encoded and written together
 
 
