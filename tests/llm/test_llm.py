@@ -843,3 +843,19 @@ def test_matrix_is_written_in_slices(spark, docs, rows, monkeypatch):
     out = sharding.shard_rows(docs.repartition(5), 3).collect()
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
     assert max(Counter(r["shard"] for r in out).values()) - min(Counter(r["shard"] for r in out).values()) <= 1
+
+
+def test_connected_starts_from_a_task_s_own_stars(spark, monkeypatch):
+    """Links of one task are stars at once, a chain over many tasks needs no more steps than its tasks; a round adds to the last one's stars."""
+    names, plain = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: names.append(name) or plain(df, name))
+    chain = [(i, i + 1) for i in range(300)]
+    got = dict(jaccard_join.connected(spark.createDataFrame(chain, "u long, v long").coalesce(1)).collect())
+    assert got == {i: 0 for i in range(301)} and names == ["edges"]
+    monkeypatch.setattr(jaccard_join, "TOLD", 8)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 20)
+    dealt = spark.createDataFrame(random.Random(5).sample(chain, 300), "u long, v long").repartition(12)
+    roots = jaccard_join.connected(dealt)
+    assert Counter(map(tuple, roots.collect())) == Counter((i, 0) for i in range(301))
+    more = spark.createDataFrame([(300, -4), (900, 901)], "u long, v long").union(roots)
+    assert Counter(map(tuple, jaccard_join.connected(more).collect())) == Counter([*((i, -4) for i in [-4, *range(301)]), (900, 900), (901, 900)])

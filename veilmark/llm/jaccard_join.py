@@ -18,7 +18,8 @@ is lost and no group meets as a whole:
    rounds a surviving pair counts as connected within its part (a small block, or some of the large blocks of a pair of chunks), so a part
    tells no more pairs than it has components. The last round tells all surviving pairs between components. Large blocks are cut into chunks of ``CHUNK``
    classes; every pair of chunks meets in a task of its own.
-4. Connected components by alternating large-star and small-star steps, each written to the shared folder.
+4. Connected components: a task's links become stars first; then, until all are stars, large-star and small-star steps alternate, each
+   pair written to the shared folder. A later round starts from the last one's stars and its own links.
 
 A group of copies or near copies is thus one component after the first step and takes no part in the second.
 
@@ -435,21 +436,41 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # --- components ------------------------------------------------------------------------------------------------------
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: each node with the least one that these edges reach, ``TOLD`` nodes at a time."""
+
+    def told() -> pa.RecordBatch:
+        return _pairs_batch([(i, union.find(i)) for i in list(union.up) if union.find(i) != i])
+
+    union = Union()
+    for b in _slices(batches, 10_000):
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            union.join(u, v)
+        if len(union.up) > TOLD:
+            yield told()
+            union = Union()
+    if union.up:
+        yield told()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one least neighbour or is one, but not both."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.col("v").alias("to")))
+    return edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.min("e.to").alias("_a"), F.max("e.to").alias("_b")).where("_a <> _b").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of the nodes in ``edges(u, v)``; ``root`` is the least node that is reachable."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    schema = "u long, v long"
+    edges = written(edges.mapInArrow(_stars, schema).distinct(), "edges")
+    while not _are_stars(edges):
+        few = F.broadcast if edges.count() <= BROADCAST_ROWS else lambda df: df  # then edges stay where they are
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(few(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state:
-            break
-        state = now
+        small = large.join(few(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = written(small.select("e.u", "e.v").where("u <> v").mapInArrow(_stars, schema).distinct(), "edges")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -480,18 +501,17 @@ def _rooted(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         return written(_checked(pairs, _whole_sets(docs, classes, pairs, words, seed), percent).distinct(), "links")
 
-    links, roots = None, None
+    roots = None
     for round_ in range(ROUNDS + 2):
         mixed, last = _mixed(shared, roots), round_ == ROUNDS + 1
         pairs = _some_pairs(mixed, maps, percent, 0) if round_ == 0 else _all_pairs(mixed, maps, percent, not last, round_)
         new = confirmed(written(pairs, "pairs"))
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = written(connected(links), "roots")
+            roots = written(connected(new if roots is None else new.union(roots)), "roots")
         elif 0 < round_ <= ROUNDS:  # nothing new to connect: go on to the last round
             new = confirmed(written(_all_pairs(mixed, maps, percent, False), "pairs"))
             if not new.isEmpty():
-                roots = written(connected(new if links is None else links.union(new)), "roots")
+                roots = written(connected(new if roots is None else new.union(roots)), "roots")
             break
     if roots is None:
         roots = classes.select("node", F.col("node").alias("root")).limit(0)
