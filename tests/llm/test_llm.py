@@ -859,3 +859,13 @@ def test_connected_starts_from_a_task_s_own_stars(spark, monkeypatch):
     assert Counter(map(tuple, roots.collect())) == Counter((i, 0) for i in range(301))
     more = spark.createDataFrame([(300, -4), (900, 901)], "u long, v long").union(roots)
     assert Counter(map(tuple, jaccard_join.connected(more).collect())) == Counter([*((i, -4) for i in [-4, *range(301)]), (900, 900), (901, 900)])
+
+
+def test_words_in_capitals_are_remembered_once():
+    """The ids are the library's for every character below U+0100 and some above, in any case and place."""
+    own, library = tokens.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    own.ids_of(["Haus haus HAUS \u00c4ra \u00e4ra"])
+    assert set(own._memo) == {"haus", "\u00e4ra"}
+    texts = [f"{c} {c}b b{c} A{c}B. {c}. {c}'S" for c in map(chr, [*range(0x21, 0x180), 0x130, 0x3A3, 0x212A, 0x301])]
+    texts += ["IT'S Don'T \u00c9T\u00c9, A\u00aaB \u00b5M\u00b2 \u00df\u1e9e", "\u039f\u0394\u039f\u03a3 A", "E\u0301A \u00c9A"]
+    assert own.ids_of(texts) == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
