@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from veilmark.functions.rows import each
 from veilmark.operators import detect, intervals, metrics, sampling, spans
 
 ROWS = "sample_id string, start int, end int, tag int"
@@ -43,6 +45,37 @@ def test_windows_cut_nothing_at_their_edges(spark):
     assert [text[p["start"] : p["end"]] for p in got] == ["me@mail.example.com"]
 
 
+def test_boundaries_of_a_long_text(spark):
+    """One text of very many windows, in seconds; an address is found once, in whichever window it is whole."""
+    words = [f"me{k}@mail.example.com" if k % 50 == 0 else "word" for k in range(150_000)]
+    text = "\n" + " ".join(words)
+    docs = spark.createDataFrame([(1, text), (2, "one window"), (3, None)], "id long, text string")
+    find = lambda t: detect.spans_of(detect.matches(t, "[a-z0-9.]+@[a-z.]+"), "EMAIL", 0.9, "d")
+    begun = time.perf_counter()
+    cases = intervals.boundary_cases(docs, " x@y.zz ", 128, 16)
+    found = each(cases, intervals.in_windows(F.col("text"), spans.chunk_windows(F.col("text"), 128, 16), find), "s", "id", "case").select("id", "case", "s.start", "s.end")
+    got = sorted(map(tuple, intervals.boundary_report(cases, found, "id").collect()))
+    took = time.perf_counter() - begun
+    assert got == [(1, case, 1, 3_001, 1, -2) for case in ("cross_boundary", "just_after", "just_before")] and took < 20
+
+
+def test_report_reads_predictions_once(spark):
+    from pyspark.sql import Row
+
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    cases = spark.createDataFrame([(1, "a", 5, 5, 9), (1, "b", 5, 1, 5), (2, "a", 3, 3, 7)], "id long, case string, boundary int, start int, end int")
+    found = spark.createDataFrame([(1, "a", 0, 6), (1, "a", 8, 9), (1, "a", 9, 12), (1, "a", 6, 6), (1, "b", 5, 7), (9, "a", 0, 1)], "id long, case string, start int, end int").mapInPandas(told, "id long, case string, start int, end int")
+    out = sorted(intervals.boundary_report(cases, found, "id").collect())
+    row = Row("id", "case", "boundary", "predicted_count", "overlap_count", "span_inflation")
+    assert out == [row(1, "a", 5, 4, 2, -1), row(1, "b", 5, 1, 0, 0), row(2, "a", 3, 0, 0, 0)] and read.value == 6
+
+
 def plain_balance(rows, size, seed, least):
     key = lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i)
     order = sorted((i for i, _ in rows), key=key)

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.rows import each
-from veilmark.functions.texts import cut
+from veilmark.functions.texts import cut, let
 from veilmark.operators.plugins import merge_windows
-from veilmark.operators.spans import chunk_windows, overlaps
+from veilmark.operators.spans import blocks, chunk_windows, overlaps
 
 WIDTH = 4_096
 
@@ -44,9 +44,17 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str = "sample_id", how:
 
 
 def in_windows(text: Column, windows: Column, find) -> Column:
-    """Spans that ``find(text)`` gives in each window by itself, in the text's offsets and merged as a model's are."""
-    raw = lambda w: F.transform(find(cut(text, w["start"], w["end"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score")))
-    return merge_windows(windows, F.transform(windows, raw))
+    """Spans that ``find(text)`` gives in each window by itself, in the text's offsets and merged as a model's are.
+
+    A cut counts characters from the text's beginning, so windows are cut out of the text of their block, and each only once.
+    """
+    own = lambda t: F.transform(find(t), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["score"].alias("score")))
+
+    def of_block(b: Column) -> Column:
+        first = F.get(b, 0)["start"]
+        return let(cut(text, first, F.array_max(F.transform(b, lambda w: w["end"]))), lambda t: F.transform(b, lambda w: let(cut(t, w["start"] - first, w["end"] - first), own)))
+
+    return let(windows, lambda ws: merge_windows(ws, F.flatten(F.transform(blocks(ws, "struct<start:int,end:int>"), of_block))))
 
 
 def boundary_cases(docs: DataFrame, marker: str, size: int, overlap: int | None = None, text: str = "text") -> DataFrame:
@@ -55,11 +63,15 @@ def boundary_cases(docs: DataFrame, marker: str, size: int, overlap: int | None
     ``docs`` with ``case``, ``boundary``, ``start`` and ``end`` (of the marker) and the changed text; documents of one window have no boundary.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    # the second window begins within the first tokens of a text, or where these end
+    begun = F.regexp_extract(t, f"^\\s*(?>(?:\\S+\\s*){{1,64}}){{0,{size // 64 + 1}}}", 0)
     # windows that only cover gaps begin where another ends; the second full one begins before the first ends, or after a gap
-    starts = docs.withColumn("_w", chunk_windows(t, size, overlap)).where(F.size("_w") > 1).withColumn("boundary", F.col("_w")[1]["start"]).drop("_w")
+    second = let(chunk_windows(begun, size, overlap), lambda w: F.get(w, 1)["start"])
+    starts = docs.withColumn("boundary", second)
     n = len(marker)
     offsets = {"cross_boundary": F.greatest(F.lit(0), F.col("boundary") - n // 2), "just_before": F.greatest(F.lit(0), F.col("boundary") - n - 2), "just_after": F.least(F.col("boundary") + 2, F.length(t))}
-    rows = each(starts, F.array(*(F.struct(F.lit(case).alias("case"), at.cast("int").alias("start")) for case, at in offsets.items())), "_c", *docs.columns, "boundary")
+    ways = F.array(*(F.struct(F.lit(case).alias("case"), at.cast("int").alias("start")) for case, at in offsets.items()))
+    rows = each(starts, F.when(F.col("boundary").isNotNull(), ways), "_c", *docs.columns, "boundary")
     changed = F.concat(F.substring(t, F.lit(1), F.col("_c.start")), F.lit(marker), F.substring(t, F.col("_c.start") + 1, F.length(t)))
     return rows.select(*(c for c in docs.columns if c != text), "boundary", "_c.case", "_c.start", (F.col("_c.start") + n).alias("end"), changed.alias(text))
 
@@ -67,17 +79,15 @@ def boundary_cases(docs: DataFrame, marker: str, size: int, overlap: int | None
 def boundary_report(cases: DataFrame, predictions: DataFrame, on: str) -> DataFrame:
     """By case: how many predictions there are, how many overlap the marker, and how much longer they are than it.
 
-    Markers and predictions are tables of their own (``on``, ``case``, ``start``, ``end``), joined where they overlap.
+    Markers and predictions are tables of their own (``on``, ``case``, ``start``, ``end``). Each is read once: a case's predictions are one list, and what
+    overlaps the marker is told in the case's row.
     """
     key = F.concat_ws("\x1f", F.col(on).cast("string"), F.col("case")).alias("sample_id")
-    marks = cases.select(key, "start", "end")
-    found = predictions.select(key, "start", "end")
-    size = lambda c: F.col(f"{c}.end") - F.col(f"{c}.start")
-    met = overlap_join(marks, found).select(F.col("left.sample_id").alias("sample_id"), (size("right") - size("left")).alias("inflation"))
-    met = met.groupBy("sample_id").agg(F.count(F.lit(1)).alias("overlap_count"), F.sum("inflation").alias("span_inflation"))
-    all_of = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("predicted_count"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = cases.select(on, "case", "boundary", key).join(all_of, "sample_id", "left").join(met, "sample_id", "left")
-    return out.select(on, "case", "boundary", zero("predicted_count"), zero("overlap_count"), zero("span_inflation"))
-
-
+    found = predictions.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_found"))
+    size = lambda x: (x["end"] - x["start"]).cast("long")
+    mark = F.struct("start", "end")
+    rows = cases.select(on, "case", "boundary", "start", "end", key).join(found, "sample_id", "left")
+    rows = rows.withColumn("_found", F.coalesce("_found", F.array().cast("array<struct<start:int,end:int>>")))
+    rows = rows.withColumn("_met", F.filter("_found", lambda s: (s["end"] > s["start"]) & overlaps(s, mark)))
+    inflation = F.aggregate("_met", F.lit(0).cast("long"), lambda a, s: a + size(s) - size(mark))
+    return rows.select(on, "case", "boundary", F.size("_found").cast("long").alias("predicted_count"), F.size("_met").cast("long").alias("overlap_count"), inflation.alias("span_inflation"))

@@ -307,15 +307,20 @@ def normalization_stats(before: Column, after: Column, merged: Column) -> Column
 
 
 def chunk_windows(text: Column, size: int, overlap: int | None = None) -> Column:
-    """Windows of ``size`` tokens, ``overlap`` of them shared, and windows for what no token covers; empty text has one empty window."""
+    """Windows of ``size`` tokens, ``overlap`` of them shared, and windows for what no token covers; empty text has one empty window.
+
+    Windows begin and end at multiples of a number of tokens, so the text is cut into pieces of as many, not into tokens.
+    """
     overlap = min(size - 1, max(16, size // 8)) if overlap is None else max(0, min(overlap, size - 1))
     n, step, none = F.length(text), size - overlap, F.array().cast(RANGES)
+    per = max(k for k in range(1, 65) if size % k == 0 and step % k == 0)  # an expression goes as deep as a piece has tokens
     pair = lambda a, b: F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))).cast(RANGES)
 
-    def windows(t: Column) -> Column:
-        count = F.when(F.size(t) <= size, 1).otherwise(F.ceil((F.size(t) - size) / step).cast("int") + 1)
-        first = F.transform(F.sequence(F.lit(0), count - 1), lambda k: k * step)
-        return F.transform(first, lambda a: F.struct(F.get(t, a)["start"].alias("start"), F.get(t, F.least(a + size, F.size(t)) - 1)["end"].alias("end")))
+    def windows(parts: Column, at: Column) -> Column:
+        last = F.size(parts) - 1
+        count = F.when(last < size // per, 1).otherwise(F.ceil((last + 1 - size // per) / (step // per)).cast("int") + 1)
+        end = lambda k: F.get(at, k)["start"] + F.length(F.rtrim(F.get(parts, k), F.lit(" \t\n\x0b\f\r")))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(F.get(at, k * (step // per))["start"].alias("start"), let(F.least(k * (step // per) + size // per - 1, last), end).alias("end")))
 
     def covering(w: Column) -> Column:
         before = lambda i: F.when(i == 0, 0).otherwise(F.get(w, i - 1)["end"])
@@ -323,7 +328,12 @@ def chunk_windows(text: Column, size: int, overlap: int | None = None) -> Column
         last = F.try_element_at(w, F.lit(-1))["end"]
         return F.concat(F.flatten(F.transform(w, with_gap)), F.when(last < n, pair(last, n)).otherwise(none))
 
-    return let(tokens(text), lambda t: F.when(F.size(t) == 0, pair(F.lit(0), n)).otherwise(let(windows(t), covering)))
+    def of(parts: Column) -> Column:
+        gap = lambda i: F.when(i == 0, F.length(F.regexp_extract(text, "^\\s*", 0))).otherwise(0)
+        at = running_ranges(F.transform(parts, lambda p, i: F.struct(gap(i).alias("g"), F.length(p).alias("m"))))
+        return F.when(F.size(parts) == 0, pair(F.lit(0), n)).otherwise(let(let(at, lambda a: windows(parts, a)), covering))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?:\\S+\\s*){{1,{per}}}"), F.lit(0)), of)
 
 
 def context_lengths(model_positions: Column, tokenizer_max: Column, specials: int = 2) -> Column:
