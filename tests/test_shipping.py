@@ -34,3 +34,9 @@ def test_detector_of_ones_own(shipped, tmp_path):
 
     words = derived._word_list({"words": ["the"]})
     assert shipped(words, "list(f().eval('see The thing'))", tmp_path) == "[(4, 7, 'ORGANIZATION', 0.8)]"
+
+
+def test_model_of_token_classifier(shipped, tmp_path):
+    from veilmark.plans import wider
+
+    assert shipped(wider._stub, "f()(['see Anna'])", tmp_path) == str(wider._stub()(["see Anna"]))
