@@ -1,6 +1,7 @@
 """Single operators on literal cases, and span algebra against a plain model on random spans."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,25 @@ def test_sessions(spark, tmp_path):
     assert passed.where("text = 'x A'").count() == 1 and empty.where("size(placeholders) = 0").count() == 2
 
 
+def test_sessions_of_very_many_items(spark):
+    """A list of 60,000 placeholders is judged in seconds, and sessions as rows say what the lists say."""
+    pair = lambda k: F.array(F.struct(F.concat(F.lit("<P:"), k.cast("string"), F.lit(">")).alias("placeholder"), F.concat(F.lit("v"), k.cast("string")).alias("original")))
+    many = spark.range(60_000).groupBy().agg(F.flatten(F.collect_list(pair(F.col("id")))).alias("p"))
+    begun = time.perf_counter()
+    assert many.select(F.size(masking.unambiguous(F.col("p"))).alias("n")).first()["n"] == 60_000 and time.perf_counter() - begun < 15
+    twice = many.withColumn("p", F.concat("p", F.array(F.struct(F.lit("<P:7>").alias("placeholder"), F.lit("another").alias("original")))))
+    with pytest.raises(Exception, match="collision"):
+        twice.select(masking.unambiguous(F.col("p")).alias("p")).collect()
+
+    items = spark.createDataFrame([("s1", 0, "x A y A"), ("s1", 1, "x B y C"), ("s2", 0, "x C y D"), ("s3", 0, "none")], "session_id string, item_idx int, text string")
+    marked = items.withColumn("spans", F.when(F.col("text") != "none", F.expr("array(named_struct('start', 2, 'end', 3), named_struct('start', 6, 'end', 7))")).otherwise(F.array().cast(spans.RANGES)))
+    _, stored = masking.mask_items(marked, "mask", "GR", "external", 60)
+    listed = sorted((r["session_id"], *p) for r in stored.collect() for p in r["placeholders"])
+    assert sorted(map(tuple, masking.session_pairs(masking.masked_texts(marked, "GR")).collect())) == listed and len(listed) == 5
+    with pytest.raises(Exception, match="collision"):  # items that share a number
+        masking.session_pairs(masking.masked_texts(marked.withColumn("item_idx", F.lit(0)), "GR")).collect()
+
+
 def test_metrics(spark):
     def counts(gold, predicted, f):
         df = spark.createDataFrame([("text", gold, predicted)], f"text string, gold {spans.SPANS}, predicted {spans.SPANS}")

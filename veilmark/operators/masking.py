@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.labels import severity
+from veilmark.functions.rows import each
 from veilmark.functions.texts import cut, let, request_hint
 
 PLACEHOLDERS = "array<struct<placeholder:string,original:string>>"
+COLLISION = "placeholder collision in a session"
 
 
 def padded(number: Column, width: int) -> Column:
@@ -27,8 +29,12 @@ def placeholder(prefix: Column, number: Column) -> Column:
 
 def unambiguous(placeholders: Column) -> Column:
     """The list as it is; an error if a placeholder stands for two originals."""
-    names = F.size(F.array_distinct(F.transform(placeholders, lambda p: p["placeholder"])))
-    return F.when(names == F.size(F.array_distinct(placeholders)), placeholders).otherwise(F.raise_error(F.lit("placeholder collision in a session")).cast(PLACEHOLDERS))
+
+    def clashes(xs: Column) -> Column:  # in order, those of one placeholder stand together
+        before = lambda i: F.get(xs, i - 1)
+        return F.exists(F.transform(xs, lambda p, i: (i > 0) & before(i)["placeholder"].eqNullSafe(p["placeholder"]) & ~before(i)["original"].eqNullSafe(p["original"])), lambda x: x)
+
+    return F.when(let(F.sort_array(placeholders), clashes), F.raise_error(F.lit(COLLISION)).cast(PLACEHOLDERS)).otherwise(placeholders)
 
 
 def mask(text: Column, spans: Column, prefix: Column) -> Column:
@@ -69,6 +75,22 @@ def holdback(text: Column, placeholders: Column) -> Column:
     return F.coalesce(F.array_max(fits), F.lit(0))
 
 
+def masked_texts(items: DataFrame, prefix: str) -> DataFrame:
+    """Items (as ``mask_items`` takes them) with their masked texts and ``placeholders``."""
+    own = F.concat(F.lit(prefix), padded(F.col("item_idx"), 2), request_hint(F.col("session_id")))
+    return items.withColumn("_m", mask(F.col("text"), F.col("spans"), own)).withColumns({"text": F.col("_m.text"), "placeholders": F.col("_m.placeholders")}).drop("_m")
+
+
+def session_pairs(masked: DataFrame) -> DataFrame:
+    """What restores masked texts as a row ``(session_id, placeholder, original)`` for each placeholder; an error if one stands for two originals.
+
+    For sessions of so many items that their list is too long for a row: no task holds a whole session.
+    """
+    pairs = each(masked, "placeholders", "_p", "session_id").groupBy("session_id", F.col("_p.placeholder").alias("placeholder")).agg(F.min("_p.original").alias("original"), F.max("_p.original").alias("_last"))
+    one = F.when(F.col("original").eqNullSafe(F.col("_last")), F.col("original")).otherwise(F.raise_error(F.lit(COLLISION)).cast("string"))
+    return pairs.select("session_id", "placeholder", one.alias("original"))
+
+
 def mask_items(items: DataFrame, mode: str, prefix: str, policy_name: str, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Masked items and the sessions to store, for ``items(session_id, item_idx, item_id, text, spans)`` with merged spans.
 
@@ -79,8 +101,7 @@ def mask_items(items: DataFrame, mode: str, prefix: str, policy_name: str, ttl_s
     if mode == "passthrough":
         out = items.withColumn("spans", F.slice("spans", 1, 0)).withColumn("placeholders", F.array().cast(PLACEHOLDERS))
     else:
-        own = F.concat(F.lit(prefix), padded(F.col("item_idx"), 2), request_hint(F.col("session_id")))
-        out = items.withColumn("_m", mask(F.col("text"), F.col("spans"), own)).withColumns({"text": F.col("_m.text"), "placeholders": F.col("_m.placeholders")}).drop("_m")
+        out = masked_texts(items, prefix)
     per_session = out.groupBy("session_id").agg(
         unambiguous(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("item_idx", "placeholders"))), lambda x: x["placeholders"]))).alias("placeholders"),
         F.sum(F.size("spans")).alias("findings"),
